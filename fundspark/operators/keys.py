@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys; an equi-join condition for Spark."""
-    condition = F.lit(True)
+def join_same_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join in which NULL keys equal each other; only the left keys are kept."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        match = match & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def dedup_keep(
@@ -36,7 +39,7 @@ def dedup_keep(
 def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every member of every group with more than one row, with the group's size."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
-    return df.join(counts, same_keys(df, counts, keys)).select(*[df[c] for c in df.columns], "copies")
+    return join_same_keys(df, counts, keys).select(*df.columns, "copies")
 
 
 def dedup_counters(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fundspark.operators.keys import same_keys
+from fundspark.operators.keys import join_same_keys
 from fundspark.session import fits_one_task, frozen
 
 # A group up to this size is an ordinary window partition.
@@ -65,15 +65,16 @@ def _hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame
     return None if hot.isEmpty() else hot
 
 
-def _split_hot(df, keys, hot_rows, small):
+def _split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int, small: bool | None
+) -> tuple[DataFrame, DataFrame | None]:
     """``(cold, hot)`` parts of ``df``; ``hot`` is None when every group is ordinary."""
     if fits_one_task(df) if small is None else small:
         return df, None
     hot = _hot_groups(df, keys, hot_rows)
     if hot is None:
         return df, None
-    match = same_keys(df, hot, keys)
-    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
+    return join_same_keys(df, hot, keys, "left_anti"), join_same_keys(df, hot, keys, "left_semi")
 
 
 def rank_in_group(
@@ -100,8 +101,8 @@ def rank_in_group(
     local = placed.withColumn(
         "_row", F.row_number().over(W.partitionBy(*keys, "_piece").orderBy("_pos"))
     )
-    stitched = local.join(offsets, same_keys(local, offsets, [*keys, "_piece"])).select(
-        *[local[c] for c in df.columns], (F.col("_before") + F.col("_row")).alias(name)
+    stitched = join_same_keys(local, offsets, [*keys, "_piece"]).select(
+        *df.columns, (F.col("_before") + F.col("_row")).alias(name)
     )
     return ranked.unionByName(stitched)
 
@@ -135,8 +136,8 @@ def lag_in_group(
     carried = tails.select(
         *keys, "_piece", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_piece")).alias("_carry")
     )
-    stitched = local.join(carried, same_keys(local, carried, [*keys, "_piece"])).select(
-        *[local[c] for c in df.columns],
+    stitched = join_same_keys(local, carried, [*keys, "_piece"]).select(
+        *df.columns,
         *[
             F.when(F.col("_row") == 1, F.col(f"_carry.{new}")).otherwise(F.col(f"_lag_{new}")).alias(new)
             for new in lags

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from fundspark import schemas
 from fundspark.operators import columns, keys
 from fundspark.sinks import parquet
 from fundspark.sources.delimited import LINE_ORDER, read_delimited
-from fundspark.sources.files import DAILY_SINCE, daily_files, portfolio_files
+from fundspark.sources.files import BLOCK_MONTH, DAILY_SINCE, daily_files, portfolio_files
 
 TEXT_LIMIT = 500
 
@@ -40,8 +41,12 @@ def load_daily(
     latest_only: bool = True,
 ) -> DataFrame:
     """Load the newest daily file (or all since a month); upsert into ``table`` if given."""
-    files = [f.path for f in daily_files(spark, folder, since, latest_only)]
-    daily = clean_daily(read_delimited(spark, files, bad_lines="fail"))
+    month_by_path = {f.path: f.month for f in daily_files(spark, folder, since, latest_only)}
+    raw = read_delimited(
+        spark, month_by_path, bad_lines="fail", alike=month_by_path.get,
+        renames=schemas.LAYOUT_RENAMES,
+    )
+    daily = clean_daily(raw)
     if table is None:
         return daily
     parquet.upsert_table(spark, table, daily, schemas.DAILY_KEYS, month_of="dt_comptc")
@@ -153,17 +158,16 @@ def positions_schema() -> T.StructType:
     return T.StructType([*fields.values(), *tags])
 
 
-def clean_block(raw: DataFrame, block: int) -> DataFrame:
-    """Raw lines of one block in the block's schema."""
-    df = columns.rename_present(columns.lower_columns(raw), schemas.LAYOUT_RENAMES)
-    if block == 2:
-        df = columns.rename_present(df, schemas.QUOTA_BLOCK_RENAMES)
-    df = columns.clean_tax_ids(df.drop(*LINE_ORDER))
-    return columns.conform(df, schemas.block_schema(block))
+def clean_block(raw: DataFrame, block: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Lines of one block in the block's schema; ``keep`` names extra columns to carry."""
+    df = columns.clean_tax_ids(raw.drop(*[c for c in LINE_ORDER if c not in keep]))
+    extra = [df.schema[name] for name in keep]
+    return columns.conform(df, T.StructType([*schemas.block_schema(block), *extra]))
 
 
 def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
-    """All portfolio block files as one table with ``origem_tabela`` and ``ym``.
+    """All portfolio block files as one table with ``origem_tabela`` and ``ym``, the
+    month the file was published for.
 
     ``table`` is replaced, partitioned by both. Missing input fails before that.
     """
@@ -173,9 +177,15 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
     frames = []
     for block in sorted({f.block for f in files}):
         paths = [f.path for f in files if f.block == block]
-        raw = read_delimited(spark, paths, alike=month_by_path.get)
-        rows = clean_block(raw, block).withColumn("origem_tabela", F.lit(schemas.ORIGINS[block]))
-        frames.append(columns.conform(parquet.with_month(rows), schema))
+        renames = {**schemas.LAYOUT_RENAMES, **(schemas.QUOTA_BLOCK_RENAMES if block == 2 else {})}
+        raw = read_delimited(spark, paths, alike=month_by_path.get, renames=renames)
+        rows = clean_block(raw, block, keep=["_file"]).withColumns(
+            {
+                "origem_tabela": F.lit(schemas.ORIGINS[block]),
+                parquet.MONTH: F.regexp_extract("_file", BLOCK_MONTH, 1),
+            }
+        )
+        frames.append(columns.conform(rows.drop("_file"), schema))
     positions = frames[0]
     for frame in frames[1:]:
         positions = positions.unionByName(frame)

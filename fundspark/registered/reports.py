@@ -1,40 +1,20 @@
-"""The registered queries: each takes ``(spark, sf_dir)`` and returns a frame."""
+"""The registered reports: each takes ``(spark, sf_dir)`` and returns a frame."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark import fixtures as fx
-from fundspark.operators import filters
 from fundspark.operators.columns import serve
 from fundspark.operators.paging import page_after
 from fundspark.plans import portfolio, rankings, returns, screening
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+from fundspark.registered.base import doubles, register
 
 FUND = ("00000000000003", "CLASSES - FIF")
 POSITION_AMOUNTS = ["vl_merc_pos_final", "qt_pos_final"]
 
 
-def register(name: str) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        return query
-
-    return add
-
-
-def doubles(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, NULL kept: the type both engines share."""
-    return df.withColumns(
-        {name: F.col(name).cast("double") for name, kind in df.dtypes if kind.startswith("decimal")}
-    )
-
-
 def _daily_registry(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return fx.daily(spark, sf), fx.registry(spark, sf)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -14,21 +15,28 @@ LINES = "archive string, member string, line_no long, line string"
 BATCH = 10_000
 
 
-def read_archives(
-    spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "latin-1"
+def _member_lines(
+    bundle: zipfile.ZipFile, archive: str, member: str, encoding: str
+) -> Iterator[pd.DataFrame]:
+    with io.TextIOWrapper(bundle.open(member), encoding=encoding) as text:
+        first = 0
+        while rows := [line.rstrip("\r\n") for line in itertools.islice(text, BATCH)]:
+            yield pd.DataFrame(
+                {
+                    "archive": archive,
+                    "member": member.rsplit("/", 1)[-1],
+                    "line_no": range(first, first + len(rows)),
+                    "line": rows,
+                }
+            )
+            first += len(rows)
+
+
+def unpack_archives(
+    archives: DataFrame, suffix: str = ".csv", encoding: str = "latin-1"
 ) -> DataFrame:
-    """``(archive, member, line_no, line)`` of every member ending in ``suffix``.
-
-    Spark packs archives into tasks up to ``spark.sql.files.maxPartitionBytes``, or
-    one archive if it is larger. Members are decompressed as a stream of batches, so
-    a task holds its archives' bytes and one batch of lines.
-    """
-    archives = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    )
+    """``(archive, member, line_no, line)`` from ``(archive, content)`` rows, for every
+    member ending in ``suffix``. Members are decompressed as a stream of batches."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -36,27 +44,19 @@ def read_archives(
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
                     for member in bundle.namelist():
                         if member.endswith(suffix):
-                            yield from _member_lines(bundle, archive, member)
-
-    def _member_lines(bundle, archive, member):
-        with io.TextIOWrapper(bundle.open(member), encoding=encoding) as text:
-            first, rows = 0, []
-            for line in text:
-                rows.append(line.rstrip("\r\n"))
-                if len(rows) == BATCH:
-                    yield _frame(archive, member, first, rows)
-                    first, rows = first + len(rows), []
-            if rows:
-                yield _frame(archive, member, first, rows)
-
-    def _frame(archive, member, first, rows):
-        return pd.DataFrame(
-            {
-                "archive": archive,
-                "member": member.rsplit("/", 1)[-1],
-                "line_no": range(first, first + len(rows)),
-                "line": rows,
-            }
-        )
-
-    return archives.mapInPandas(unpack, LINES)
+                            yield from _member_lines(bundle, archive, member, encoding)
+
+    return archives.select("archive", "content").mapInPandas(unpack, LINES)
+
+
+def read_archives(
+    spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "latin-1"
+) -> DataFrame:
+    """The lines of all ``*.zip`` files in a folder.
+
+    Spark packs archives into tasks up to ``spark.sql.files.maxPartitionBytes``, or
+    one archive if it is larger, so a task holds its archives and one batch of lines.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("archive")
+    return unpack_archives(files.select(name, "content"), suffix, encoding)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Iterable, Sequence
+from collections.abc import Callable, Hashable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundspark.operators.columns import lower_columns
+from fundspark.operators.columns import lower_columns, rename_present
 
 SEPARATOR = ";"
 ENCODING = "ISO-8859-1"
@@ -85,8 +85,10 @@ def read_delimited(
     separator: str = SEPARATOR,
     encoding: str = ENCODING,
     alike: Callable[[str], Hashable] = lambda path: path,
+    renames: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Files of possibly different layouts as one frame with lower-case columns.
+    """Files of possibly different layouts as one frame with lower-case columns,
+    ``renames`` applied to the layouts that have the old names.
 
     The first line of one file per ``alike`` group is read to learn its header, and
     one scan per distinct header follows. A file that breaks its group's layout
@@ -102,7 +104,10 @@ def read_delimited(
         header = header_of(spark, group[0], separator, encoding)
         layouts.setdefault(tuple(header), []).extend(group)
     frames = [
-        lower_columns(read_layout(spark, group, header, bad_lines, separator, encoding))
+        rename_present(
+            lower_columns(read_layout(spark, group, header, bad_lines, separator, encoding)),
+            renames or {},
+        )
         for header, group in layouts.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

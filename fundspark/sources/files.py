@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 # Published file names.
 DAILY_NAME = re.compile(r"^inf_diario_fi_(\d{6})\.csv$")
 BLOCK_NAME = re.compile(r"^cda_fi_BLC_(\d)_(\d{6})\d*\.csv$")
+# The month inside a block file's path, for use in a column expression.
+BLOCK_MONTH = r"cda_fi_BLC_\d_(\d{6})"
 DAILY_SINCE = "202503"
 
 

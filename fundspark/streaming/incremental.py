@@ -14,9 +14,15 @@ from fundspark.plans.loaders import clean_daily
 from fundspark.sinks.parquet import upsert_table
 from fundspark.sources.delimited import ENCODING, SEPARATOR
 
+FILES = "inf_diario_fi_*.csv"
+
 
 def daily_stream(
-    spark: SparkSession, folder: str, header: Sequence[str], files_per_batch: int = 100
+    spark: SparkSession,
+    folder: str,
+    header: Sequence[str],
+    pattern: str = FILES,
+    files_per_batch: int = 100,
 ) -> DataFrame:
     """Daily files of one layout as strings, oldest first."""
     return (
@@ -26,7 +32,7 @@ def daily_stream(
         .option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
-        .option("pathGlobFilter", "inf_diario_fi_*.csv")
+        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
         .select(
@@ -43,6 +49,7 @@ def ingest_daily(
     header: Sequence[str],
     table: str,
     checkpoint: str,
+    pattern: str = FILES,
     files_per_batch: int = 100,
 ) -> StreamingQuery:
     """Upsert all files landed so far into ``table``; repeating a batch changes nothing."""
@@ -54,7 +61,7 @@ def ingest_daily(
         )
 
     return (
-        daily_stream(spark, folder, header, files_per_batch)
+        daily_stream(spark, folder, header, pattern, files_per_batch)
         .writeStream.foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
