@@ -35,10 +35,14 @@ def header_of(
     return _reader(spark, separator, encoding).csv(path).columns
 
 
-def _too_long(line: Column, separator: str, width: int) -> Column:
+def _too_long(header: Sequence[str], separator: str) -> Column:
+    """Whether the line has more fields than the header; never NULL."""
+    line = F.col(BAD)
     unquoted = F.regexp_replace(line, r'"[^"]*"', "")
     separators = F.length(unquoted) - F.length(F.translate(unquoted, separator, ""))
-    return line.isNotNull() & (separators >= width)
+    # Always true; Spark rejects queries that refer to nothing but the bad-line column.
+    any_field = F.length(F.coalesce(F.col(header[0]), F.lit(""))) >= 0
+    return line.isNotNull() & (separators >= len(header)) & any_field
 
 
 def read_layout(
@@ -64,7 +68,7 @@ def read_layout(
         .option("columnPruning", False)
         .csv(list(paths))
     )
-    too_long = _too_long(F.col(BAD), separator, len(header))
+    too_long = _too_long(header, separator)
     if bad_lines == "fail":
         message = F.concat(F.lit("line has too many fields: "), F.col(BAD))
         keep = F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
@@ -127,6 +131,6 @@ def reject_report(
         .csv(list(paths))
     )
     file_name = F.col("_metadata.file_name").alias("arquivo_origem")
-    return raw.filter(_too_long(F.col(BAD), separator, len(header))).select(
+    return raw.filter(_too_long(header, separator)).select(
         file_name, F.col(BAD).alias("linha"), F.col(header[0]).alias("primeiro_campo")
     )
