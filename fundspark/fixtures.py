@@ -24,19 +24,16 @@ def _fund_type(number: Column) -> Column:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped on numbers; the text keys are derived from the groups."""
     events = table(spark, sf_dir, "events")
-    user, kind = F.col("user_id"), F.col("event_type")
-    money = F.col("value").cast("decimal(17,2)")
+    kind, money = F.col("event_type"), F.col("value").cast("decimal(17,2)")
 
     def total(*kinds: str) -> Column:
         return F.sum(F.when(kind.isin(*kinds), money))
 
-    subclass = F.when(user % 7 == 0, F.concat(F.lit("S"), (F.col("event_id") % 2).cast("string")))
-    return events.groupBy(
-        _id("user_id").alias("cnpj_fundo_classe"),
-        F.col("ts").cast("date").alias("dt_comptc"),
-        subclass.otherwise("NA").alias("id_subclasse"),
-        _fund_type(user).alias("tp_fundo_classe"),
+    half = F.when(F.col("user_id") % 7 == 0, F.col("event_id") % 2)
+    groups = events.groupBy(
+        "user_id", F.col("ts").cast("date").alias("dt_comptc"), half.alias("half")
     ).agg(
         total("purchase").cast("decimal(17,2)").alias("captc_dia"),
         F.count("*").cast("int").alias("nr_cotst"),
@@ -45,6 +42,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(total("view", "click"), F.lit(0)).cast("decimal(27,12)").alias("vl_quota"),
         F.sum(money).cast("decimal(17,2)").alias("vl_total"),
     )
+    subclass = F.coalesce(F.concat(F.lit("S"), F.col("half").cast("string")), F.lit("NA"))
+    return groups.select(
+        _id("user_id").alias("cnpj_fundo_classe"), "dt_comptc", subclass.alias("id_subclasse"),
+        _fund_type(F.col("user_id")).alias("tp_fundo_classe"),
+        "captc_dia", "nr_cotst", "resg_dia", "vl_patrim_liq", "vl_quota", "vl_total",
+    )
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,20 +74,27 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped on numbers; the text keys are derived from the groups."""
     lines = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice").cast("decimal(19,2)")
-    return lines.groupBy(
+    groups = lines.groupBy(
         (F.col("l_orderkey") % 8 + 1).cast("int").alias("tipo"),
-        _id("l_suppkey").alias("cnpj_fundo_classe"),
+        "l_suppkey",
         F.date_trunc("month", "l_shipdate").cast("date").alias("dt_comptc"),
-        _fund_type(F.col("l_suppkey")).alias("tp_fundo_classe"),
-        F.when(F.col("l_returnflag") == "A", "Ações").otherwise("Debêntures").alias("tp_aplic"),
+        (F.col("l_returnflag") == "A").alias("equity"),
         F.col("l_linestatus").alias("tp_ativo"),
-        F.concat(F.lit("A"), (F.col("l_partkey") % 20).cast("string")).alias("codigo_ativo"),
+        (F.col("l_partkey") % 20).alias("asset"),
     ).agg(
         F.sum(F.when(F.col("l_linenumber") != 7, price)).cast("decimal(19,2)").alias("vl_merc_pos_final"),
         F.sum(F.col("l_quantity").cast("decimal(21,6)")).cast("decimal(21,6)").alias("qt_pos_final"),
     )
+    return groups.select(
+        "tipo", _id("l_suppkey").alias("cnpj_fundo_classe"), "dt_comptc",
+        _fund_type(F.col("l_suppkey")).alias("tp_fundo_classe"),
+        F.when(F.col("equity"), "Ações").otherwise("Debêntures").alias("tp_aplic"), "tp_ativo",
+        F.concat(F.lit("A"), F.col("asset").cast("string")).alias("codigo_ativo"),
+        "vl_merc_pos_final", "qt_pos_final",
+    )
 
 
 def block(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:

@@ -72,14 +72,13 @@ def conform(df: DataFrame, schema: T.StructType, extra: str = "raise") -> DataFr
     present = dict(df.dtypes)
     columns = []
     for field in schema:
+        kind, value = field.dataType.simpleString(), f"`{field.name}`"
         if field.name not in present:
-            value = F.lit(None).cast(field.dataType)
-        elif present[field.name] == field.dataType.simpleString():
-            value = F.col(field.name)
-        else:
-            value = F.col(field.name).try_cast(field.dataType)
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+            value = f"CAST(NULL AS {kind})"
+        elif present[field.name] != kind:
+            value = f"try_cast({value} AS {kind})"
+        columns.append(f"{value} AS `{field.name}`")
+    return df.selectExpr(*columns)
 
 
 def cast_losses(df: DataFrame, schema: T.StructType) -> DataFrame:

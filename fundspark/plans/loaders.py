@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -173,7 +174,6 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
     """
     files = portfolio_files(spark, folder)
     month_by_path = {f.path: f.month for f in files}
-    schema = positions_schema()
     frames = []
     for block in sorted({f.block for f in files}):
         paths = [f.path for f in files if f.block == block]
@@ -185,10 +185,9 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
                 parquet.MONTH: F.regexp_extract("_file", BLOCK_MONTH, 1),
             }
         )
-        frames.append(columns.conform(rows.drop("_file"), schema))
-    positions = frames[0]
-    for frame in frames[1:]:
-        positions = positions.unionByName(frame)
+        frames.append(rows.drop("_file"))
+    positions = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    positions = columns.conform(positions, positions_schema())
     if table is None:
         return positions
     parquet.refresh(positions, table, ["origem_tabela", parquet.MONTH])

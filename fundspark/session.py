@@ -48,14 +48,12 @@ def _bytes(text: str) -> int:
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate is within the session's broadcast limit.
+    """Whether Catalyst's size estimate is within what Spark gives one scan task.
 
     Data that small may sit in one task without being a bottleneck, however its
     keys are distributed. Anything larger, or of unknown size, takes the
     distributed plan.
     """
-    limit = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    if limit < 0:
-        return False
+    limit = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(estimate)) <= limit

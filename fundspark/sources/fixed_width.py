@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,6 @@ from pyspark.sql import functions as F
 
 from fundspark.functions.dates import compact_date
 from fundspark.functions.numbers import parse_or
-from fundspark.functions.text import blank_to_null
 
 
 class Field(NamedTuple):
@@ -51,33 +52,39 @@ QUOTE_FIELDS = [
 QUOTE_HEADER = "00COTAHIST"
 # 245 characters with the line break, which the text source strips.
 QUOTE_LENGTH = 244
-NO_DATE = "00000000"
+NO_DATE = ("", "00000000")
 NO_FACTOR = "0000000"
 
 
-def _raw(line: Column, field: Field) -> Column:
-    return F.trim(F.substring(line, field.start + 1, field.end - field.start))
+def _text(field: Field) -> Column:
+    return F.trim(F.substring("line", field.start + 1, field.end - field.start))
 
 
-def _typed(line: Column, field: Field, zero_as_null: bool) -> tuple[Column, Column]:
-    """The field's value, and whether the field is readable."""
-    text = _raw(line, field)
+def _value(field: Field, zero_as_null: bool) -> Column:
+    """The typed value of a field's trimmed text; NULL when absent or unreadable."""
+    text = F.col(f"_{field.name}")
     if field.kind == "text":
-        return blank_to_null(text), F.lit(True)
+        return F.nullif(text, F.lit(""))
     if field.kind == "date":
-        absent = (text == "") | (text == NO_DATE)
-        value = F.when(~absent, compact_date(text))
-        return value, absent | value.isNotNull()
+        return F.when(~text.isin(*NO_DATE), compact_date(text))
     if field.kind == "price":
-        number = F.when(text != "", text.try_cast("double"))
-        readable = (text == "") | number.isNotNull()
-        price = number / 100
-        return (F.nullif(price, F.lit(0.0)) if zero_as_null else price), readable
+        price = F.when(text != "", text.try_cast("double")) / 100
+        return F.nullif(price, F.lit(0.0)) if zero_as_null else price
     if field.kind == "factor":
-        value = F.when(text == NO_FACTOR, F.lit(1).cast("long")).otherwise(parse_or(text, "long", 1))
-        return value, value.isNotNull()
-    value = parse_or(text, "long", 0)
-    return value, value.isNotNull()
+        return F.when(text == NO_FACTOR, F.lit(1).cast("long")).otherwise(parse_or(text, "long", 1))
+    return parse_or(text, "long", 0)
+
+
+def _unreadable(field: Field) -> Column | None:
+    """Whether a field's text stands for no value of its kind; None for text fields."""
+    missing, text = F.col(field.name).isNull(), F.col(f"_{field.name}")
+    if field.kind == "text":
+        return None
+    if field.kind == "date":
+        return missing & ~text.isin(*NO_DATE)
+    if field.kind == "price":
+        return missing & (text != "") & text.try_cast("double").isNull()
+    return missing
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -100,29 +107,37 @@ def classify_lines(
     lines: DataFrame, fields: Sequence[Field] = QUOTE_FIELDS, zero_as_null: bool = False
 ) -> DataFrame:
     """Every line with its parsed fields and a ``situacao_linha``: ``valida``,
-    ``cabecalho``, ``vazia``, ``curta`` or ``ilegivel``."""
+    ``cabecalho``, ``vazia``, ``curta`` or ``ilegivel``.
+
+    Cutting, typing and judging are separate projections, so that each field is cut
+    and cast once.
+    """
+    cut = lines.select("*", *[_text(f).alias(f"_{f.name}") for f in fields])
+    typed = cut.select("*", *[_value(f, zero_as_null).alias(f.name) for f in fields])
+    unreadable = reduce(or_, [u for u in map(_unreadable, fields) if u is not None])
     line = F.col("line")
-    values, readable = [], F.lit(True)
-    for field in fields:
-        value, ok = _typed(line, field, zero_as_null)
-        values.append(value.alias(field.name))
-        readable = readable & ok
     state = (
         F.when(F.trim(line) == "", "vazia")
         .when(F.startswith(line, F.lit(QUOTE_HEADER)), "cabecalho")
         .when(F.length(line) < QUOTE_LENGTH, "curta")
-        .when(readable, "valida")
-        .otherwise("ilegivel")
+        .when(unreadable, "ilegivel")
+        .otherwise("valida")
     )
-    return lines.select("*", *values, state.alias("situacao_linha"))
+    return typed.select(*lines.columns, *[f.name for f in fields], state.alias("situacao_linha"))
 
 
 def parse_lines(
     lines: DataFrame, fields: Sequence[Field] = QUOTE_FIELDS, zero_as_null: bool = False
 ) -> DataFrame:
-    """The valid lines, parsed."""
-    parsed = classify_lines(lines, fields, zero_as_null).filter("situacao_linha = 'valida'")
-    return parsed.drop("line", "situacao_linha")
+    """The valid lines, parsed.
+
+    The rows are chosen by a generator instead of a filter, which Spark would push
+    below the casts and evaluate them twice.
+    """
+    parsed = classify_lines(lines, fields, zero_as_null)
+    kept = [c for c in parsed.columns if c not in ("line", "situacao_linha")]
+    valid = F.when(F.col("situacao_linha") == "valida", F.array(F.struct(*kept)))
+    return parsed.select(F.inline(valid))
 
 
 def rejected_lines(lines: DataFrame, fields: Sequence[Field] = QUOTE_FIELDS) -> DataFrame:

@@ -148,18 +148,17 @@ def test_group_lag_plans_agree(spark, rows, hot_rows):
     assert rows(stitched) == rows(ranking.lag_in_group(df, ["g"], order(), lags, small=True))
 
 
-def test_size_check_follows_the_broadcast_limit(spark, sf_dir):
+def test_size_check_follows_the_scan_task_size(spark, sf_dir):
     from fundspark.session import fits_one_task
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert fits_one_task(events)
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for value in ("1k", "-1"):
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
-            assert not fits_one_task(events)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert not fits_one_task(events)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
 
 
 # Filters and paging ---------------------------------------------------------------------------
