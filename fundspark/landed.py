@@ -42,10 +42,14 @@ def write_delimited(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
     return path
 
 
-def write_lines(lines: DataFrame, path: str, extension: str, encoding: str = "UTF-8") -> str:
-    """The only column, one line per row, as ``*.<extension>`` files."""
+def write_lines(
+    lines: DataFrame, path: str, extension: str, encoding: str = "UTF-8", header: bool = False
+) -> str:
+    """The only column, one line per row, as ``*.<extension>`` files; its name is the
+    first line of each file if ``header``."""
     (
         lines.write.option("extension", extension)
+        .option("header", header)
         .option("encoding", encoding)
         .option("sep", "\u0001")
         .option("quote", "")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_PAGE_SIZE = 100
 SHOWN_HITS = 10
@@ -38,6 +39,7 @@ def page_after(df: DataFrame, rank: str, after: int, size: int = 25) -> DataFram
 
 def capped(df: DataFrame, order: Sequence[str | Column], shown: int = SHOWN_HITS) -> DataFrame:
     """The first ``shown`` hits, each flagged when there are more ("refine the search")."""
-    more = df.orderBy(*order).limit(shown + 1)
-    overflow = more.agg((F.count("*") > shown).alias("more")).scalar()
-    return more.orderBy(*order).limit(shown).withColumn("refinar_busca", overflow)
+    found = df.orderBy(*order).limit(shown + 1)
+    # The window spans at most shown + 1 rows.
+    flagged = found.withColumn("refinar_busca", F.count("*").over(W.partitionBy()) > shown)
+    return flagged.orderBy(*order).limit(shown)

@@ -33,6 +33,12 @@ def _piece() -> Column:
     return F.shiftright("_pos", _POSITION_BITS)
 
 
+def sorted_by(df: DataFrame, *order: Column) -> DataFrame:
+    """Sort by ``order``, then by all columns: rows with equal sort values (one date,
+    unknown values) then need not fall into one sort partition."""
+    return df.orderBy(*order, *df.columns)
+
+
 def global_rank(
     df: DataFrame, order: Sequence[Column], name: str = "ranking", small: bool | None = None
 ) -> DataFrame:

@@ -92,7 +92,11 @@ def portfolio_composition(
         ],
         "ranking_posicao",
         **sizes,
-    ).orderBy(F.col("dt_comptc").desc_nulls_first())
+    )
+    # Newest first; the further columns let a date spread over many sort partitions.
+    rows = rows.orderBy(
+        F.col("dt_comptc").desc_nulls_first(), *PORTFOLIO_DATE[:2], "ranking_posicao"
+    )
     if not served:
         return rows
     return serve(

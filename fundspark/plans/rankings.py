@@ -17,7 +17,7 @@ from fundspark.operators import aggregates, filters
 from fundspark.operators.columns import serve
 from fundspark.operators.keys import dedup_keep
 from fundspark.operators.paging import page
-from fundspark.operators.ranking import global_rank
+from fundspark.operators.ranking import global_rank, sorted_by
 from fundspark.schemas import EQUITY_APPLICATION, VEHICLE
 
 FLOW_COLUMNS = [
@@ -179,12 +179,12 @@ def equity_positions(
 ) -> DataFrame:
     """Equity rows of one vehicle, newest first."""
     rows = filters.vehicle(equities(positions), cnpj, tp)
-    return filters.date_range(rows, start, end).orderBy(F.col("dt_comptc").desc_nulls_first())
+    return sorted_by(filters.date_range(rows, start, end), F.col("dt_comptc").desc_nulls_first())
 
 
 def equity_positions_all(positions: DataFrame) -> DataFrame:
     """All equity rows by value; an unknown value sorts first."""
-    return equities(positions).orderBy(F.col("vl_merc_pos_final").desc_nulls_first())
+    return sorted_by(equities(positions), F.col("vl_merc_pos_final").desc_nulls_first())
 
 
 def vehicle_count(daily: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from fundspark.functions.numbers import finite_or_null, log_ratio
 from fundspark.operators.columns import serve
 from fundspark.operators.filters import one_of
-from fundspark.operators.ranking import lag_in_group
+from fundspark.operators.ranking import lag_in_group, sorted_by
 
 SERIES = ["cnpj_fundo_classe", "tp_fundo_classe", "id_subclasse"]
 SERIES_AMOUNTS = ["captc_dia", "resg_dia", "vl_patrim_liq", "vl_quota", "vl_total"]
@@ -49,4 +49,4 @@ def quota_series(
         "cnpj_fundo_classe", "tp_fundo_classe", "dt_comptc", "id_subclasse", "captc_dia",
         "nr_cotst", "resg_dia", "vl_patrim_liq", "vl_quota", "vl_total", "denominacao_social",
     )
-    return serve(series.orderBy("dt_comptc"), zero=SERIES_AMOUNTS)
+    return serve(sorted_by(series, F.col("dt_comptc")), zero=SERIES_AMOUNTS)
