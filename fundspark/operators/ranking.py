@@ -19,16 +19,32 @@ from fundspark.session import fits_one_task, frozen
 
 # A group up to this size is an ordinary window partition.
 HOT_ROWS = 4_000_000
+# Up to this many hot keys are sent to every task.
+BROADCAST_KEYS = 100_000
 # monotonically_increasing_id keeps the row position in its lower 33 bits.
 _POSITION_BITS = 33
 
 
 def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Range-partition and sort by ``order``; freeze with each row's ``_pos``."""
+    """Range-partition and sort by ``order``; freeze with each row's ``_pos``.
+
+    Frozen, because the range bounds are sampled and a recomputed partition must
+    not move rows.
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return frozen(ordered.withColumn("_pos", F.monotonically_increasing_id()))
 
 
+def _placed_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Hot groups placed by key and order, with the ``_piece`` of each row.
+
+    Copies of one row have equal sort values; a row number, frozen before the
+    shuffle so that a retry repeats it, lets them spread over several pieces.
+    """
+    numbered = frozen(df.withColumn("_copy", F.monotonically_increasing_id()))
+    return _placed(numbered, [*keys, *order, "_copy"]).withColumn("_piece", _piece())
+
+
 def _piece() -> Column:
     return F.shiftright("_pos", _POSITION_BITS)
 
@@ -63,12 +79,16 @@ def global_rank(
 def _hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
     """The keys of groups above ``hot_rows``, or None when there are none.
 
-    At most total rows / hot_rows keys, counted with map-side combine.
+    Counted with map-side combine. There are at most total rows / hot_rows such
+    keys; they are broadcast when their count is small as well.
     """
     hot = frozen(
         df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
     )
-    return None if hot.isEmpty() else hot
+    found = hot.count()
+    if found == 0:
+        return None
+    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
 
 
 def _split_hot(
@@ -98,7 +118,7 @@ def rank_in_group(
     )
     if hot is None:
         return ranked
-    placed = _placed(hot, [*keys, *order]).withColumn("_piece", _piece())
+    placed = _placed_groups(hot, keys, order)
     counts = placed.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(
         W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
@@ -127,7 +147,7 @@ def lag_in_group(
     lagged = cold.withColumns({new: F.lag(src).over(window) for new, src in lags.items()})
     if hot is None:
         return lagged
-    placed = _placed(hot, [*keys, *order]).withColumn("_piece", _piece())
+    placed = _placed_groups(hot, keys, order)
     within = W.partitionBy(*keys, "_piece").orderBy("_pos")
     local = placed.withColumns(
         {

@@ -111,6 +111,15 @@ def test_parent_filters(spark, rows):
 # Ranks and lags: the stitched plans equal Spark's windows ----------------------------------
 
 
+@pytest.fixture
+def many_pieces(spark):
+    """Keep small shuffle partitions apart, so that small inputs are cut into pieces."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
 def values(spark, n=3000):
     """Three groups, one of them NULL, with ties, NULL values and one dominant group."""
     group = F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "cold")
@@ -123,7 +132,7 @@ def order():
     return [F.col("v").desc_nulls_first(), F.col("id")]
 
 
-def test_global_rank_plans_agree(spark, rows):
+def test_global_rank_plans_agree(spark, rows, many_pieces):
     df = values(spark)
     placed = ranking.global_rank(df, order(), small=False)
     assert rows(placed) == rows(ranking.global_rank(df, order(), small=True))
@@ -135,19 +144,27 @@ def test_global_rank_of_nothing(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [0, 500, 10_000])
-def test_group_rank_plans_agree(spark, rows, hot_rows):
+def test_group_rank_plans_agree(spark, rows, many_pieces, hot_rows):
     df = values(spark)
     stitched = ranking.rank_in_group(df, ["g"], order(), "r", hot_rows=hot_rows, small=False)
     assert rows(stitched) == rows(ranking.rank_in_group(df, ["g"], order(), "r", small=True))
 
 
 @pytest.mark.parametrize("hot_rows", [0, 500, 10_000])
-def test_group_lag_plans_agree(spark, rows, hot_rows):
+def test_group_lag_plans_agree(spark, rows, many_pieces, hot_rows):
     df, lags = values(spark), {"before": "v", "before_id": "id"}
     stitched = ranking.lag_in_group(df, ["g"], order(), lags, hot_rows=hot_rows, small=False)
     assert rows(stitched) == rows(ranking.lag_in_group(df, ["g"], order(), lags, small=True))
 
 
+def test_copies_of_one_row_spread_over_pieces(spark, many_pieces):
+    df = spark.range(4000).select(F.lit("hot").alias("g"), F.lit(1).alias("v"))
+    ranked = ranking.rank_in_group(df, ["g"], [F.col("v")], "r", hot_rows=10, small=False)
+    assert [r.r for r in ranked.orderBy("r").collect()] == list(range(1, 4001))
+    placed = ranking._placed_groups(df, ["g"], [F.col("v")])
+    assert placed.select("_piece").distinct().count() > 1
+
+
 def test_size_check_follows_the_scan_task_size(spark, sf_dir):
     from fundspark.session import fits_one_task
 
