@@ -190,7 +190,8 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
     positions = columns.conform(positions, positions_schema())
     if table is None:
         return positions
-    parquet.refresh(positions, table, ["origem_tabela", parquet.MONTH])
+    # Each file belongs to one origin and month: the scan's layout is the table's.
+    parquet.refresh(positions, table, ["origem_tabela", parquet.MONTH], balance=False)
     return spark.read.parquet(table)
 
 

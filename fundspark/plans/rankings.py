@@ -19,6 +19,7 @@ from fundspark.operators.keys import dedup_keep
 from fundspark.operators.paging import page
 from fundspark.operators.ranking import global_rank, sorted_by
 from fundspark.schemas import EQUITY_APPLICATION, VEHICLE
+from fundspark.session import fits_one_task
 
 FLOW_COLUMNS = [
     "cnpj_fundo_classe", "tp_fundo_classe", "dt_comptc", "denominacao_social", "vl_total",
@@ -68,7 +69,8 @@ def manager_aum_ranking(
         .filter(F.col("patrimonio_total_sob_gestao") > 0)
     )
     order = [F.col("patrimonio_total_sob_gestao").desc(), F.col("cpf_cnpj_gestor"), F.col("gestor")]
-    return global_rank(per_manager, order)
+    # There are no more managers than registry rows, so the registry's size bounds the ranking.
+    return global_rank(per_manager, order, small=fits_one_task(registry) or None)
 
 
 def flow_sums(daily: DataFrame) -> DataFrame:

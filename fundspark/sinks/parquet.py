@@ -13,6 +13,8 @@ from fundspark.session import frozen
 from fundspark.sources.tables import path_has_data
 
 MONTH = "ym"
+# A load that touches no more months than this writes them without a further shuffle.
+FEW_MONTHS = 3
 
 
 def balanced(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -20,16 +22,21 @@ def balanced(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return df.hint("rebalance", *partition_by)
 
 
-def refresh(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the whole table."""
-    balanced(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def refresh(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), balance: bool = True
+) -> None:
+    """Replace the whole table; ``balance=False`` when ``df`` is already laid out like it."""
+    rows = balanced(df, partition_by) if balance else df
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def refresh_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+def refresh_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str], balance: bool = True
+) -> None:
     """Replace only the partitions that occur in ``df``."""
+    rows = balanced(df, partition_by) if balance else df
     (
-        balanced(df, partition_by)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
@@ -72,8 +79,11 @@ def upsert_table(
         refresh(source, path)
         return
     source = with_month(source, month_of)
-    if path_has_data(spark, path):
-        months = [r[0] for r in source.select(MONTH).distinct().collect()]
-        target = spark.read.schema(source.schema).parquet(path).filter(F.col(MONTH).isin(months))
-        source = merge_upsert(target, source, [*keys, MONTH], update_cols)
-    refresh_partitions(source, path, [MONTH])
+    if not path_has_data(spark, path):
+        refresh_partitions(source, path, [MONTH])
+        return
+    months = [r[0] for r in source.select(MONTH).distinct().collect()]
+    target = spark.read.schema(source.schema).parquet(path).filter(F.col(MONTH).isin(months))
+    # The stored months are read in their own layout, so only the new rows move.
+    merged = merge_upsert(target, balanced(source, [MONTH]), [*keys, MONTH], update_cols)
+    refresh_partitions(merged, path, [MONTH], balance=len(months) > FEW_MONTHS)
