@@ -50,22 +50,20 @@ SELECT CAST(floor(c_custkey / 25) AS BIGINT) AS id, concat('Basket ', CAST(CAST(
 FROM customer""",
     # Manager ranking, flow ranking and composition, shared by several queries.
     "aum": """
-SELECT r.cpf_cnpj_gestor, r.gestor, COUNT(DISTINCT concat(i.cnpj_fundo_classe, i.tp_fundo_classe)) AS numero_veiculos,
-  SUM(i.vl_patrim_liq) AS patrimonio
-FROM fx_daily i JOIN fx_registry r ON i.cnpj_fundo_classe = r.cnpj_fundo
-JOIN (SELECT cnpj_fundo_classe, tp_fundo_classe, MAX(dt_comptc) AS ultima FROM fx_daily
-      WHERE vl_patrim_liq > 0 AND tp_fundo_classe LIKE '%CLASSES%' GROUP BY 1, 2) u
-  ON i.cnpj_fundo_classe = u.cnpj_fundo_classe AND i.tp_fundo_classe = u.tp_fundo_classe AND i.dt_comptc = u.ultima
-WHERE r.cpf_cnpj_gestor IS NOT NULL AND r.gestor IS NOT NULL AND r.gestor <> '' AND i.vl_patrim_liq > 0
-  AND i.tp_fundo_classe LIKE '%CLASSES%'
-GROUP BY 1, 2 HAVING SUM(i.vl_patrim_liq) > 0""",
+SELECT r.cpf_cnpj_gestor, r.gestor, COUNT(DISTINCT (v.cnpj_fundo_classe, v.tp_fundo_classe)) AS numero_veiculos,
+  SUM(v.vl_patrim_liq) AS patrimonio
+FROM (SELECT * FROM fx_daily WHERE vl_patrim_liq > 0 AND contains(tp_fundo_classe, 'CLASSES')
+      QUALIFY dt_comptc = MAX(dt_comptc) OVER (PARTITION BY cnpj_fundo_classe, tp_fundo_classe)) v,
+  (SELECT * FROM fx_registry WHERE cpf_cnpj_gestor IS NOT NULL AND gestor <> '') r
+WHERE r.cnpj_fundo = v.cnpj_fundo_classe GROUP BY ALL""",
+    "recent": """
+SELECT *, captc_dia - resg_dia AS net FROM fx_daily
+WHERE date_diff('day', dt_comptc, (SELECT MAX(dt_comptc) FROM fx_daily)) <= 31 AND COALESCE(resg_dia, captc_dia) IS NOT NULL""",
     "flow_rows": """
-SELECT i.cnpj_fundo_classe, i.tp_fundo_classe, i.dt_comptc, r.denominacao_social, i.vl_total,
-  SUM(i.resg_dia) AS total_resgates, SUM(i.captc_dia) AS total_aportes, SUM(i.captc_dia - i.resg_dia) AS fluxo_liquido
-FROM fx_daily i LEFT JOIN fx_registry r ON i.cnpj_fundo_classe = r.cnpj_fundo
-WHERE i.dt_comptc >= (SELECT MAX(dt_comptc) FROM fx_daily) - INTERVAL 31 DAY
-  AND (i.resg_dia IS NOT NULL OR i.captc_dia IS NOT NULL)
-GROUP BY 1, 2, 3, 4, 5 HAVING SUM(i.captc_dia - i.resg_dia) <> 0""",
+SELECT d.cnpj_fundo_classe, d.tp_fundo_classe, d.dt_comptc, r.denominacao_social, d.vl_total,
+  SUM(d.resg_dia) AS total_resgates, SUM(d.captc_dia) AS total_aportes, SUM(d.net) AS fluxo_liquido
+FROM recent d LEFT JOIN fx_registry r ON r.cnpj_fundo = d.cnpj_fundo_classe
+GROUP BY ALL HAVING SUM(d.net) <> 0""",
     "flow_units": """
 SELECT *, CAST(CAST(fluxo_liquido AS DECIMAL(20,2)) * 100 AS HUGEINT) AS n, CAST(vl_total * 100 AS HUGEINT) AS d FROM flow_rows""",
     "flow_percent": """
@@ -96,13 +94,15 @@ SELECT i.cnpj_fundo_classe, i.tp_fundo_classe, i.dt_comptc, i.id_subclasse, COAL
   i.nr_cotst, COALESCE(CAST(i.resg_dia AS DOUBLE), 0) AS resg_dia, COALESCE(CAST(i.vl_patrim_liq AS DOUBLE), 0) AS vl_patrim_liq,
   COALESCE(CAST(i.vl_quota AS DOUBLE), 0) AS vl_quota, COALESCE(CAST(i.vl_total AS DOUBLE), 0) AS vl_total, r.denominacao_social
 FROM fx_daily i LEFT JOIN fx_registry r ON i.cnpj_fundo_classe = r.cnpj_fundo""",
+    "series_ends": """
+SELECT cnpj_fundo_classe, dt_comptc FROM fx_daily
+QUALIFY ROW_NUMBER() OVER (PARTITION BY cnpj_fundo_classe, tp_fundo_classe, id_subclasse ORDER BY dt_comptc DESC) = 1""",
     "active": """
-SELECT rf.gestor, SUM(id.vl_patrim_liq) AS patrimonio
-FROM fx_registry rf
-JOIN (SELECT cnpj_fundo_classe, MAX(dt_comptc) AS max_dt FROM fx_daily GROUP BY cnpj_fundo_classe, id_subclasse, tp_fundo_classe) latest
-  ON rf.cnpj_fundo = latest.cnpj_fundo_classe
-JOIN fx_daily id ON id.cnpj_fundo_classe = latest.cnpj_fundo_classe AND id.dt_comptc = latest.max_dt
-WHERE rf.gestor IS NOT NULL AND rf.situacao <> 'Cancelado' GROUP BY rf.gestor""",
+SELECT r.gestor, SUM(d.vl_patrim_liq) AS patrimonio
+FROM series_ends JOIN fx_daily d USING (cnpj_fundo_classe, dt_comptc)
+JOIN (SELECT cnpj_fundo, gestor FROM fx_registry WHERE gestor IS NOT NULL AND situacao <> 'Cancelado') r
+  ON r.cnpj_fundo = cnpj_fundo_classe
+GROUP BY r.gestor""",
     "facts": """
 SELECT i.cnpj_fundo_classe, i.tp_fundo_classe, i.id_subclasse, i.dt_comptc, r.denominacao_social,
   CAST(i.vl_patrim_liq AS DOUBLE) AS patrimonio, i.nr_cotst AS nr_cotistas

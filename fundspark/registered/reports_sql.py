@@ -69,14 +69,14 @@ ORACLE: dict[str, str] = {
     ),
     "flow_ranking": sql(f"SELECT {FLOW} FROM flow"),
     "flow_ranking_period": sql(
-        """SELECT cnpj_fundo_classe, tp_fundo_classe, denominacao_social, CAST(total_resgates AS DOUBLE) AS total_resgates,
-  CAST(total_aportes AS DOUBLE) AS total_aportes, CAST(fluxo_liquido AS DOUBLE) AS fluxo_liquido,
-  ROW_NUMBER() OVER (ORDER BY p.fluxo_liquido DESC, cnpj_fundo_classe, tp_fundo_classe, denominacao_social NULLS LAST) AS ranking
-FROM (SELECT i.cnpj_fundo_classe, i.tp_fundo_classe, r.denominacao_social, SUM(i.resg_dia) AS total_resgates,
-    SUM(i.captc_dia) AS total_aportes, SUM(i.captc_dia - i.resg_dia) AS fluxo_liquido
-  FROM fx_daily i LEFT JOIN fx_registry r ON i.cnpj_fundo_classe = r.cnpj_fundo
-  WHERE i.dt_comptc >= (SELECT MAX(dt_comptc) FROM fx_daily) - INTERVAL 7 DAY AND (i.resg_dia IS NOT NULL OR i.captc_dia IS NOT NULL)
-  GROUP BY 1, 2, 3 HAVING SUM(i.captc_dia - i.resg_dia) <> 0) p"""
+        """SELECT cnpj_fundo_classe, tp_fundo_classe, denominacao_social, CAST(resgates AS DOUBLE) AS total_resgates,
+  CAST(aportes AS DOUBLE) AS total_aportes, CAST(net AS DOUBLE) AS fluxo_liquido,
+  ROW_NUMBER() OVER (ORDER BY net DESC, cnpj_fundo_classe, tp_fundo_classe, denominacao_social NULLS LAST) AS ranking
+FROM (SELECT d.cnpj_fundo_classe, d.tp_fundo_classe, r.denominacao_social, SUM(d.resg_dia) AS resgates,
+    SUM(d.captc_dia) AS aportes, SUM(d.net) AS net
+  FROM recent d LEFT JOIN fx_registry r ON r.cnpj_fundo = d.cnpj_fundo_classe
+  WHERE date_diff('day', d.dt_comptc, (SELECT MAX(dt_comptc) FROM fx_daily)) <= 7
+  GROUP BY ALL HAVING SUM(d.net) <> 0)"""
     ),
     "flow_ranking_page_day": _page(f"dt_comptc = {LATEST_FLOW}", 0, 25),
     "flow_ranking_page_7_days": _page(f"dt_comptc >= {LATEST_FLOW} - INTERVAL 7 DAY", 1, 10),

@@ -18,9 +18,9 @@ BAD = "_bad_line"
 LINE_ORDER = ["_file", "_block", "_line"]
 
 
-def _reader(spark: SparkSession, separator: str, encoding: str):
+def _options(reader, separator: str, encoding: str):
     return (
-        spark.read.option("sep", separator)
+        reader.option("sep", separator)
         .option("encoding", encoding)
         .option("header", True)
         .option("quote", '"')
@@ -28,11 +28,27 @@ def _reader(spark: SparkSession, separator: str, encoding: str):
     )
 
 
+def layout_reader(reader, header: Sequence[str], separator: str = SEPARATOR, encoding: str = ENCODING):
+    """A batch or stream reader for files with this header, all columns as strings.
+
+    Malformed lines keep their fields and their text; a file with another header fails.
+    """
+    fields = [T.StructField(name, T.StringType()) for name in [*header, BAD]]
+    return (
+        _options(reader, separator, encoding)
+        .schema(T.StructType(fields))
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD)
+        .option("columnPruning", False)
+    )
+
+
 def header_of(
     spark: SparkSession, path: str, separator: str = SEPARATOR, encoding: str = ENCODING
 ) -> list[str]:
     """Column names from the first line of one file."""
-    return _reader(spark, separator, encoding).csv(path).columns
+    return _options(spark.read, separator, encoding).csv(path).columns
 
 
 def _too_long(header: Sequence[str], separator: str) -> Column:
@@ -45,29 +61,14 @@ def _too_long(header: Sequence[str], separator: str) -> Column:
     return line.isNotNull() & (separators >= len(header)) & any_field
 
 
-def read_layout(
-    spark: SparkSession,
-    paths: Sequence[str],
-    header: Sequence[str],
-    bad_lines: str = "skip",
-    separator: str = SEPARATOR,
-    encoding: str = ENCODING,
+def located_lines(
+    raw: DataFrame, header: Sequence[str], bad_lines: str = "skip", separator: str = SEPARATOR
 ) -> DataFrame:
-    """Files of one layout as strings plus ``LINE_ORDER`` columns.
+    """The layout's columns with each line's file and block.
 
     Short lines are padded with NULL. Lines with too many fields are skipped, or
-    fail the job (``bad_lines="fail"``). A file whose header differs fails.
+    fail the job (``bad_lines="fail"``).
     """
-    fields = [T.StructField(name, T.StringType()) for name in [*header, BAD]]
-    raw = (
-        _reader(spark, separator, encoding)
-        .schema(T.StructType(fields))
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
-        .option("columnPruning", False)
-        .csv(list(paths))
-    )
     too_long = _too_long(header, separator)
     if bad_lines == "fail":
         message = F.concat(F.lit("line has too many fields: "), F.col(BAD))
@@ -78,10 +79,23 @@ def read_layout(
         *header,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
     )
 
 
+def read_layout(
+    spark: SparkSession,
+    paths: Sequence[str],
+    header: Sequence[str],
+    bad_lines: str = "skip",
+    separator: str = SEPARATOR,
+    encoding: str = ENCODING,
+) -> DataFrame:
+    """Files of one layout as strings plus ``LINE_ORDER`` columns."""
+    raw = layout_reader(spark.read, header, separator, encoding).csv(list(paths))
+    lines = located_lines(raw, header, bad_lines, separator)
+    return lines.withColumn("_line", F.monotonically_increasing_id())
+
+
 def read_delimited(
     spark: SparkSession,
     paths: Iterable[str],
@@ -122,14 +136,7 @@ def reject_report(
 ) -> DataFrame:
     """The lines ``read_layout`` skips, with their file."""
     header = header_of(spark, paths[0], separator, encoding)
-    fields = [T.StructField(name, T.StringType()) for name in [*header, BAD]]
-    raw = (
-        _reader(spark, separator, encoding)
-        .schema(T.StructType(fields))
-        .option("columnNameOfCorruptRecord", BAD)
-        .option("columnPruning", False)
-        .csv(list(paths))
-    )
+    raw = layout_reader(spark.read, header, separator, encoding).csv(list(paths))
     file_name = F.col("_metadata.file_name").alias("arquivo_origem")
     return raw.filter(_too_long(header, separator)).select(
         file_name, F.col(BAD).alias("linha"), F.col(header[0]).alias("primeiro_campo")

@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fundspark import schemas
 from fundspark.plans.loaders import clean_daily
 from fundspark.sinks.parquet import upsert_table
-from fundspark.sources.delimited import ENCODING, SEPARATOR
+from fundspark.sources.delimited import layout_reader, located_lines
 
 FILES = "inf_diario_fi_*.csv"
 
@@ -25,22 +24,12 @@ def daily_stream(
     files_per_batch: int = 100,
 ) -> DataFrame:
     """Daily files of one layout as strings, oldest first."""
-    return (
-        spark.readStream.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
-        .option("sep", SEPARATOR)
-        .option("encoding", ENCODING)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("escape", '"')
+    reader = (
+        layout_reader(spark.readStream, header)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(folder)
-        .select(
-            *header,
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-        )
     )
+    return located_lines(reader.csv(folder), header, bad_lines="fail")
 
 
 def ingest_daily(

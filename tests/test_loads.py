@@ -273,3 +273,11 @@ def test_stream_equals_batch_and_restarts_clean(spark, rows, tmp_path):
           daily_line("191", "2025-04-01", "4"))
     batch = loaders.load_daily(spark, folder, latest_only=False)
     assert run() == rows(batch, *schemas.DAILY.fieldNames())
+
+
+def test_stream_fails_on_a_long_line(spark, tmp_path):
+    folder, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    write(tmp_path / "in" / "inf_diario_fi_202503.csv", HEADER, daily_line("191", "2025-03-31", "1") + ";x")
+    query = incremental.ingest_daily(spark, folder, landed.DAILY_HEADER, table, checkpoint)
+    with pytest.raises(Exception, match="too many fields"):
+        query.awaitTermination()
