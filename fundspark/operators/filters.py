@@ -8,9 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundspark.functions.dates import month_key
 from fundspark.functions.text import contains_ignoring_case, strip_tax_id
 
 DATE = "dt_comptc"
+# The partition column of stored tables: the month of ``dt_comptc`` as yyyyMM.
+MONTH = "ym"
 # Days behind the latest date for each named period.
 PERIOD_DAYS = {"dia": 0, "7_dias": 7, "31_dias": 31}
 MIN_TERM = 3
@@ -22,8 +25,39 @@ def _day(value: Day) -> Column:
     return F.lit(value).cast("date")
 
 
+def _from(df: DataFrame, day: Column, column: str) -> DataFrame:
+    """Rows on or after ``day``; on a table partitioned by month, of those months only."""
+    df = df.filter(F.col(column) >= day)
+    return df.filter(_month() >= _month_of(day)) if _has_months(df, column) else df
+
+
+def _until(df: DataFrame, day: Column, column: str) -> DataFrame:
+    df = df.filter(F.col(column) <= day)
+    return df.filter(_month() <= _month_of(day)) if _has_months(df, column) else df
+
+
+def _on(df: DataFrame, day: Column, column: str) -> DataFrame:
+    df = df.filter(F.col(column) == day)
+    return df.filter(_month() == _month_of(day)) if _has_months(df, column) else df
+
+
+def _has_months(df: DataFrame, column: str) -> bool:
+    return column == DATE and MONTH in df.columns
+
+
+def _month() -> Column:
+    return F.col(MONTH).cast("int")
+
+
+def _month_of(day: Column) -> Column:
+    return month_key(day).cast("int")
+
+
 def latest_date(df: DataFrame, column: str = DATE) -> Column:
-    """The frame's greatest date as a scalar subquery."""
+    """The frame's greatest date as a scalar subquery; looks at the newest month only
+    when the table is partitioned by month."""
+    if _has_months(df, column):
+        df = df.filter(_month() == df.agg(F.max(_month()).alias(MONTH)).scalar())
     return df.agg(F.max(column).alias(column)).scalar()
 
 
@@ -32,9 +66,9 @@ def date_range(
 ) -> DataFrame:
     """Inclusive date range; either bound may be absent."""
     if start is not None:
-        df = df.filter(F.col(column) >= _day(start))
+        df = _from(df, _day(start), column)
     if end is not None:
-        df = df.filter(F.col(column) <= _day(end))
+        df = _until(df, _day(end), column)
     return df
 
 
@@ -47,7 +81,7 @@ def date_range_or_latest(
 ) -> DataFrame:
     """``date_range``, or the latest date (of ``among``) when no bound is given."""
     if start is None and end is None:
-        return df.filter(F.col(column) == latest_date(df if among is None else among, column))
+        return _on(df, latest_date(df if among is None else among, column), column)
     return date_range(df, start, end, column)
 
 
@@ -61,9 +95,7 @@ def trailing_period(df: DataFrame, period: str = "dia", column: str = DATE) -> D
 
 def last_days(df: DataFrame, days: int, column: str = DATE) -> DataFrame:
     latest = latest_date(df, column)
-    if days == 0:
-        return df.filter(F.col(column) == latest)
-    return df.filter(F.col(column) >= F.date_sub(latest, days))
+    return _from(df, F.date_sub(latest, days), column) if days else _on(df, latest, column)
 
 
 def one_of(df: DataFrame, column: str, values: Sequence[str] | DataFrame | None) -> DataFrame:

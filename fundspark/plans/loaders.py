@@ -17,6 +17,7 @@ from fundspark.sources.delimited import LINE_ORDER, read_delimited
 from fundspark.sources.files import BLOCK_MONTH, DAILY_SINCE, daily_files, portfolio_files
 
 TEXT_LIMIT = 500
+FILE_MONTH = "ym_arquivo"
 
 
 # Daily information ---------------------------------------------------------
@@ -41,7 +42,11 @@ def load_daily(
     since: str = DAILY_SINCE,
     latest_only: bool = True,
 ) -> DataFrame:
-    """Load the newest daily file (or all since a month); upsert into ``table`` if given."""
+    """Load the newest daily file (or all since a month).
+
+    With ``table`` the rows are upserted and the whole table is returned, with its
+    month column, by which the date filters prune.
+    """
     month_by_path = {f.path: f.month for f in daily_files(spark, folder, since, latest_only)}
     raw = read_delimited(
         spark, month_by_path, bad_lines="fail", alike=month_by_path.get,
@@ -51,7 +56,7 @@ def load_daily(
     if table is None:
         return daily
     parquet.upsert_table(spark, table, daily, schemas.DAILY_KEYS, month_of="dt_comptc")
-    return spark.read.parquet(table).drop(parquet.MONTH)
+    return spark.read.parquet(table)
 
 
 # Registration --------------------------------------------------------------
@@ -153,9 +158,9 @@ def load_registry(
 
 
 def positions_schema() -> T.StructType:
-    """All columns of all blocks, the block's origin and the month."""
+    """All columns of all blocks, the block's origin and the file's month."""
     fields = {f.name: f for block in schemas.BLOCKS for f in schemas.block_schema(block)}
-    tags = [T.StructField(name, T.StringType()) for name in ("origem_tabela", parquet.MONTH)]
+    tags = [T.StructField(name, T.StringType()) for name in ("origem_tabela", FILE_MONTH)]
     return T.StructType([*fields.values(), *tags])
 
 
@@ -167,8 +172,8 @@ def clean_block(raw: DataFrame, block: int, keep: Sequence[str] = ()) -> DataFra
 
 
 def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
-    """All portfolio block files as one table with ``origem_tabela`` and ``ym``, the
-    month the file was published for.
+    """All portfolio block files as one table with ``origem_tabela`` and
+    ``ym_arquivo``, the month the file was published for.
 
     ``table`` is replaced, partitioned by both. Missing input fails before that.
     """
@@ -182,7 +187,7 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
         rows = clean_block(raw, block, keep=["_file"]).withColumns(
             {
                 "origem_tabela": F.lit(schemas.ORIGINS[block]),
-                parquet.MONTH: F.regexp_extract("_file", BLOCK_MONTH, 1),
+                FILE_MONTH: F.regexp_extract("_file", BLOCK_MONTH, 1),
             }
         )
         frames.append(rows.drop("_file"))
@@ -191,7 +196,7 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
     if table is None:
         return positions
     # Each file belongs to one origin and month: the scan's layout is the table's.
-    parquet.refresh(positions, table, ["origem_tabela", parquet.MONTH], balance=False)
+    parquet.refresh(positions, table, ["origem_tabela", FILE_MONTH], balance=False)
     return spark.read.parquet(table)
 
 
@@ -221,4 +226,4 @@ def upsert_returns(spark: SparkSession, returns: DataFrame, table: str) -> DataF
     parquet.upsert_table(
         spark, table, conformed, schemas.KEYS["fundo_rentabilidade"], month_of="dt_comptc"
     )
-    return spark.read.parquet(table).drop(parquet.MONTH)
+    return spark.read.parquet(table)

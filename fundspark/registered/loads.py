@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fundspark import fixtures as fx
 from fundspark import landed, schemas
-from fundspark.operators import columns, keys
+from fundspark.operators import columns, filters, keys
 from fundspark.plans import loaders, portfolio, quotes, returns
 from fundspark.registered.base import doubles, register
 from fundspark.registered.operators import upsert_frames
@@ -49,7 +49,8 @@ def _(spark, sf):
 def _(spark, sf):
     table = scratch_path(spark, "informacao_diaria")
     parquet.refresh_partitions(parquet.with_month(upsert_frames(spark, sf)[1]), table, [parquet.MONTH])
-    return doubles(loaders.load_daily(spark, landed.daily_folder(spark, sf), table, since=SINCE))
+    stored = loaders.load_daily(spark, landed.daily_folder(spark, sf), table, since=SINCE)
+    return doubles(stored.drop(parquet.MONTH))
 
 
 @register("upsert_daily_table")
@@ -66,7 +67,7 @@ def _(spark, sf):
     first = returns.log_returns(fx.daily(spark, sf)).withColumn("vl_log_quota", F.lit(0.0))
     loaders.upsert_returns(spark, first, table)
     stored = loaders.upsert_returns(spark, returns.log_returns(fx.daily(spark, sf)), table)
-    return stored.withColumn("vl_log_quota", F.round("vl_log_quota", 6))
+    return stored.drop(parquet.MONTH).withColumn("vl_log_quota", F.round("vl_log_quota", 6))
 
 
 @register("observed_counters")
@@ -82,6 +83,15 @@ def _(spark, sf):
     return spark.createDataFrame(row, "rows_before long, rows_after long")
 
 
+@register("stored_trailing_7_days")
+def _(spark, sf):
+    """A trailing period of a table partitioned by month: older months are not read."""
+    table = scratch_path(spark, "informacao_diaria")
+    parquet.refresh_partitions(parquet.with_month(fx.daily(spark, sf)), table, [parquet.MONTH])
+    rows = filters.trailing_period(spark.read.parquet(table), "7_dias")
+    return rows.select(*schemas.DAILY_KEYS)
+
+
 # Registration and registry -----------------------------------------------------------
 
 

@@ -30,6 +30,7 @@ ORACLE: dict[str, str] = {
     ),
     "load_daily_table": sql(JANUARY),
     "ingest_daily": sql(JANUARY),
+    "stored_trailing_7_days": OPERATORS["trailing_7_days"],
     "upsert_daily_table": OPERATORS["merge_upsert"],
     "upsert_returns": REPORTS["log_returns"],
     "observed_counters": "SELECT COUNT(*) AS rows_before, COUNT(DISTINCT (user_id, event_type)) AS rows_after FROM events",

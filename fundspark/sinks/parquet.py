@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark.functions.dates import month_key
+from fundspark.operators.filters import MONTH
 from fundspark.operators.keys import merge_upsert, require_unique
 from fundspark.session import frozen
 from fundspark.sources.tables import path_has_data
 
-MONTH = "ym"
 # A load that touches no more months than this writes them without a further shuffle.
 FEW_MONTHS = 3
 

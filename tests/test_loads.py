@@ -179,7 +179,7 @@ def test_portfolio_load_and_missing_input(spark, rows, tmp_path):
           "TP_FUNDO;CNPJ_FUNDO;DT_COMPTC;CNPJ_FUNDO_COTA;VL_MERC_POS_FINAL", "FI;191;2023-12-31;00.000.000/0002-72;7")
     table = str(tmp_path / "out")
     stored = loaders.load_portfolio(spark, str(tmp_path / "in"), table)
-    assert rows(stored, "origem_tabela", "ym", "cnpj_fundo_classe", "vl_merc_pos_final", "cnpj_fundo_classe_cota") == [
+    assert rows(stored, "origem_tabela", "ym_arquivo", "cnpj_fundo_classe", "vl_merc_pos_final", "cnpj_fundo_classe_cota") == [
         ("FUNDOS", 202312, "00000000000191", Decimal("7"), "00000000000272"),
         ("TITULO_PUBLICO_SELIC", 202401, "00000000000191", Decimal("10.50"), None),
     ]
