@@ -26,7 +26,7 @@ DAILY_HEADER = [
 ]
 CLASS_OFFSET = 500000000
 ARCHIVE_ROWS = 500
-NANO_ACCENT = " é"
+ACCENT = " é"
 
 
 def write_delimited(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
@@ -110,7 +110,7 @@ def registration_files(spark: SparkSession, sf: str) -> tuple[str, str]:
     segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
 
     def name(suffix: str) -> Column:
-        return F.concat("c_name", F.lit(NANO_ACCENT + suffix))
+        return F.concat("c_name", F.lit(ACCENT + suffix))
 
     def current(sequence: int, suffix: str) -> DataFrame:
         return customers.filter(balance >= 0).select(
@@ -262,7 +262,7 @@ def archive_rows(spark: SparkSession, sf: str) -> DataFrame:
 
     def zipped(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("c_custkey")
-        lines = "".join(f"{k};{n}{NANO_ACCENT}\r\n" for k, n in zip(rows["c_custkey"], rows["c_name"]))
+        lines = "".join(f"{k};{n}{ACCENT}\r\n" for k, n in zip(rows["c_custkey"], rows["c_name"]))
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as bundle:
             bundle.writestr("dados/clientes.csv", lines.encode("latin-1"))

@@ -8,6 +8,8 @@ skewed partitions adaptive execution splits.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +53,13 @@ def dedup_counters(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fail when a key occurs twice. Runs one aggregate."""
-    twice = df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1").take(1)
-    if twice:
-        raise ValueError(f"duplicate key in {list(keys)}: {twice[0].asDict()}")
+def require_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fail when a key occurs twice or is NULL. Runs one aggregate."""
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
+    counted = df.groupBy(*keys).agg(F.count("*").alias("copies"))
+    bad = counted.filter(missing | (F.col("copies") > 1)).take(1)
+    if bad:
+        raise ValueError(f"duplicate or missing key in {list(keys)}: {bad[0].asDict()}")
     return df
 
 

@@ -12,7 +12,6 @@ from fundspark.plans import portfolio, rankings, returns, screening
 from fundspark.registered.base import doubles, register
 
 FUND = ("00000000000003", "CLASSES - FIF")
-POSITION_AMOUNTS = ["vl_merc_pos_final", "qt_pos_final"]
 
 
 def _daily_registry(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundspark.functions.dates import month_key
 from fundspark.operators.filters import MONTH
-from fundspark.operators.keys import merge_upsert, require_unique
+from fundspark.operators.keys import merge_upsert, require_keys
 from fundspark.session import frozen
 from fundspark.sources.tables import path_has_data
 
@@ -71,7 +71,7 @@ def upsert_table(
     upsert again changes nothing, so a failed run can simply be repeated.
     """
     # The source is used three times below; freeze it rather than recompute it.
-    source = require_unique(frozen(source), keys)
+    source = require_keys(frozen(source), keys)
     if month_of is None:
         if path_has_data(spark, path):
             # Frozen, because a table cannot be overwritten while it is being read.

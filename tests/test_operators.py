@@ -74,10 +74,16 @@ def test_upsert_matches_columns_by_name(spark, rows):
 
 def test_duplicate_source_key_fails(spark, table):
     _, source = frames(spark)
-    with pytest.raises(ValueError, match="duplicate key"):
+    with pytest.raises(ValueError, match="duplicate or missing key"):
         parquet.upsert_table(spark, table, source.unionByName(source), ["k"])
 
 
+def test_missing_source_key_fails(spark, table):
+    source = spark.createDataFrame([(None, 1)], "k string, n int")
+    with pytest.raises(ValueError, match="duplicate or missing key"):
+        parquet.upsert_table(spark, table, source, ["k"])
+
+
 @pytest.mark.parametrize("update_cols", [None, ["v"]])
 def test_upsert_table_is_idempotent(spark, rows, table, update_cols):
     target, source = frames(spark)
