@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import chat, fingerprints, sharding
+from fundspark.llm import chat, fingerprints, mixing, quality, sharding
 from fundspark.llm.common import POSITION, documents, positioned, stage
 
 SHARDS = 8
@@ -157,9 +157,147 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_copy")
 
 
+MIX = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+BUDGET_SHARE = 0.5
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, weighed to tempered source, language and topic marginals and sampled to half the tokens."""
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    measured = stage(
+        documents(spark, sf_dir).select(
+            "doc_id", "source", "lang", mixing.marker_topic(F.col("text")).alias("topic"),
+            words.cast("long").alias("tokens"),
+        ),
+        "measured",
+    )
+    mixed = mixing.mix(measured, MIX, budget_share=BUDGET_SHARE)
+    return mixed.select(
+        "doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"),
+        F.round("probability", 6).alias("probability"), "kept",
+    )
+
+
+def _op1_sql() -> str:
+    markers = mixing.TOPIC_MARKERS
+    count = lambda m: f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}"
+    counts = ", ".join(count(m) for m in markers)
+    names = ", ".join(f"'{m}'" for m in markers)
+    steps = [
+        f"""docs AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(text, '') AS text,
+            lower(coalesce(text, '')) AS t FROM documents)""",
+        f"""counted AS MATERIALIZED (SELECT doc_id, source, lang, [{counts}] AS c,
+            len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM docs)""",
+        f"""measured AS MATERIALIZED (SELECT doc_id, source, lang, tokens,
+            CASE WHEN list_max(c) > 0 THEN [{names}][list_position(c, list_max(c))] ELSE 'none' END AS topic
+            FROM counted)""",
+        """r0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS present,
+            sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM measured) AS share FROM measured GROUP BY ALL)""",
+    ]
+    last = "r0"
+    for d, power in MIX.items():
+        steps.append(f"""t_{d} AS MATERIALIZED (SELECT {d}, pow(sum(present), {power}) / sum(pow(sum(present), {power})) OVER () AS t
+            FROM r0 GROUP BY {d})""")
+    for i in range(mixing.ITERATIONS):
+        for d in MIX:
+            now = f"r{i}_{d}"
+            steps.append(f"""{now} AS MATERIALIZED (SELECT source, lang, topic, present,
+                share * (SELECT t FROM t_{d} WHERE t_{d}.{d} IS NOT DISTINCT FROM c.{d}) / sum(share) OVER (PARTITION BY {d}) AS share
+                FROM {last} c)""")
+            last = now
+    steps.append(f"""weighed AS MATERIALIZED (SELECT *, share * sum(present) OVER () / present AS weight FROM {last} WHERE present > 0)""")
+    steps.append(f"""c0 AS (SELECT 0.0::DOUBLE AS c)""")
+    for i in range(mixing.CAPPING_ROUNDS):
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT greatest(any_value(c), coalesce((
+            {BUDGET_SHARE} * sum(present) - coalesce(sum(present) FILTER (weight * c >= 1), 0))
+            / sum(present * weight) FILTER (weight * c < 1), any_value(c))) AS c FROM weighed, c{i})""")
+    c = f"c{mixing.CAPPING_ROUNDS}"
+    return "WITH " + ",\n".join(steps) + f"""
+        SELECT doc_id, m.source, m.lang, m.topic, tokens,
+            round(coalesce(weight, 0), 6) AS weight,
+            round(least(1, coalesce(weight, 0) * (SELECT c FROM {c})), 6) AS probability,
+            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0
+                < least(1, coalesce(weight, 0) * (SELECT c FROM {c})) AS kept
+        FROM measured m LEFT JOIN weighed w ON m.source IS NOT DISTINCT FROM w.source
+            AND m.lang IS NOT DISTINCT FROM w.lang AND m.topic = w.topic"""
+
+
+def op4_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by rules whose cutoffs are certified per language on all labels."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    measured = stage(quality.measure(docs), "measured")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.risk_controlled(measured, labels, "lang")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"),
+    )
+
+
+def _op4_sql() -> str:
+    level = quality.RISK / len(quality.GRID)
+    tests = sum(len(cuts) for cuts in quality.GRID.values())
+    grid = ", ".join(f"('{r}', {c})" for r, cuts in quality.GRID.items() for c in cuts)
+    word = r"[^\x20\x09-\x0D]+"
+    verdicts = "\n".join(
+        f"LEFT JOIN chosen c_{r} ON c_{r}.rule = '{r}' AND c_{r}.lang IS NOT DISTINCT FROM f.lang" for r in quality.GRID
+    )
+    failed = ", ".join(f"CASE WHEN f.{r} > c_{r}.cutoff THEN '{r}' END" for r in quality.GRID)
+    return f"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{word}') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+    FROM documents
+), windows AS (
+    SELECT id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+    FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM docs)
+), twice AS (
+    SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, w) AS n FROM windows) WHERE n > 1
+), repeats AS (
+    SELECT id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY id
+), counted AS (
+    SELECT docs.id, doc_id, lang, len(words)::BIGINT AS n_words,
+        length(array_to_string(words, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM docs LEFT JOIN repeats USING (id)
+), facts AS MATERIALIZED (
+    SELECT *, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_share,
+        coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+        coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share,
+        coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+    FROM counted
+), good AS (
+    SELECT * FROM facts WHERE NOT base_failed
+        AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)
+), long AS (UNPIVOT (SELECT lang, {', '.join(quality.GRID)} FROM good) ON {', '.join(quality.GRID)} INTO NAME rule VALUE v),
+counts AS (
+    SELECT l.lang, g.rule, g.cut, count(*) AS n, count(*) FILTER (v > g.cut) AS k
+    FROM long l JOIN (VALUES {grid}) g(rule, cut) ON l.rule = g.rule GROUP BY ALL
+), terms AS (
+    SELECT lang, rule, cut, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+        + i * ln({level}) + (n - i) * ln(1 - {level}))) AS tail
+    FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM counts WHERE k <= n * {level}) GROUP BY ALL
+), chosen AS (
+    SELECT lang, rule, min(cut) AS cutoff FROM terms
+    WHERE tail <= {quality.DELTA} / ({tests} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM good)))
+    GROUP BY ALL
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND len(list_filter([{failed}], lambda x: x IS NOT NULL)) = 0 AS kept,
+    array_to_string(list_filter([{failed}], lambda x: x IS NOT NULL), ',') AS failed_rules
+FROM facts f {verdicts}
+"""
+
+
 QUERIES = {
+    "op1_mix": op1_mix,
+    "op4_risk_rules": op4_risk_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op8_chat_parts": op8_chat_parts,
     "op9_simhash": op9_simhash,
 }
-ORACLE = {"op8_chat_parts": OP8_SQL}
+ORACLE = {"op1_mix": _op1_sql(), "op4_risk_rules": _op4_sql(), "op8_chat_parts": OP8_SQL}
