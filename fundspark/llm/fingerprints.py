@@ -37,17 +37,17 @@ def _terms(words: Column) -> Column:
     return F.when(F.size(words) >= 2, pairs).otherwise(F.transform(words, lambda w: term(w)))
 
 
-def simhash(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key``, ``high`` and ``low``: the two halves of the fingerprint of each key's text.
+def simhash(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The ``keys``, ``high`` and ``low``: the two halves of the fingerprint of each key's text.
 
-    Keys are unique; NULL texts count as empty. The votes of a text are summed in the task
+    Keys are unique together; NULL texts count as empty. The votes of a text are summed in the task
     that reads it, 2**32 / 31 terms of one text at least without overflow.
     """
     terms = (
-        texts.select(key, words_of(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
-        .select(key, F.explode_outer(_terms(F.col("_words"))).alias("_term"))
+        texts.select(*keys, words_of(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+        .select(*keys, F.explode_outer(_terms(F.col("_words"))).alias("_term"))
         .select(
-            key,
+            *keys,
             F.col("_term.hash").alias("_h0"),
             F.xxhash64(F.col("_term.hash"), F.lit(1)).alias("_h1"),
             F.coalesce(F.col("_term.weight"), F.lit(0)).alias("_w"),
@@ -58,7 +58,7 @@ def simhash(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
         for half in (0, 1)
         for i in range(32)
     ]
-    counted = terms.groupBy(key).agg(F.sum("_w").alias("_all"), *votes)
+    counted = terms.groupBy(*keys).agg(F.sum("_w").alias("_all"), *votes)
 
     def bits(half: int) -> Column:
         out = F.lit(0).cast("long")
@@ -69,7 +69,7 @@ def simhash(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
                 out = out.bitwiseOR(F.when(count * 2 > F.col("_all"), F.lit(bit)).otherwise(F.lit(0).cast("long")))
         return out
 
-    return counted.select(key, bits(0).alias("high"), bits(1).alias("low"))
+    return counted.select(*keys, bits(0).alias("high"), bits(1).alias("low"))
 
 
 def as_hex(high: Column, low: Column) -> Column:

@@ -121,16 +121,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = texts.join(given, "_row").join(order.select("_row", "pos", "n_chars"), "_row")
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), kept), "_given")
-    both = own.select("pos", F.array("text", edited).alias("_texts"))
-    digests = own.select("pos", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
-    split = both.select(F.posexplode("_texts").alias("_kind", "text"), "pos").select(
-        (F.col("pos") * 2 + F.col("_kind")).alias("_key"), "text"
+    both = own.select("pos", "text", edited.alias("_edited")).select(
+        "pos",
+        F.array(
+            F.struct("text", F.lit(None).cast("string").alias("edited_sha256")),
+            F.struct(F.col("_edited").alias("text"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256")),
+        ).alias("_texts"),
     )
-    prints = stage(fingerprints.simhash(split, "_key"), "simhash")
-    is_edited = F.col("_key") % 2 == 1
-    mine = prints.filter(~is_edited).select((F.col("_key") / 2).cast("long").alias("pos"), "high", "low")
-    theirs = prints.filter(is_edited).select(
-        F.floor(F.col("_key") / 2).alias("pos"), F.col("high").alias("e_high"), F.col("low").alias("e_low")
+    split = both.select("pos", F.explode("_texts").alias("_t")).select("pos", "_t.*")
+    prints = stage(fingerprints.simhash(split, ["pos", "edited_sha256"]), "simhash")
+    mine = prints.filter(F.col("edited_sha256").isNull()).select("pos", "high", "low")
+    theirs = prints.filter(F.col("edited_sha256").isNotNull()).select(
+        "pos", "edited_sha256", F.col("high").alias("e_high"), F.col("low").alias("e_low")
     )
     following = mine.select(
         F.pmod(F.col("pos") - 1, F.lit(max(n, 1))).alias("pos"), F.col("high").alias("n_high"), F.col("low").alias("n_low")
@@ -139,7 +141,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.filter(F.col("doc_id") % 100 == 0)
     found = fingerprints.within_radius(asked, rows, RADIUS)
     result = (
-        order.join(mine, "pos").join(theirs, "pos").join(following, "pos").join(digests, "pos")
+        order.join(mine, "pos").join(theirs, "pos").join(following, "pos")
         .join(found, ["high", "low"], "left")
     )
     is_query = F.col("doc_id") % 100 == 0

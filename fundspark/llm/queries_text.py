@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import langid
+from fundspark.llm import langid, packing
 from fundspark.llm.common import documents
 
 FOLDS = 5
@@ -33,5 +33,21 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_language": op3_language}
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens."""
+    return packing.pack(packing.tokenised(documents(spark, sf_dir), tokenizer_path())).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"
+    )
+
+
+QUERIES = {"op3_language": op3_language, "op7_packing": op7_packing}
 ORACLE: dict[str, str] = {}
