@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import langid, packing
+from fundspark.llm import langid, neardup, packing
 from fundspark.llm.common import documents
 
 FOLDS = 5
@@ -49,5 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_language": op3_language, "op7_packing": op7_packing}
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and the number of links of every document at a similarity of 0.8."""
+    return neardup.similarity_classes(documents(spark, sf_dir))
+
+
+QUERIES = {"op3_language": op3_language, "op5_lsh_forest": op5_lsh_forest, "op7_packing": op7_packing}
 ORACLE: dict[str, str] = {}
