@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import langid, neardup, packing
+from fundspark.llm import langid, neardup, packing, repeats
 from fundspark.llm.common import documents
 
 FOLDS = 5
@@ -54,5 +54,19 @@ def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similarity_classes(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_language": op3_language, "op5_lsh_forest": op5_lsh_forest, "op7_packing": op7_packing}
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeat an earlier one."""
+    cleaned = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {
+    "op3_language": op3_language,
+    "op5_lsh_forest": op5_lsh_forest,
+    "op6_suffix_array": op6_suffix_array,
+    "op7_packing": op7_packing,
+}
 ORACLE: dict[str, str] = {}
