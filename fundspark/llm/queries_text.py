@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import langid, neardup, packing, repeats
+from fundspark.llm import langid, licenses, neardup, packing, repeats
 from fundspark.llm.common import documents
 
 FOLDS = 5
@@ -63,10 +63,17 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in all documents."""
+    notices = spark.createDataFrame(licenses.NOTICES, "license string, text string")
+    return licenses.scan(documents(spark, sf_dir), notices)
+
+
 QUERIES = {
     "op3_language": op3_language,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_suffix_array": op6_suffix_array,
     "op7_packing": op7_packing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {}
