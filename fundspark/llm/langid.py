@@ -240,14 +240,16 @@ class Identifier:
     def __init__(self, models: Models, effective: int, limits: dict[tuple[str, int], float]):
         self.models, self.effective, self.limits = models, effective, limits
 
-    def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``lang_pred``, ``score``, ``cross_entropy``, ``rejected`` in place of the text.
+    def predict(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """``docs`` (text and others) with ``lang_pred``, ``score``, ``cross_entropy``, ``n_scored``, ``rejected``.
 
         ``und``, score 0, rejected, for NULL texts and texts without letters. Ties go to the first
-        language in alphabetical order. Columns of these names are replaced.
+        language in alphabetical order. Columns of these names are replaced, and the text
+        is only kept if asked for.
         """
         new = ["lang_pred", "score", "cross_entropy", "n_scored"]
-        kept = [c for c in docs.columns if c not in (*new, "rejected", text)]
+        kept = [c for c in docs.columns if c not in (*new, "rejected")]
+        passed = [c for c in kept if keep_text or c != "text"]
         shared = docs.sparkSession.sparkContext.broadcast((self.models, self.effective))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ class Identifier:
                 lowest = entropy[np.arange(len(best)), best]
                 with np.errstate(invalid="ignore"):
                     odds = np.exp(-effective * (entropy - lowest[:, None])).sum(axis=1)
-                rest = part.drop_columns(["text"])
+                rest = part.select(passed)
                 columns = [
                     pa.array(names[np.where(known, best, -1)], pa.string()),
                     pa.array(np.where(known, 1 / odds, 0.0)),
@@ -272,9 +274,9 @@ class Identifier:
                 ]
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, *new])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
         schema = ", ".join(x for x in (kinds, "lang_pred string, score double, cross_entropy double, n_scored bigint") if x)
-        scored = docs.select(*kept, F.col(text).alias("text")).mapInArrow(run, schema)
+        scored = docs.select(*kept).mapInArrow(run, schema)
         too_high = F.lit(False)
         for (language, length), limit in sorted(self.limits.items()):
             too_high = too_high | (

@@ -423,13 +423,13 @@ def covered(chunk: Chunk, suffixes: Suffixes, mask: np.ndarray) -> np.ndarray:
     return index - np.maximum.accumulate(np.where(starts, index, -WIDTH)) < WIDTH
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``spans`` and ``kept`` in place of the text.
 
     ``docs`` has ``doc_id`` and ``text``; other columns pass through, those named like the new
     ones are replaced. ``spans`` are the maximal removed runs [start, end) in bytes of the
-    text, ``kept`` the remaining bytes (a character can be cut at a border). A NULL text is
-    empty. Rows with a NULL doc_id come after all others and not before each other; rows
+    text, ``kept`` the remaining bytes; as these can begin or end inside a character,
+    ``as_text`` gives a text without such rests instead. A NULL text is empty. Rows with a NULL doc_id come after all others and not before each other; rows
     with the same doc_id do not count as earlier than one another. Texts below ``WIDTH``
     bytes are left as they are. An empty table gives no rows.
     """
@@ -438,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = ", ".join(f"`{c}` {kinds[c]}" for c in names if c != "text")
-    out += ", n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    out += ", n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary")
     plain = docs.select(*[F.col(c).cast("bigint").alias(c) if c == "doc_id" else F.col(c) for c in names])
     out = out.replace(f"`doc_id` {kinds['doc_id']}", "`doc_id` bigint")
     chunks = stage(_chunks(plain), "chunks")
@@ -470,7 +470,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield rest | {
             "n_bytes": pa.array(chunk.sizes), "n_removed": pa.array(removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            "kept": pa.array(kept, pa.binary()),
+            "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
         }
 
     return _each(known.join(masks, "chunk", "left"), finish, out)
