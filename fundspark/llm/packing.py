@@ -2,11 +2,12 @@
 
 Documents are tokenised, cut into pieces of at most ``capacity`` tokens, and dealt to partitions.
 Each partition packs its pieces by best-fit decreasing and compares its bins with lower bounds
-from dual feasible functions (Fekete and Schepers), which no packing of these pieces can beat. A
-partition that meets its bound is certified and done. The others keep their full bins, give
-the pieces of all other bins away, and these meet in fewer partitions, where they are packed
-again; the rounds end when one partition is left or all are certified. Pieces are packed by
-length, of which there are at most ``capacity``, so a partition costs little memory.
+from dual feasible functions (Fekete and Schepers), which no packing of these pieces can beat;
+where they are equal the partition is certified. One that is as good as full keeps all bins
+but the least filled, which another partition may fill. The others, whose gaps other pieces
+could close, keep only their full bins. The pieces given away are dealt anew to as many
+partitions as they need and packed again, for a fixed number of rounds or until one
+partition holds them all. No task gets more than its share of pieces.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
     names = [c for c in items.columns if c not in ("sequence_id", "offset", "certified")]
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     out = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    out += ", sequence_id bigint, offset bigint, certified boolean, done boolean"
+    out += ", sequence_id bigint, offset bigint, certified boolean, _done boolean"
     left = stage(items.select(*names), "pieces")
     parts = max(1, -(-left.count() // partition_pieces))
     results = []
@@ -202,10 +203,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
         run = _packer(names, capacity, last, round_)
         deal = F.pmod(F.xxhash64(F.lit(round_), *names), F.lit(parts)).cast("long")
         packed = stage(left.withColumn("_part", deal).groupBy("_part").applyInArrow(run, out), "packed")
-        results.append(packed.filter("done").drop("done"))
+        results.append(packed.filter("_done").drop("_done"))
         if last:
             break
-        left = packed.filter("NOT done").select(*names)
+        left = packed.filter("NOT _done").select(*names)
         parts = max(1, -(-left.count() // partition_pieces))
     everything = results[0]
     for more in results[1:]:
@@ -224,7 +225,7 @@ def _packer(names: list[str], capacity: int, last: bool, round_: int):
         keep = filled == capacity
         if last:
             keep[:] = True
-        elif certified:
+        elif used == -(-int(lengths.sum()) // capacity):
             keep = keep | (np.arange(used) != filled.argmin())
         done = keep[bins]
         order = np.argsort(bins, kind="stable")
@@ -236,7 +237,7 @@ def _packer(names: list[str], capacity: int, last: bool, round_: int):
         ids = ((round_ << 56) | (part << 32)) + bins
         return pa.table(
             [*(group.column(c) for c in names), pa.array(ids), pa.array(offsets), pa.array(np.full(len(bins), certified)), pa.array(done)],
-            [*names, "sequence_id", "offset", "certified", "done"],
+            [*names, "sequence_id", "offset", "certified", "_done"],
         )
 
     return run
