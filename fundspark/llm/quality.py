@@ -139,7 +139,7 @@ def certified_cutoffs(
         F.count("*").alias("n"),
         *[F.count_if(F.col(rule) > cut).alias(f"_{rule}_{j}") for rule, j, cut in tests],
     )
-    strata = counted.agg(F.count("*").alias("_strata"))
+    made = len(tests) * max(1, counted.count())
     level = risk / len(grid)
     # Above its expectation a count is never certified.
     at_most = lambda k: F.when(k <= F.col("n") * level, binomial_tail(k, F.col("n"), level)).otherwise(1.0)
@@ -148,9 +148,8 @@ def certified_cutoffs(
         for r, j, c in tests
     ]))
     tested = (
-        counted.join(F.broadcast(strata))  # one row
-        .select(stratum, "n", "_strata", test.alias("_t"))
-        .select(stratum, "n", "_t.*", (at_most(F.col("_t.k")) <= delta / (F.col("_strata") * len(tests))).alias("_ok"))
+        counted.select(stratum, "n", test.alias("_t"))
+        .select(stratum, "n", "_t.*", (at_most(F.col("_t.k")) <= delta / made).alias("_ok"))
     )
     return tested.groupBy(stratum, "rule").agg(
         F.min(F.when(F.col("_ok"), F.col("cut"))).alias("cutoff"),
