@@ -4,9 +4,10 @@ import pytest
 from check_oracle import compare, duck
 from conftest import SMALL
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from fundspark.registered.base import QUERIES
 
-QUERIES, ORACLE = queries(), oracle_sql()
+ORACLE = {name: sql for name, sql in oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
