@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 # The stand-in for an unreadable date, and the nanosecond clock's range.
 INVALID_DATE = "1900-01-01"
+DATE_FORMS = ((r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"))
 NANOSECOND_RANGE = ("1677-09-22", "2262-04-11")
 
 
 def fix_invalid_date(column: Column, nanosecond_range: bool = False) -> Column:
-    """Valid dates stay, blanks become NULL, anything else becomes 1900-01-01.
+    """Dates of a known form stay, blanks become NULL, anything else becomes 1900-01-01.
+
+    Known are ISO dates, also with a time, ``DATE_FORMS``, and nothing else.
 
     ``nanosecond_range`` also treats dates a 64-bit nanosecond clock cannot hold
     as unreadable.
     """
-    parsed = F.trim(column).try_cast("date")
+    text = F.trim(column)
+    forms = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date")) for shape, form in DATE_FORMS]
+    parsed = F.coalesce(*forms, text.try_cast("date"))
     readable = parsed.isNotNull()
     if nanosecond_range:
         low, high = (F.lit(d).cast("date") for d in NANOSECOND_RANGE)

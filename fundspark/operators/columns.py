@@ -59,12 +59,17 @@ def fix_dates(df: DataFrame, names: Iterable[str], nanosecond_range: bool = Fals
     )
 
 
-def conform(df: DataFrame, schema: T.StructType, extra: str = "raise") -> DataFrame:
+def conform(
+    df: DataFrame, schema: T.StructType, extra: str = "raise", on_loss: str = "null"
+) -> DataFrame:
     """Shape ``df`` like a target table: its columns, its order, its types.
 
-    Absent columns are NULL and values that do not fit the type become NULL
-    (``cast_losses`` counts them). ``extra="drop"`` ignores unknown columns.
+    Absent columns and blank texts are NULL. Values that do not fit the type become NULL
+    (``cast_losses`` counts them); ``on_loss="fail"`` fails the job instead, naming column
+    and value. ``extra="drop"`` ignores unknown columns.
     """
+    if on_loss not in ("null", "fail"):
+        raise ValueError(on_loss)
     known = {f.name for f in schema}
     unknown = [c for c in df.columns if c not in known]
     if unknown and extra == "raise":
@@ -76,15 +81,20 @@ def conform(df: DataFrame, schema: T.StructType, extra: str = "raise") -> DataFr
         if field.name not in present:
             value = f"CAST(NULL AS {kind})"
         elif present[field.name] != kind:
-            value = f"try_cast({value} AS {kind})"
+            cast = f"try_cast({value} AS {kind})"
+            if on_loss == "fail":
+                what = f"raise_error(concat('{field.name} cannot hold ', {value}))"
+                lost = f"trim(CAST({value} AS STRING)) <> '' AND {cast} IS NULL"
+                cast = f"CASE WHEN {lost} THEN {what} ELSE {cast} END"
+            value = cast
         columns.append(f"{value} AS `{field.name}`")
     return df.selectExpr(*columns)
 
 
 def cast_losses(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """One row: per target column, how many non-NULL values would not fit its type."""
+    """One row: per target column, how many values, blanks apart, would not fit its type."""
     lost = [
-        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(
+        F.count_if((F.trim(F.col(f.name).cast("string")) != "") & F.col(f.name).try_cast(f.dataType).isNull()).alias(
             f.name
         )
         for f in schema

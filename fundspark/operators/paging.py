@@ -1,4 +1,4 @@
-"""Pages and capped results."""
+"""Pages and flagged results."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 MAX_PAGE_SIZE = 100
 SHOWN_HITS = 10
@@ -37,9 +36,7 @@ def page_after(df: DataFrame, rank: str, after: int, size: int = 25) -> DataFram
     return df.filter(F.col(rank) > after).orderBy(rank).limit(size)
 
 
-def capped(df: DataFrame, order: Sequence[str | Column], shown: int = SHOWN_HITS) -> DataFrame:
-    """The first ``shown`` hits, each flagged when there are more ("refine the search")."""
-    found = df.orderBy(*order).limit(shown + 1)
-    # The window spans at most shown + 1 rows.
-    flagged = found.withColumn("refinar_busca", F.count("*").over(W.partitionBy()) > shown)
-    return flagged.orderBy(*order).limit(shown)
+def flagged(df: DataFrame, order: Sequence[str | Column], shown: int = SHOWN_HITS) -> DataFrame:
+    """All hits with their number (``total``), flagged when it is over ``shown`` ("refine the search")."""
+    total = df.agg(F.count("*").alias("total")).scalar()
+    return df.withColumn("total", total).withColumn("refinar_busca", F.col("total") > shown).orderBy(*order)

@@ -1,9 +1,9 @@
 """Ranks and lags that no single task has to finish alone.
 
-Small inputs use Spark's window directly. Larger ones are range-partitioned on
-the full sort key and frozen in the checkpoint folder, so that a global rank is
-"rows in earlier partitions + row position", and a group that one task should
-not hold is ranked or lagged piece by piece with the pieces stitched together.
+There is one plan for every size. Rows are range-partitioned on the full sort key and staged
+once as Parquet, so that a global rank is "rows in earlier partitions + row position", and a
+group is ranked or lagged piece by piece with the pieces stitched together. Building such a
+frame runs a fixed number of jobs.
 """
 
 from __future__ import annotations
@@ -15,38 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fundspark.operators.keys import join_same_keys
-from fundspark.session import fits_one_task, frozen
+from fundspark.session import staged
 
-# A group up to this size is an ordinary window partition.
-HOT_ROWS = 4_000_000
-# Up to this many hot keys are sent to every task.
-BROADCAST_KEYS = 100_000
 # monotonically_increasing_id keeps the row position in its lower 33 bits.
 _POSITION_BITS = 33
 
 
 def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Range-partition and sort by ``order``; freeze with each row's ``_pos``.
+    """Range-partition and sort by ``order``; stage with each row's ``_pos`` and ``_piece``.
 
-    Frozen, because the range bounds are sampled and a recomputed partition must
+    Staged, because the range bounds are sampled and a recomputed partition must
     not move rows.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return frozen(ordered.withColumn("_pos", F.monotonically_increasing_id()))
+    placed = staged(ordered.withColumn("_pos", F.monotonically_increasing_id()), "placed")
+    return placed.withColumn("_piece", F.shiftright("_pos", _POSITION_BITS))
 
 
 def _placed_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Hot groups placed by key and order, with the ``_piece`` of each row.
+    """All rows placed by key and order.
 
-    Copies of one row have equal sort values; a row number, frozen before the
+    Copies of one row have equal sort values; a row number, staged before the
     shuffle so that a retry repeats it, lets them spread over several pieces.
     """
-    numbered = frozen(df.withColumn("_copy", F.monotonically_increasing_id()))
-    return _placed(numbered, [*keys, *order, "_copy"]).withColumn("_piece", _piece())
-
-
-def _piece() -> Column:
-    return F.shiftright("_pos", _POSITION_BITS)
+    numbered = staged(df.withColumn("_copy", F.monotonically_increasing_id()), "numbered")
+    return _placed(numbered, [*keys, *order, "_copy"])
 
 
 def sorted_by(df: DataFrame, *order: Column) -> DataFrame:
@@ -55,18 +48,13 @@ def sorted_by(df: DataFrame, *order: Column) -> DataFrame:
     return df.orderBy(*order, *df.columns)
 
 
-def global_rank(
-    df: DataFrame, order: Sequence[Column], name: str = "ranking", small: bool | None = None
-) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "ranking") -> DataFrame:
     """Number all rows 1..n by ``order``, which must identify a row.
 
-    The result comes out in rank order. Only one count per range partition is
-    broadcast, whatever the size of the data.
+    Only one count per range partition is broadcast, whatever the size of the data. The
+    result is not sorted.
     """
-    if fits_one_task(df) if small is None else small:
-        rank = F.row_number().over(W.orderBy(*order)).cast("long")
-        return df.withColumn(name, rank)
-    placed = _placed(df, order).withColumn("_piece", _piece())
+    placed = _placed(df, order)
     counts = placed.groupBy("_piece").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("_piece", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -76,78 +64,31 @@ def global_rank(
     )
 
 
-def _hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """The keys of groups above ``hot_rows``, or None when there are none.
-
-    Counted with map-side combine. There are at most total rows / hot_rows such
-    keys; they are broadcast when their count is small as well.
-    """
-    hot = frozen(
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    )
-    found = hot.count()
-    if found == 0:
-        return None
-    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
-
-
-def _split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int, small: bool | None
-) -> tuple[DataFrame, DataFrame | None]:
-    """``(cold, hot)`` parts of ``df``; ``hot`` is None when every group is ordinary."""
-    if fits_one_task(df) if small is None else small:
-        return df, None
-    hot = _hot_groups(df, keys, hot_rows)
-    if hot is None:
-        return df, None
-    return join_same_keys(df, hot, keys, "left_anti"), join_same_keys(df, hot, keys, "left_semi")
-
-
 def rank_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    hot_rows: int = HOT_ROWS,
-    small: bool | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
     """``row_number`` per group."""
-    cold, hot = _split_hot(df, keys, hot_rows, small)
-    ranked = cold.withColumn(
-        name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")
+    placed = _placed_groups(df, keys, order)
+    # Rows of a piece are sorted by key, so those of a group follow each other in it.
+    pieces = placed.groupBy(*keys, "_piece").agg(
+        F.count("*").alias("_rows"), F.min("_pos").alias("_first")
     )
-    if hot is None:
-        return ranked
-    placed = _placed_groups(hot, keys, order)
-    counts = placed.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(
         W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     )
-    offsets = counts.select(*keys, "_piece", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = placed.withColumn(
-        "_row", F.row_number().over(W.partitionBy(*keys, "_piece").orderBy("_pos"))
+    offsets = pieces.select(
+        *keys, "_piece", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset")
     )
-    stitched = join_same_keys(local, offsets, [*keys, "_piece"]).select(
-        *df.columns, (F.col("_before") + F.col("_row")).alias(name)
+    return join_same_keys(placed, offsets, [*keys, "_piece"]).select(
+        *df.columns, (F.col("_pos") + F.col("_offset")).alias(name)
     )
-    return ranked.unionByName(stitched)
 
 
 def lag_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    lags: Mapping[str, str],
-    hot_rows: int = HOT_ROWS,
-    small: bool | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], lags: Mapping[str, str]
 ) -> DataFrame:
     """Previous-row values per group; ``lags`` maps new column to source column."""
-    cold, hot = _split_hot(df, keys, hot_rows, small)
-    window = W.partitionBy(*keys).orderBy(*order)
-    lagged = cold.withColumns({new: F.lag(src).over(window) for new, src in lags.items()})
-    if hot is None:
-        return lagged
-    placed = _placed_groups(hot, keys, order)
+    placed = _placed_groups(df, keys, order)
     within = W.partitionBy(*keys, "_piece").orderBy("_pos")
     local = placed.withColumns(
         {
@@ -162,11 +103,10 @@ def lag_in_group(
     carried = tails.select(
         *keys, "_piece", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_piece")).alias("_carry")
     )
-    stitched = join_same_keys(local, carried, [*keys, "_piece"]).select(
+    return join_same_keys(local, carried, [*keys, "_piece"]).select(
         *df.columns,
         *[
             F.when(F.col("_row") == 1, F.col(f"_carry.{new}")).otherwise(F.col(f"_lag_{new}")).alias(new)
             for new in lags
         ],
     )
-    return lagged.unionByName(stitched)

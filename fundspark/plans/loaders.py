@@ -14,7 +14,7 @@ from fundspark import schemas
 from fundspark.operators import columns, keys
 from fundspark.sinks import parquet
 from fundspark.sources.delimited import LINE_ORDER, read_delimited
-from fundspark.sources.files import BLOCK_MONTH, DAILY_SINCE, daily_files, portfolio_files
+from fundspark.sources.files import BLOCK_MONTH, daily_files, portfolio_files
 
 TEXT_LIMIT = 500
 FILE_MONTH = "ym_arquivo"
@@ -23,11 +23,11 @@ FILE_MONTH = "ym_arquivo"
 # Daily information ---------------------------------------------------------
 
 
-def clean_daily(raw: DataFrame) -> DataFrame:
+def clean_daily(raw: DataFrame, on_loss: str = "fail") -> DataFrame:
     """Raw daily lines of any layout to the daily table's columns, one row per key (last wins)."""
     df = columns.rename_present(columns.lower_columns(raw), schemas.LAYOUT_RENAMES)
     df = columns.clean_tax_ids(columns.with_default(df, "id_subclasse", "NA"))
-    typed = columns.conform(df, T.StructType([*schemas.DAILY, *_line_fields(df)]))
+    typed = columns.conform(df, T.StructType([*schemas.DAILY, *_line_fields(df)]), on_loss=on_loss)
     return keys.dedup_keep(typed, schemas.DAILY_KEYS, LINE_ORDER).drop(*LINE_ORDER)
 
 
@@ -39,10 +39,13 @@ def load_daily(
     spark: SparkSession,
     folder: str,
     table: str | None = None,
-    since: str = DAILY_SINCE,
-    latest_only: bool = True,
+    since: str = "",
+    latest_only: bool = False,
+    on_loss: str = "fail",
 ) -> DataFrame:
-    """Load the newest daily file (or all since a month).
+    """Load all daily files, or those since a month, or only the newest.
+
+    A value that does not fit its column fails the load; ``on_loss="null"`` makes it NULL.
 
     With ``table`` the rows are upserted and the whole table is returned, with its
     month column, by which the date filters prune.
@@ -52,7 +55,7 @@ def load_daily(
         spark, month_by_path, bad_lines="fail", alike=month_by_path.get,
         renames=schemas.LAYOUT_RENAMES,
     )
-    daily = clean_daily(raw)
+    daily = clean_daily(raw, on_loss)
     if table is None:
         return daily
     parquet.upsert_table(spark, table, daily, schemas.DAILY_KEYS, month_of="dt_comptc")
@@ -62,7 +65,7 @@ def load_daily(
 # Registration --------------------------------------------------------------
 
 
-def clean_registration(current: DataFrame, history: DataFrame) -> DataFrame:
+def clean_registration(current: DataFrame, history: DataFrame, on_loss: str = "fail") -> DataFrame:
     """Current registrations (first line wins) and those known only from the name
     history (last line wins)."""
 
@@ -76,7 +79,7 @@ def clean_registration(current: DataFrame, history: DataFrame) -> DataFrame:
     past = keys.dedup_keep(past, schemas.REGISTRATION_KEYS, LINE_ORDER, keep="last")
     both = now.unionByName(past.drop(*schemas.HISTORY_DROPPED), allowMissingColumns=True)
     cut = columns.cut_text(both, {"denom_social": TEXT_LIMIT, "trib_lprazo": TEXT_LIMIT})
-    return columns.conform(cut.drop(*LINE_ORDER), schemas.REGISTRATION)
+    return columns.conform(cut.drop(*LINE_ORDER), schemas.REGISTRATION, on_loss=on_loss)
 
 
 def load_registration(
@@ -97,7 +100,7 @@ def load_registration(
 def _clean_registry(raw: DataFrame, schema: T.StructType, key: str) -> DataFrame:
     df = columns.rename_present(columns.lower_columns(raw), schemas.REGISTRY_CLASS_RENAMES)
     df = columns.cut_text(columns.clean_tax_ids(df), {"denominacao_social": TEXT_LIMIT})
-    typed = columns.conform(df, T.StructType([*schema, *_line_fields(df)]))
+    typed = columns.conform(df, T.StructType([*schema, *_line_fields(df)]), on_loss="fail")
     return keys.dedup_keep(typed, [key], LINE_ORDER).drop(*LINE_ORDER)
 
 
@@ -164,14 +167,18 @@ def positions_schema() -> T.StructType:
     return T.StructType([*fields.values(), *tags])
 
 
-def clean_block(raw: DataFrame, block: int, keep: Sequence[str] = ()) -> DataFrame:
+def clean_block(
+    raw: DataFrame, block: int, keep: Sequence[str] = (), on_loss: str = "fail"
+) -> DataFrame:
     """Lines of one block in the block's schema; ``keep`` names extra columns to carry."""
     df = columns.clean_tax_ids(raw.drop(*[c for c in LINE_ORDER if c not in keep]))
     extra = [df.schema[name] for name in keep]
-    return columns.conform(df, T.StructType([*schemas.block_schema(block), *extra]))
+    return columns.conform(df, T.StructType([*schemas.block_schema(block), *extra]), on_loss=on_loss)
 
 
-def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
+def load_portfolio(
+    spark: SparkSession, folder: str, table: str | None = None, on_loss: str = "fail"
+) -> DataFrame:
     """All portfolio block files as one table with ``origem_tabela`` and
     ``ym_arquivo``, the month the file was published for.
 
@@ -184,7 +191,7 @@ def load_portfolio(spark: SparkSession, folder: str, table: str | None = None) -
         paths = [f.path for f in files if f.block == block]
         renames = {**schemas.LAYOUT_RENAMES, **(schemas.QUOTA_BLOCK_RENAMES if block == 2 else {})}
         raw = read_delimited(spark, paths, alike=month_by_path.get, renames=renames)
-        rows = clean_block(raw, block, keep=["_file"]).withColumns(
+        rows = clean_block(raw, block, keep=["_file"], on_loss=on_loss).withColumns(
             {
                 "origem_tabela": F.lit(schemas.ORIGINS[block]),
                 FILE_MONTH: F.regexp_extract("_file", BLOCK_MONTH, 1),

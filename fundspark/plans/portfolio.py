@@ -64,21 +64,20 @@ def portfolio_composition(
     ids: Sequence[str] | DataFrame | None = None,
     types: Sequence[str] | DataFrame | None = None,
     served: bool = True,
-    **sizes,
 ) -> DataFrame:
     """Positions with previous value and date, percent change and rank in the portfolio.
 
     The serving shape turns a change of exactly 0 % into NULL; ``served=False``
-    keeps it and the decimals.
+    keeps it and the decimals. Rows that tie in date or value are ordered by all their
+    columns, so that previous value and rank do not vary.
     """
     rows = one_of(one_of(unified, "cnpj_fundo_classe", ids), "tp_fundo_classe", types)
-    ties = [F.col("tp_aplic").asc_nulls_last(), F.col("tp_ativo").asc_nulls_last()]
+    ties = [F.col(c).asc_nulls_last() for c in ("tp_aplic", "tp_ativo", *rows.columns)]
     rows = lag_in_group(
         rows,
         ASSET,
         [F.col("dt_comptc").asc_nulls_last(), *ties],
         {"vl_merc_pos_final_anterior": "vl_merc_pos_final", "dt_comptc_anterior": "dt_comptc"},
-        **sizes,
     )
     change = percent_change(F.col("vl_merc_pos_final"), F.col("vl_merc_pos_final_anterior"))
     rows = rank_in_group(
@@ -91,7 +90,6 @@ def portfolio_composition(
             *ties,
         ],
         "ranking_posicao",
-        **sizes,
     )
     # Newest first; the further columns let a date spread over many sort partitions.
     rows = rows.orderBy(

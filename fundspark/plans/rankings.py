@@ -19,7 +19,6 @@ from fundspark.operators.keys import dedup_keep
 from fundspark.operators.paging import page
 from fundspark.operators.ranking import global_rank, sorted_by
 from fundspark.schemas import EQUITY_APPLICATION, VEHICLE
-from fundspark.session import fits_one_task
 
 FLOW_COLUMNS = [
     "cnpj_fundo_classe", "tp_fundo_classe", "dt_comptc", "denominacao_social", "vl_total",
@@ -69,8 +68,7 @@ def manager_aum_ranking(
         .filter(F.col("patrimonio_total_sob_gestao") > 0)
     )
     order = [F.col("patrimonio_total_sob_gestao").desc(), F.col("cpf_cnpj_gestor"), F.col("gestor")]
-    # There are no more managers than registry rows, so the registry's size bounds the ranking.
-    return global_rank(per_manager, order, small=fits_one_task(registry) or None)
+    return global_rank(per_manager, order).orderBy("ranking")
 
 
 def flow_sums(daily: DataFrame) -> DataFrame:
@@ -109,7 +107,7 @@ def flow_ranking(daily: DataFrame, registry: DataFrame, days: int = 31) -> DataF
         F.col("dt_comptc"), F.col("denominacao_social").asc_nulls_last(),
         F.col("vl_total").asc_nulls_last(),
     ]
-    return global_rank(named.select(*FLOW_COLUMNS[:-1]), order).select(*FLOW_COLUMNS)
+    return global_rank(named.select(*FLOW_COLUMNS[:-1]), order).select(*FLOW_COLUMNS).orderBy("ranking")
 
 
 def flow_ranking_period(daily: DataFrame, registry: DataFrame, period: str = "31_dias") -> DataFrame:
@@ -123,7 +121,7 @@ def flow_ranking_period(daily: DataFrame, registry: DataFrame, period: str = "31
     named = _named_flows(per_vehicle.filter(F.col("fluxo_liquido") != 0), registry).drop("registros")
     order = [F.col("fluxo_liquido").desc(), *[F.col(k) for k in VEHICLE],
              F.col("denominacao_social").asc_nulls_last()]
-    return global_rank(named, order)
+    return global_rank(named, order).orderBy("ranking")
 
 
 def flow_ranking_page(
@@ -173,7 +171,7 @@ def equity_exposure_ranking(positions: DataFrame, start=None, end=None) -> DataF
         .filter(F.col("valor_total_acao") > 0)
     )
     order = [F.col("valor_total_acao").desc(), *[F.col(k) for k in VEHICLE]]
-    return global_rank(totals, order)
+    return global_rank(totals, order).orderBy("ranking")
 
 
 def equity_positions(

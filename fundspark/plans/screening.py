@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fundspark.functions.text import format_tax_id, strip_tax_id
 from fundspark.operators.aggregates import at_latest_date
 from fundspark.operators.filters import MIN_TERM, name_contains, tax_id_or_name
-from fundspark.operators.paging import capped
+from fundspark.operators.paging import flagged
 
 
 def fund_facts(daily: DataFrame, registry: DataFrame) -> DataFrame:
@@ -32,15 +32,15 @@ def screen_funds(
     facts = name_contains(facts, "denominacao_social", name, MIN_TERM)
     if assets is not None:
         facts = facts.filter(F.col("patrimonio").between(*assets))
-    if holders:
+    if holders is not None:
         facts = facts.filter(F.col("nr_cotistas") == holders)
     return facts
 
 
 def screen_funds_capped(facts: DataFrame, **criteria) -> DataFrame:
-    """The first hits of a screening, flagged when the search should be refined."""
+    """All hits of a screening with their number, flagged when the search should be refined."""
     order = ["denominacao_social", "cnpj_fundo_classe", "tp_fundo_classe", "id_subclasse"]
-    return capped(screen_funds(facts, **criteria), order)
+    return flagged(screen_funds(facts, **criteria), order)
 
 
 def find_funds(registry: DataFrame, term: str) -> DataFrame:

@@ -36,20 +36,20 @@ QUOTE_SHOWN = [
 
 @register("load_daily")
 def _(spark, sf):
-    return doubles(loaders.load_daily(spark, landed.daily_folder(spark, sf), since=SINCE))
+    return doubles(loaders.load_daily(spark, landed.daily_folder(spark, sf), since=SINCE, latest_only=True))
 
 
 @register("load_daily_all_months")
 def _(spark, sf):
     folder = landed.daily_folder(spark, sf)
-    return doubles(loaders.load_daily(spark, folder, since=SINCE, latest_only=False))
+    return doubles(loaders.load_daily(spark, folder, since=SINCE))
 
 
 @register("load_daily_table")
 def _(spark, sf):
     table = scratch_path(spark, "informacao_diaria")
     parquet.refresh_partitions(parquet.with_month(upsert_frames(spark, sf)[1]), table, [parquet.MONTH])
-    stored = loaders.load_daily(spark, landed.daily_folder(spark, sf), table, since=SINCE)
+    stored = loaders.load_daily(spark, landed.daily_folder(spark, sf), table, since=SINCE, latest_only=True)
     return doubles(stored.drop(parquet.MONTH))
 
 

@@ -17,8 +17,6 @@ from fundspark.sources.tables import read_table
 
 SPLIT = "2024-01-20"
 OVERLAP = "2024-01-15"
-# Small enough to send the test tables' larger groups down the stitched path.
-TEST_HOT_ROWS = 100
 
 
 # Cleaning -----------------------------------------------------------------------
@@ -384,7 +382,7 @@ def _(spark, sf):
         F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber"),
         F.col("l_partkey"), F.col("l_suppkey"),
     ]
-    return ranking.global_rank(lines, order, small=False)
+    return ranking.global_rank(lines, order)
 
 
 @register("rank_in_group_stitched")
@@ -392,7 +390,6 @@ def _(spark, sf):
     order = [F.col("value").desc_nulls_first(), F.col("event_id")]
     return ranking.rank_in_group(
         _events(spark, sf).drop("props"), ["event_type"], order, "posicao",
-        hot_rows=TEST_HOT_ROWS, small=False,
     )
 
 
@@ -401,7 +398,6 @@ def _(spark, sf):
     lags = {"valor_anterior": "value", "evento_anterior": "event_id"}
     return ranking.lag_in_group(
         _events(spark, sf).drop("props"), ["event_type"], [F.col("event_id")], lags,
-        hot_rows=TEST_HOT_ROWS, small=False,
     )
 
 

@@ -151,8 +151,7 @@ GROUP BY gestor HAVING SUM(vl_patrim_liq) > 0"""
     "screen_funds": sql("SELECT * FROM facts WHERE lower(denominacao_social) LIKE '%er#0000%' AND patrimonio BETWEEN 5 AND 500"),
     "screen_funds_by_holders": sql("SELECT * FROM facts WHERE nr_cotistas = 2"),
     "screen_funds_capped": sql(
-        """SELECT *, (SELECT COUNT(*) > 10 FROM facts WHERE nr_cotistas = 1) AS refinar_busca FROM facts WHERE nr_cotistas = 1
-ORDER BY denominacao_social, cnpj_fundo_classe, tp_fundo_classe, id_subclasse LIMIT 10"""
+        """SELECT *, COUNT(*) OVER () AS total, COUNT(*) OVER () > 10 AS refinar_busca FROM facts WHERE nr_cotistas = 1"""
     ),
     "find_funds_by_id": sql(
         """SELECT DISTINCT concat('CNPJ: ', f) AS label, f AS value, 'CNPJ' AS tipo FROM (

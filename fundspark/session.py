@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space and the size check behind single-task plans."""
+"""Session helpers: shared scratch space and staged tables."""
 
 from __future__ import annotations
 
@@ -28,32 +28,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured or current
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/fundspark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder, for staged tables."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under :func:`scratch_root`, for staged tables."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and read it from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the scratch folder and read it from there."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _bytes(text: str) -> int:
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    text = text.strip().lower().removesuffix("b")
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has staged; frames that read it are of no use afterwards."""
+    remove(spark, scratch_root(spark))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate is within what Spark gives one scan task.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    Data that small may sit in one task without being a bottleneck, however its
-    keys are distributed. Anything larger, or of unknown size, takes the
-    distributed plan.
-    """
-    limit = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= limit
+
+def frozen(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the reliable checkpoint folder and read it from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

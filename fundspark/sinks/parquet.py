@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,8 @@ from pyspark.sql import functions as F
 from fundspark.functions.dates import month_key
 from fundspark.operators.filters import MONTH
 from fundspark.operators.keys import merge_upsert, require_keys
-from fundspark.session import frozen
-from fundspark.sources.tables import path_has_data
-
-# A load that touches no more months than this writes them without a further shuffle.
-FEW_MONTHS = 3
+from fundspark.session import remove, scratch_path
+from fundspark.sources.tables import OLD, file_system, path_has_data
 
 
 def balanced(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -25,9 +23,28 @@ def balanced(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
 def refresh(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), balance: bool = True
 ) -> None:
-    """Replace the whole table; ``balance=False`` when ``df`` is already laid out like it."""
+    """Replace the whole table; ``balance=False`` when ``df`` is already laid out like it.
+
+    The new version is written beside the table and takes its place by two renames only
+    when it is complete, so ``df`` may read the table itself, and a failed write leaves the
+    old rows. Should a run end between the renames, the next access puts the old version back.
+    """
+    spark = df.sparkSession
+    there = path_has_data(spark, path)
+    base = path.rstrip("/")
+    new, old = f"{base}._new-{uuid.uuid4().hex}", base + OLD
     rows = balanced(df, partition_by) if balance else df
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    try:
+        rows.write.partitionBy(*partition_by).parquet(new)
+    except BaseException:
+        remove(spark, new)
+        raise
+    fs, at = file_system(spark, base)
+    if there and not fs.rename(at(base), at(old)):
+        raise OSError(f"cannot set {base} aside")
+    if not fs.rename(at(new), at(base)):
+        raise OSError(f"cannot put {new} in place of {base}")
+    remove(spark, old)
 
 
 def refresh_partitions(
@@ -70,20 +87,34 @@ def upsert_table(
     the months that occur in the source are read and rewritten. Running the same
     upsert again changes nothing, so a failed run can simply be repeated.
     """
-    # The source is used three times below; freeze it rather than recompute it.
-    source = require_keys(frozen(source), keys)
+    # The source is used three times below; stage it rather than recompute it.
+    stage = scratch_path(spark, "upsert")
+    source.write.parquet(stage)
+    try:
+        _upsert_staged(spark, path, spark.read.schema(source.schema).parquet(stage), keys, update_cols, month_of)
+    finally:
+        remove(spark, stage)
+
+
+def _upsert_staged(
+    spark: SparkSession,
+    path: str,
+    source: DataFrame,
+    keys: Sequence[str],
+    update_cols: Sequence[str] | None,
+    month_of: str | None,
+) -> None:
+    require_keys(source, keys)
+    there = path_has_data(spark, path)
     if month_of is None:
-        if path_has_data(spark, path):
-            # Frozen, because a table cannot be overwritten while it is being read.
-            source = frozen(merge_upsert(spark.read.parquet(path), source, keys, update_cols))
+        if there:
+            source = merge_upsert(spark.read.parquet(path), source, keys, update_cols)
         refresh(source, path)
         return
     source = with_month(source, month_of)
-    if not path_has_data(spark, path):
+    if not there:
         refresh_partitions(source, path, [MONTH])
         return
     months = [r[0] for r in source.select(MONTH).distinct().collect()]
     target = spark.read.schema(source.schema).parquet(path).filter(F.col(MONTH).isin(months))
-    # The stored months are read in their own layout, so only the new rows move.
-    merged = merge_upsert(target, balanced(source, [MONTH]), [*keys, MONTH], update_cols)
-    refresh_partitions(merged, path, [MONTH], balance=len(months) > FEW_MONTHS)
+    refresh_partitions(merge_upsert(target, source, [*keys, MONTH], update_cols), path, [MONTH])

@@ -16,7 +16,6 @@ DAILY_NAME = re.compile(r"^inf_diario_fi_(\d{6})\.csv$")
 BLOCK_NAME = re.compile(r"^cda_fi_BLC_(\d)_(\d{6})\d*\.csv$")
 # The month inside a block file's path, for use in a column expression.
 BLOCK_MONTH = r"cda_fi_BLC_\d_(\d{6})"
-DAILY_SINCE = "202503"
 
 
 @dataclass(frozen=True)
@@ -48,13 +47,13 @@ def _named(paths: Iterable[str], pattern: re.Pattern) -> list[tuple[str, re.Matc
 
 
 def daily_files(
-    spark: SparkSession, folder: str, since: str = DAILY_SINCE, latest_only: bool = True
+    spark: SparkSession, folder: str, since: str = "", latest_only: bool = False
 ) -> list[LandedFile]:
-    """Daily files from month ``since`` on, oldest first; by default only the newest month."""
+    """All daily files, oldest first; from month ``since`` on or only the newest month if asked for."""
     found = [LandedFile(p, m[1]) for p, m in _named(list_files(spark, folder, "*.csv"), DAILY_NAME)]
     wanted = sorted((f for f in found if f.month >= since), key=lambda f: f.month)
     if not wanted:
-        raise FileNotFoundError(f"no daily file since {since} in {folder}")
+        raise FileNotFoundError(f"no daily file {f'since {since} ' if since else ''}in {folder}")
     return [f for f in wanted if f.month == wanted[-1].month] if latest_only else wanted
 
 

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HREF = r'<a\s[^>]*?href="([^"]*)"'
+# The value of href in an anchor: between quotes of either kind, or up to a space.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# The entities that occur in addresses, the ampersand last.
+ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def page_links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    def value(found: Column) -> Column:
+        found = F.regexp_replace(found, r"""^["']|["']$""", "")
+        for entity, character in ENTITIES:
+            found = F.replace(found, F.lit(entity), F.lit(character))
+        return found
+
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), value)
 
 
 def extract_links(pages: DataFrame, suffix: str = ".zip", base: str = "") -> DataFrame:

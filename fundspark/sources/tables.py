@@ -30,15 +30,24 @@ def tables_like(spark: SparkSession, prefix: str) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
 
 
+#: Ends the name under which a table waits while its new version takes its place.
+OLD = "._old"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and what turns names into its paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
+
+
 def path_has_data(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table was already written to ``path``."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    """Whether a Parquet table was already written to ``path``; only that is asked, and other
+    errors come through. A version that a broken replacement set aside is put back first."""
+    base = path.rstrip("/")
+    fs, at = file_system(spark, base)
+    if fs.exists(at(base)):
+        return True
+    return bool(fs.exists(at(base + OLD)) and fs.rename(at(base + OLD), at(base)))
 
 
 def positions_table(spark: SparkSession, path: str, origin: str | None = None) -> DataFrame:

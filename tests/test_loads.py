@@ -64,8 +64,9 @@ def test_daily_discovery(spark, tmp_path):
         write(tmp_path / f"inf_diario_fi_{month}.csv", HEADER)
     write(tmp_path / "other.csv", "A")
     folder = str(tmp_path)
-    assert [f.month for f in daily_files(spark, folder)] == ["202504"]
-    assert [f.month for f in daily_files(spark, folder, latest_only=False)] == ["202503", "202504"]
+    assert [f.month for f in daily_files(spark, folder)] == ["202502", "202503", "202504"]
+    assert [f.month for f in daily_files(spark, folder, latest_only=True)] == ["202504"]
+    assert [f.month for f in daily_files(spark, folder, since="202503")] == ["202503", "202504"]
     with pytest.raises(FileNotFoundError):
         daily_files(spark, folder, since="202505")
     assert month_start("202504") == dt.date(2025, 4, 1)
@@ -91,7 +92,7 @@ def test_daily_load_last_line_wins_within_and_across_files(spark, rows, tmp_path
         daily_line("191", "2025-03-31", "3.5"), daily_line("191", "2025-04-01", "4.5", "S1"),
         daily_line("191", "2025-04-01", "5.5", "S1"), daily_line("191", "2025-04-01", "6.5", "S1"),
     )
-    loaded = loaders.load_daily(spark, str(tmp_path), latest_only=False)
+    loaded = loaders.load_daily(spark, str(tmp_path))
     assert rows(loaded, "cnpj_fundo_classe", "dt_comptc", "id_subclasse", "vl_quota") == [
         ("00000000000191", dt.date(2025, 3, 31), "NA", Decimal("3.5")),
         ("00000000000191", dt.date(2025, 4, 1), "S1", Decimal("6.5")),
@@ -271,7 +272,7 @@ def test_stream_equals_batch_and_restarts_clean(spark, rows, tmp_path):
     assert first == run() and len(first) == 1
     write(tmp_path / "in" / "inf_diario_fi_202504.csv", HEADER, daily_line("191", "2025-03-31", "3"),
           daily_line("191", "2025-04-01", "4"))
-    batch = loaders.load_daily(spark, folder, latest_only=False)
+    batch = loaders.load_daily(spark, folder)
     assert run() == rows(batch, *schemas.DAILY.fieldNames())
 
 
@@ -281,3 +282,39 @@ def test_stream_fails_on_a_long_line(spark, tmp_path):
     query = incremental.ingest_daily(spark, folder, landed.DAILY_HEADER, table, checkpoint)
     with pytest.raises(Exception, match="too many fields"):
         query.awaitTermination()
+
+
+# Losses and broken writes ----------------------------------------------------------------------
+
+
+def test_unreadable_values_fail_the_load(spark, tmp_path):
+    write(tmp_path / "inf_diario_fi_202503.csv", HEADER, daily_line("191", "2025-03-31", "12,5"))
+    with pytest.raises(Exception, match="vl_quota cannot hold 12,5"):
+        loaders.load_daily(spark, str(tmp_path)).collect()
+    assert loaders.load_daily(spark, str(tmp_path), on_loss="null").first().vl_quota is None
+
+
+def test_a_failed_upsert_loses_nothing_and_can_be_repeated(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fundspark.sinks import parquet
+
+    table = str(tmp_path / "t")
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    parquet.upsert_table(spark, table, stored, ["id"])
+    source = spark.createDataFrame([(3, "c")], "id int, v string")
+    broken = source.withColumn("v", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        parquet.refresh(spark.read.parquet(table).unionByName(broken), table)
+    assert rows(spark.read.parquet(table)) == [(1, "a"), (2, "b")]
+    parquet.upsert_table(spark, table, source, ["id"])
+    assert rows(spark.read.parquet(table)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_version_set_aside_is_put_back(spark, tmp_path):
+    from fundspark.sources.tables import OLD, path_has_data
+
+    table = tmp_path / "t"
+    assert not path_has_data(spark, str(table))
+    spark.range(3).write.parquet(str(table) + OLD)
+    assert path_has_data(spark, str(table)) and spark.read.parquet(str(table)).count() == 3

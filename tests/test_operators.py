@@ -3,7 +3,10 @@
 import datetime as dt
 from decimal import Decimal
 
+import re
+
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,50 +141,52 @@ def order():
     return [F.col("v").desc_nulls_first(), F.col("id")]
 
 
-def test_global_rank_plans_agree(spark, rows, many_pieces):
+def windowed(df, **columns):
+    """What one window over the whole group gives."""
+    return df.withColumns({n: c.over(W.partitionBy("g").orderBy(*order())) for n, c in columns.items()})
+
+
+def test_global_rank_equals_a_window(spark, rows, many_pieces):
     df = values(spark)
-    placed = ranking.global_rank(df, order(), small=False)
-    assert rows(placed) == rows(ranking.global_rank(df, order(), small=True))
-    assert [r.ranking for r in placed.collect()] == list(range(1, 3001))
+    placed = ranking.global_rank(df, order())
+    assert rows(placed) == rows(df.withColumn("ranking", F.row_number().over(W.orderBy(*order()))))
+    assert sorted(r.ranking for r in placed.collect()) == list(range(1, 3001))
 
 
 def test_global_rank_of_nothing(spark):
-    assert ranking.global_rank(values(spark, 0), order(), small=False).count() == 0
+    assert ranking.global_rank(values(spark, 0), order()).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [0, 500, 10_000])
-def test_group_rank_plans_agree(spark, rows, many_pieces, hot_rows):
+def test_group_rank_equals_a_window(spark, rows, many_pieces):
     df = values(spark)
-    stitched = ranking.rank_in_group(df, ["g"], order(), "r", hot_rows=hot_rows, small=False)
-    assert rows(stitched) == rows(ranking.rank_in_group(df, ["g"], order(), "r", small=True))
+    assert rows(ranking.rank_in_group(df, ["g"], order(), "r")) == rows(windowed(df, r=F.row_number()))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 500, 10_000])
-def test_group_lag_plans_agree(spark, rows, many_pieces, hot_rows):
+def test_group_lag_equals_a_window(spark, rows, many_pieces):
     df, lags = values(spark), {"before": "v", "before_id": "id"}
-    stitched = ranking.lag_in_group(df, ["g"], order(), lags, hot_rows=hot_rows, small=False)
-    assert rows(stitched) == rows(ranking.lag_in_group(df, ["g"], order(), lags, small=True))
+    stitched = ranking.lag_in_group(df, ["g"], order(), lags)
+    assert rows(stitched) == rows(windowed(df, before=F.lag("v"), before_id=F.lag("id")))
 
 
 def test_copies_of_one_row_spread_over_pieces(spark, many_pieces):
     df = spark.range(4000).select(F.lit("hot").alias("g"), F.lit(1).alias("v"))
-    ranked = ranking.rank_in_group(df, ["g"], [F.col("v")], "r", hot_rows=10, small=False)
+    ranked = ranking.rank_in_group(df, ["g"], [F.col("v")], "r")
     assert [r.r for r in ranked.orderBy("r").collect()] == list(range(1, 4001))
     placed = ranking._placed_groups(df, ["g"], [F.col("v")])
     assert placed.select("_piece").distinct().count() > 1
 
 
-def test_size_check_follows_the_scan_task_size(spark, sf_dir):
-    from fundspark.session import fits_one_task
-
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    assert fits_one_task(events)
-    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
-        assert not fits_one_task(events)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+def test_plan_and_jobs_do_not_depend_on_the_size(spark):
+    """The same operators, and the same number of jobs while building, for few rows and many."""
+    tracker, seen = spark.sparkContext.statusTracker(), []
+    for n in (10, 100_000):
+        spark.sparkContext.setJobGroup(f"ranks-{n}", "")
+        ranked = ranking.rank_in_group(values(spark, n), ["g"], order(), "r")
+        jobs = len(tracker.getJobIdsForGroup(f"ranks-{n}"))
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((jobs, re.findall(r"(\w+) ", re.sub(r"#\d+L?|\d+", "", plan))))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert seen[0] == seen[1]
 
 
 # Filters and paging ---------------------------------------------------------------------------
@@ -229,9 +234,10 @@ def test_page_bounds(spark, number, size):
         paging.page(spark.range(1), ["id"], number, size)
 
 
-def test_capped_flags_overflow(spark):
-    assert [r.refinar_busca for r in paging.capped(spark.range(11), ["id"]).collect()] == [True] * 10
-    assert [r.refinar_busca for r in paging.capped(spark.range(10), ["id"]).collect()] == [False] * 10
+def test_all_hits_come_with_the_flag(spark):
+    for n in (10, 11):
+        hits = paging.flagged(spark.range(n), ["id"]).collect()
+        assert [tuple(r) for r in hits] == [(i, n, n > 10) for i in range(n)]
 
 
 # Bands ------------------------------------------------------------------------------------------
@@ -310,3 +316,31 @@ def test_counted(spark):
     df, observation = counters.counted(spark.range(7), "seven")
     df.write.format("noop").mode("overwrite").save()
     assert observation.get["rows"] == 7
+
+
+# Dates and links in other forms -------------------------------------------------------------------
+
+
+def test_dates_of_other_forms_are_read(spark):
+    from fundspark.functions.dates import fix_invalid_date
+
+    texts = ["2024-12-31", "31/12/2024", "20241231", "31-12-2024", "32/12/2024", "99999999", "x", " ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [str(r.d) for r in df.select("i", fix_invalid_date(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert found == ["2024-12-31"] * 4 + ["1900-01-01"] * 3 + ["None"] * 2
+
+
+def test_links_of_any_quoting_are_found(spark):
+    from fundspark.sources.links import extract_links
+
+    html = """<A class=x HREF='one.zip'>1</A> <a href="two.zip?a=1&amp;b=.zip">2</a><a
+      href = three.zip>3</a> <a data-href="no.zip">no</a> <area href="no.zip">"""
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert [r.url for r in extract_links(df).orderBy("ordem").collect()] == ["three.zip", "two.zip?a=1&b=.zip", "one.zip"]
+
+
+def test_no_holders_is_a_criterion(spark):
+    from fundspark.plans.screening import screen_funds
+
+    facts = spark.createDataFrame([("A", 5), ("B", 0)], "denominacao_social string, nr_cotistas int")
+    assert [r.denominacao_social for r in screen_funds(facts, holders=0).collect()] == ["B"]

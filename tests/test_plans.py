@@ -155,18 +155,24 @@ def test_unknown_values_rank_first_and_unchanged_values_serve_as_null(spark, row
     assert raw.first().variacao_percentual == 0.0
 
 
-@pytest.mark.parametrize("hot_rows", [0, 20])
-def test_composition_does_not_depend_on_the_plan(spark, rows, sf_dir, hot_rows):
+def test_composition_does_not_depend_on_the_pieces(spark, rows, sf_dir):
     table = fx.unified(spark, sf_dir)
     name = "spark.sql.adaptive.coalescePartitions.enabled"
+    whole = rows(portfolio.portfolio_composition(table))
     spark.conf.set(name, "false")
     try:
-        stitched = portfolio.portfolio_composition(table, hot_rows=hot_rows, small=False)
-        assert rows(stitched) == rows(portfolio.portfolio_composition(table, small=True))
+        assert rows(portfolio.portfolio_composition(table)) == whole
     finally:
         spark.conf.set(name, "true")
 
 
+def test_ties_are_ordered_by_all_columns(spark, rows, sf_dir):
+    """Several rows of one asset on one date: previous value and rank do not depend on the input's order."""
+    table = fx.unified(spark, sf_dir)
+    table = table.unionByName(table.withColumn("qt_pos_final", F.col("qt_pos_final") + 1))
+    assert rows(portfolio.portfolio_composition(table.repartition(5))) == rows(portfolio.portfolio_composition(table.repartition(3)))
+
+
 def test_newest_positions_come_first(spark, sf_dir):
     dates = [r.dt_comptc for r in portfolio.portfolio_composition(fx.unified(spark, sf_dir)).collect()]
     assert dates == sorted(dates, reverse=True)
