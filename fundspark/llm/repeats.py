@@ -38,9 +38,9 @@ from fundspark.llm.texts import mixed, pieces
 WIDTH, SEED = 50, 20
 #: Bytes before an anchor that a string can begin with.
 BEFORE = WIDTH - SEED
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Text bytes for each bucket of suffixes.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: One of so many suffixes of a chunk goes into the sample for the splitters.
 SAMPLED = 64
 _RECORD = WIDTH + BEFORE + 2
@@ -88,23 +88,21 @@ class Chunk:
         if n < WIDTH:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         a = 0x9E3779B97F4A7C15
-        run, span, runs = self.data.astype(np.uint64) + np.uint64(1), 1, {}
+        # Hashes of runs of 1, 2, 4, ... bytes by doubling; those that make up SEED are joined.
+        run, span, total, at = self.data.astype(np.uint64) + np.uint64(1), 1, None, 0
         while span <= SEED:
-            runs[span] = run
             power = np.uint64(pow(a, span, 1 << 64))
+            if SEED & span:
+                piece = run[at : at + n - SEED + 1]
+                total = piece if total is None else total * power + piece
+                at += span
             run = run[:-span] * power + run[span:]
             span *= 2
-        left, total, at = SEED, None, 0
-        for span in sorted(runs, reverse=True):
-            if span <= left:
-                piece = runs[span][at : at + n - SEED + 1]
-                total = piece.copy() if total is None else total * np.uint64(pow(a, span, 1 << 64)) + piece
-                left, at = left - span, at + span
+        del run
         seeds = mixed(total)
         lowest = _slide(seeds, BEFORE + 1, np.minimum)
-        start = np.arange(len(lowest))
-        owner = np.searchsorted(self.ends, start, side="right")
-        lowest = np.where(start + WIDTH <= self.ends[owner], lowest, np.uint64(0))
+        for end in self.ends[:-1].tolist():  # no string goes over the end of a document
+            lowest[max(0, end - WIDTH + 1) : end] = 0
         edge = np.zeros(BEFORE, dtype=np.uint64)
         chosen = _slide(np.concatenate([edge, lowest, edge]), BEFORE + 1, np.maximum) == seeds
         at = np.flatnonzero(chosen)
