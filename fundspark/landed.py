@@ -30,9 +30,12 @@ ACCENT = " é"
 
 
 def write_delimited(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
-    """Separated text with a header; ``order`` columns fix the line order and are dropped."""
+    """Separated text with a header; ``order`` columns fix the line order and are dropped.
+
+    Lines that tie in ``order`` are spread by their other columns."""
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+        every = [*order, *[c for c in df.columns if c not in order]]
+        df = df.repartitionByRange(*every).sortWithinPartitions(*every).drop(*order)
     (
         df.write.option("sep", SEPARATOR)
         .option("header", True)
@@ -281,7 +284,7 @@ def log_folder(spark: SparkSession, sf: str) -> str:
         F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props").alias("line")
     )
     write_lines(lines, f"{folder}/app/servico", "log")
-    write_lines(lines.limit(1), f"{folder}/app/outros", "txt")
+    write_lines(lines, f"{folder}/app/outros", "txt")
     return folder
 
 

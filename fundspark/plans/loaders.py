@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from fundspark import schemas
 from fundspark.operators import columns, keys
+from fundspark.session import staged
 from fundspark.sinks import parquet
 from fundspark.sources.delimited import LINE_ORDER, read_delimited
 from fundspark.sources.files import BLOCK_MONTH, daily_files, portfolio_files
@@ -20,6 +21,11 @@ TEXT_LIMIT = 500
 FILE_MONTH = "ym_arquivo"
 
 
+def stored(spark: SparkSession, table: str, like: DataFrame) -> DataFrame:
+    """A stored table with the types of the frame written to it, partition columns included."""
+    return spark.read.schema(like.schema).parquet(table)
+
+
 # Daily information ---------------------------------------------------------
 
 
@@ -59,7 +65,7 @@ def load_daily(
     if table is None:
         return daily
     parquet.upsert_table(spark, table, daily, schemas.DAILY_KEYS, month_of="dt_comptc")
-    return spark.read.parquet(table)
+    return stored(spark, table, parquet.with_month(daily))
 
 
 # Registration --------------------------------------------------------------
@@ -179,10 +185,12 @@ def clean_block(
 def load_portfolio(
     spark: SparkSession, folder: str, table: str | None = None, on_loss: str = "fail"
 ) -> DataFrame:
-    """All portfolio block files as one table with ``origem_tabela`` and
+    """All portfolio block files as one frame with ``origem_tabela`` and
     ``ym_arquivo``, the month the file was published for.
 
-    ``table`` is replaced, partitioned by both. Missing input fails before that.
+    ``table`` is partitioned by origin and by the month of ``dt_comptc``, by which the date
+    filters prune; the partitions that occur in the files are replaced, others stay.
+    Missing input fails before that.
     """
     files = portfolio_files(spark, folder)
     month_by_path = {f.path: f.month for f in files}
@@ -202,9 +210,9 @@ def load_portfolio(
     positions = columns.conform(positions, positions_schema())
     if table is None:
         return positions
-    # Each file belongs to one origin and month: the scan's layout is the table's.
-    parquet.refresh(positions, table, ["origem_tabela", FILE_MONTH], balance=False)
-    return spark.read.parquet(table)
+    positions = parquet.with_month(positions)
+    parquet.refresh_partitions(positions, table, ["origem_tabela", parquet.MONTH])
+    return stored(spark, table, positions)
 
 
 # Derived tables -------------------------------------------------------------
@@ -213,9 +221,14 @@ def load_portfolio(
 def refresh_silver(
     daily: DataFrame, registry: DataFrame, folder: str, days: int = 31
 ) -> dict[str, str]:
-    """Rebuild the manager ranking, the flow ranking and the date table under ``folder``."""
+    """Rebuild the manager ranking, the flow ranking and the date table under ``folder``.
+
+    The inputs are evaluated once. Rankings are stored in rank order, so that a page reads
+    the files and row groups of its ranks only.
+    """
     from fundspark.plans import rankings
 
+    daily, registry = staged(daily, "daily"), staged(registry, "registry")
     frames = {
         "ranking_gestores": rankings.manager_aum_ranking(daily, registry),
         "ranking_movimentacao": rankings.flow_ranking(daily, registry, days),
@@ -224,7 +237,10 @@ def refresh_silver(
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in frames}
     for name, frame in frames.items():
         conformed = columns.conform(parquet.stamped(frame), schemas.TABLES[name])
-        parquet.refresh(conformed, paths[name])
+        ranked = "ranking" in conformed.columns
+        if ranked:
+            conformed = conformed.repartitionByRange("ranking").sortWithinPartitions("ranking")
+        parquet.refresh(conformed, paths[name], balance=not ranked)
     return paths
 
 
@@ -233,4 +249,4 @@ def upsert_returns(spark: SparkSession, returns: DataFrame, table: str) -> DataF
     parquet.upsert_table(
         spark, table, conformed, schemas.KEYS["fundo_rentabilidade"], month_of="dt_comptc"
     )
-    return spark.read.parquet(table)
+    return stored(spark, table, parquet.with_month(conformed))

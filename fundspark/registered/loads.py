@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fundspark import fixtures as fx
 from fundspark import landed, schemas
 from fundspark.operators import columns, filters, keys
-from fundspark.plans import loaders, portfolio, quotes, returns
+from fundspark.plans import loaders, portfolio, quotes, rankings, returns
 from fundspark.registered.base import doubles, register
 from fundspark.registered.operators import upsert_frames
 from fundspark.session import scratch_path
@@ -166,6 +166,30 @@ def _(spark, sf):
     return doubles(totals)
 
 
+@register("stored_equity_exposure_latest")
+def _(spark, sf):
+    return doubles(rankings.equity_exposure_ranking(spark.read.parquet(_portfolio_table(spark, sf))))
+
+
+@register("stored_equity_exposure_range")
+def _(spark, sf):
+    stored = spark.read.parquet(_portfolio_table(spark, sf))
+    return doubles(rankings.equity_exposure_ranking(stored, "1996-01-01", "1997-12-31"))
+
+
+@register("stored_equity_positions")
+def _(spark, sf):
+    stored = spark.read.parquet(_portfolio_table(spark, sf))
+    rows = rankings.equity_positions(stored, "00000000000003", "CLASSES - FIF", start="1996-01-01")
+    return doubles(rows.select("origem_tabela", "dt_comptc", "tp_ativo", "vl_merc_pos_final", "qt_pos_final"))
+
+
+@register("stored_portfolio_composition")
+def _(spark, sf):
+    stored = spark.read.parquet(_portfolio_table(spark, sf))
+    return portfolio.portfolio_composition(portfolio.unified_from_table(stored))
+
+
 # Quotes --------------------------------------------------------------------------------------
 
 

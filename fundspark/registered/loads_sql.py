@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fundspark.registered.domain_sql import sql
+from fundspark.registered.domain_sql import FX, sql
 from fundspark.registered.operators_sql import ORACLE as OPERATORS
 from fundspark.registered.reports_sql import FLOW
 from fundspark.registered.reports_sql import ORACLE as REPORTS
@@ -55,6 +55,18 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0""",
         """SELECT * REPLACE (CAST(vl_merc_pos_final AS DOUBLE) AS vl_merc_pos_final, CAST(qt_pos_final AS DOUBLE) AS qt_pos_final,
   CASE WHEN origem_tabela IN ('FUNDOS', 'DEPOSITO_PRAZO_IF') THEN lpad(codigo_ativo, 14, '0') ELSE codigo_ativo END AS codigo_ativo)
 FROM fx_unified"""
+    ),
+    "stored_equity_exposure_latest": REPORTS["equity_exposure_latest"],
+    "stored_equity_exposure_range": REPORTS["equity_exposure_range"],
+    "stored_equity_positions": sql(
+        """SELECT origem_tabela, dt_comptc, tp_ativo, CAST(vl_merc_pos_final AS DOUBLE) AS vl_merc_pos_final, CAST(qt_pos_final AS DOUBLE) AS qt_pos_final
+FROM fx_unified WHERE cnpj_fundo_classe = '00000000000003' AND tp_fundo_classe = 'CLASSES - FIF' AND tp_aplic = 'Ações' AND dt_comptc >= DATE '1996-01-01'"""
+    ),
+    "stored_portfolio_composition": sql(
+        "SELECT * FROM composition_served",
+        landed_rows=FX["fx_unified"],
+        fx_unified="""SELECT * REPLACE (CASE WHEN origem_tabela IN ('FUNDOS', 'DEPOSITO_PRAZO_IF') THEN lpad(codigo_ativo, 14, '0')
+  ELSE codigo_ativo END AS codigo_ativo) FROM landed_rows""",
     ),
     "block_views": sql(
         """SELECT concat('composicao_carteira_', lower(origem_tabela)) AS tabela, COUNT(*) AS linhas,

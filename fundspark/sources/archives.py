@@ -15,42 +15,46 @@ LINES = "archive string, member string, line_no long, line string"
 BATCH = 10_000
 
 
-def _member_lines(
-    bundle: zipfile.ZipFile, archive: str, member: str, encoding: str
-) -> Iterator[pd.DataFrame]:
-    with io.TextIOWrapper(bundle.open(member), encoding=encoding) as text:
-        first = 0
-        while rows := [line.rstrip("\r\n") for line in itertools.islice(text, BATCH)]:
-            yield pd.DataFrame(
-                {
-                    "archive": archive,
-                    "member": member.rsplit("/", 1)[-1],
-                    "line_no": range(first, first + len(rows)),
-                    "line": rows,
-                }
-            )
-            first += len(rows)
-
-
 def unpack_archives(
-    archives: DataFrame, suffix: str = ".csv", encoding: str = "latin-1"
+    archives: DataFrame, suffix: str = ".csv", encoding: str = "latin-1", full_path: bool = False
 ) -> DataFrame:
     """``(archive, member, line_no, line)`` from ``(archive, content)`` rows, for every
-    member ending in ``suffix``. Members are decompressed as a stream of batches."""
+    member ending in ``suffix``. Members are decompressed as a stream of batches; they go by
+    their file names, or by their whole paths in the archive."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Everything that runs on executors is in here: they need not have this package.
+        def lines_of(bundle: zipfile.ZipFile, archive: str, member: str) -> Iterator[pd.DataFrame]:
+            with io.TextIOWrapper(bundle.open(member), encoding=encoding) as text:
+                first = 0
+                while rows := [line.rstrip("\r\n") for line in itertools.islice(text, size)]:
+                    yield pd.DataFrame(
+                        {
+                            "archive": archive,
+                            "member": member if full_path else member.rsplit("/", 1)[-1],
+                            "line_no": range(first, first + len(rows)),
+                            "line": rows,
+                        }
+                    )
+                    first += len(rows)
+
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
                     for member in bundle.namelist():
                         if member.endswith(suffix):
-                            yield from _member_lines(bundle, archive, member, encoding)
+                            yield from lines_of(bundle, archive, member)
 
+    size = BATCH
     return archives.select("archive", "content").mapInPandas(unpack, LINES)
 
 
 def read_archives(
-    spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "latin-1"
+    spark: SparkSession,
+    path: str,
+    suffix: str = ".csv",
+    encoding: str = "latin-1",
+    full_path: bool = False,
 ) -> DataFrame:
     """The lines of all ``*.zip`` files in a folder.
 
@@ -59,4 +63,4 @@ def read_archives(
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("archive")
-    return unpack_archives(files.select(name, "content"), suffix, encoding)
+    return unpack_archives(files.select(name, "content"), suffix, encoding, full_path)

@@ -181,8 +181,8 @@ def test_portfolio_load_and_missing_input(spark, rows, tmp_path):
     table = str(tmp_path / "out")
     stored = loaders.load_portfolio(spark, str(tmp_path / "in"), table)
     assert rows(stored, "origem_tabela", "ym_arquivo", "cnpj_fundo_classe", "vl_merc_pos_final", "cnpj_fundo_classe_cota") == [
-        ("FUNDOS", 202312, "00000000000191", Decimal("7"), "00000000000272"),
-        ("TITULO_PUBLICO_SELIC", 202401, "00000000000191", Decimal("10.50"), None),
+        ("FUNDOS", "202312", "00000000000191", Decimal("7"), "00000000000272"),
+        ("TITULO_PUBLICO_SELIC", "202401", "00000000000191", Decimal("10.50"), None),
     ]
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
@@ -239,8 +239,9 @@ def test_unzip(spark, rows, tmp_path):
         bundle.writestr("skip.txt", "no")
     lines = landing.unzip_landing(spark, str(tmp_path / "zips"))
     assert rows(lines) == [("a.zip", "one.csv", 0, "A;B"), ("a.zip", "one.csv", 1, "1;é")]
-    stored = landing.unzip_landing(spark, str(tmp_path / "zips"), str(tmp_path / "out"))
-    assert rows(stored, "archive", "member", "value") == [("a.zip", "one.csv", "1;é"), ("a.zip", "one.csv", "A;B")]
+    landing.unzip_landing(spark, str(tmp_path / "zips"), str(tmp_path / "out"))
+    part = next((tmp_path / "out" / "a.zip" / "x" / "one.csv").glob("*.csv"))
+    assert part.read_bytes().decode("latin-1").splitlines() == ["A;B", "1;é"]
 
 
 def test_log_stream_reads_each_line_once(spark, rows, tmp_path):
@@ -318,3 +319,24 @@ def test_a_version_set_aside_is_put_back(spark, tmp_path):
     assert not path_has_data(spark, str(table))
     spark.range(3).write.parquet(str(table) + OLD)
     assert path_has_data(spark, str(table)) and spark.read.parquet(str(table)).count() == 3
+
+
+def test_unzipped_files_can_be_loaded(spark, rows, tmp_path):
+    import zipfile
+
+    from fundspark.plans.landing import unzip_landing
+
+    (tmp_path / "zip").mkdir()
+    lines = "\r\n".join([HEADER, daily_line("191", "2025-03-31", "1.5"), daily_line("191", "2025-03-31", "2.5"), ""])
+    for month, folder in (("202503", "a/"), ("202504", "")):
+        with zipfile.ZipFile(tmp_path / "zip" / f"d{month}.zip", "w") as bundle:
+            bundle.writestr(f"{folder}inf_diario_fi_{month}.csv", lines.replace("2025-03-31", f"2025-{month[4:]}-30").encode("latin-1"))
+            bundle.writestr("b/note.csv", "ação".encode("latin-1"))
+    out = str(tmp_path / "landed")
+    unzip_landing(spark, str(tmp_path / "zip"), out)
+    loaded = loaders.load_daily(spark, out)
+    assert rows(loaded, "dt_comptc", "vl_quota") == [
+        (dt.date(2025, 3, 30), Decimal("2.5")), (dt.date(2025, 4, 30), Decimal("2.5")),
+    ]
+    note = next((tmp_path / "landed" / "d202503.zip" / "b" / "note.csv").glob("*.csv"))
+    assert note.read_bytes().decode("latin-1").strip() == "ação"

@@ -65,3 +65,15 @@ def test_trailing_periods_prune_months(spark, rows, capsys, stored, period):
 def test_flow_ranking_of_a_stored_table(spark, rows, stored, sf_dir):
     daily, registry = spark.read.parquet(stored), fx.registry(spark, sf_dir)
     assert rows(rankings.flow_ranking(daily, registry)) == rows(rankings.flow_ranking(daily.drop("ym"), registry))
+
+
+def test_portfolio_dates_prune_months(spark, capsys, sf_dir):
+    from fundspark import landed
+    from fundspark.plans import loaders
+    from fundspark.session import scratch_path
+
+    table = scratch_path(spark, "positions")
+    stored = loaders.load_portfolio(spark, landed.portfolio_folder(spark, sf_dir), table)
+    assert dict(stored.dtypes)["ym"] == "string" and dict(stored.dtypes)["ym_arquivo"] == "string"
+    text = plan(capsys, filters.date_range(stored, "1996-01-01", "1996-03-31"))
+    assert "PartitionFilters: [isnotnull(ym" in text and "199601" in text
