@@ -12,12 +12,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundspark.llm.common import stage
 
-ITERATIONS, TOLERANCE = 12, 1e-10
+ITERATIONS, TOLERANCE = 8, 1e-12
+#: Iterations between two written tables.
+STEPS = 4
 CAPPING_ROUNDS = 20
 _RANGE = 1 << 32
 
@@ -43,38 +45,35 @@ def rake(
 
     ``targets`` maps a dimension to a frame (dimension, target) of positive numbers; they are
     scaled to the categories that occur, and categories without a target get no share. Ends
-    when no marginal is off by more than ``tolerance``, or after so many iterations.
+    when no marginal was off by more than ``tolerance``, or after so many iterations. A task
+    sums the cells of one category; cells follow the categories, not the rows.
     """
-    total = cells.agg(F.sum("present")).first()[0] or 1.0
-    wanted = {}
+    whole = cells.agg(F.sum("present")).first()[0] or 1.0
+    raked = cells.withColumn("share", F.col("present") / F.lit(whole))
     for d, target in targets.items():
-        there = stage(
-            cells.groupBy(d).agg(F.count("*").alias("_n"))
-            .join(target.select(F.col(d).alias("_d"), "target"), F.col(d).eqNullSafe(F.col("_d")))
-            .select("_d", F.col("target").cast("double").alias("_t")), "targets",
+        there = cells.select(F.col(d).alias("_d")).distinct().join(
+            target.select(F.col(d).alias("_c"), F.col("target").cast("double").alias(f"_t_{d}")), F.col("_d").eqNullSafe(F.col("_c"))
         )
-        whole = there.agg(F.sum("_t")).first()[0] or 1.0
-        wanted[d] = there.select(F.col("_d"), (F.col("_t") / whole).alias("_t"))
-    raked = stage(cells.withColumn("share", F.col("present") / F.lit(total)), "raked")
-    for _ in range(iterations):
-        raked = raked.withColumn("_off", F.lit(0.0))
-        for d in targets:
-            now = raked.groupBy(F.col(d).alias("_m")).agg(F.sum("share").alias("_now"))
-            factor = now.join(wanted[d], F.col("_m").eqNullSafe(F.col("_d")), "left").select(
-                "_m", "_now", F.coalesce("_t", F.lit(0.0)).alias("_t")
-            )
-            scaled = F.col("share") * F.coalesce(F.col("_t") / F.nullif(F.col("_now"), F.lit(0.0)), F.lit(0.0))
-            raked = raked.join(factor, F.col(d).eqNullSafe(F.col("_m"))).select(
-                *cells.columns,
-                scaled.alias("share"),
-                F.greatest("_off", F.abs(F.col("_t") - F.col("_now"))).alias("_off"),
-            )
+        there = stage(there.select("_d", f"_t_{d}"), "targets")
+        scale = there.agg(F.sum(f"_t_{d}")).first()[0] or 1.0
+        raked = raked.join(there.withColumn(f"_t_{d}", F.col(f"_t_{d}") / F.lit(scale)), F.col(d).eqNullSafe(F.col("_d")), "left").drop("_d")
+    raked, done = stage(raked, "raked"), 0
+    while done < iterations:
+        for _ in range(min(STEPS, iterations - done)):
+            done += 1
+            off = F.lit(0.0)
+            for d in targets:
+                aim = F.coalesce(F.col(f"_t_{d}"), F.lit(0.0))
+                raked = raked.withColumn(f"_now_{d}", F.sum("share").over(Window.partitionBy(d)))
+                off = F.greatest(off, F.abs(aim - F.col(f"_now_{d}")))
+                scaled = F.col("share") * aim / F.nullif(F.col(f"_now_{d}"), F.lit(0.0))
+                raked = raked.withColumn("share", F.coalesce(scaled, F.lit(0.0)))
+            raked = raked.withColumn("_off", off).drop(*[f"_now_{d}" for d in targets])
         raked = stage(raked, "raked")
-        gap = raked.agg(F.max("_off")).first()[0] or 0.0
-        raked = raked.drop("_off")
-        if gap <= tolerance:
+        if (raked.agg(F.max("_off")).first()[0] or 0.0) <= tolerance:
             break
-    return raked
+        raked = raked.drop("_off")
+    return raked.select(*cells.columns, "share")
 
 
 def calibrated(raked: DataFrame, budget: float | None = None) -> DataFrame:
