@@ -150,8 +150,8 @@ def _(spark, sf):
 
 @register("portfolio_composition_by_list")
 def _(spark, sf):
-    suppliers = fx.table(spark, sf, "supplier")
-    ids = suppliers.select(F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("cnpj"))
+    listed = fx.table(spark, sf, "supplier").filter(F.col("s_acctbal") > 4000)
+    ids = listed.select(F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("cnpj"))
     return portfolio.portfolio_composition(fx.unified(spark, sf), ids)
 
 

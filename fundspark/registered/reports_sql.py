@@ -103,7 +103,7 @@ WHERE cnpj_fundo_classe = '00000000000003' AND tp_fundo_classe = 'CLASSES - FIF'
 AND tp_fundo_classe IN ('CLASSES - FIF', 'FI')"""
     ),
     "portfolio_composition_by_list": sql(
-        "SELECT * FROM composition_served WHERE cnpj_fundo_classe IN (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') FROM supplier)"
+        "SELECT * FROM composition_served WHERE cnpj_fundo_classe IN (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') FROM supplier WHERE s_acctbal > 4000)"
     ),
     "unified_positions": sql(
         "SELECT * REPLACE (CAST(vl_merc_pos_final AS DOUBLE) AS vl_merc_pos_final, CAST(qt_pos_final AS DOUBLE) AS qt_pos_final) FROM fx_unified"
