@@ -296,7 +296,17 @@ def _(spark, sf):
 def _(spark, sf):
     table = scratch_path(spark, "informacao_diaria")
     incremental.ingest_daily(
-        spark, landed.daily_stream_folder(spark, sf), landed.DAILY_HEADER, table,
+        spark, landed.daily_stream_folder(spark, sf), table,
         scratch_path(spark, "posicao"), pattern="*.csv", files_per_batch=4,
     ).awaitTermination()
     return doubles(spark.read.parquet(table).drop(parquet.MONTH))
+
+
+@register("ingest_daily_both_layouts")
+def _(spark, sf):
+    """Files of the older and the current layout in one stream."""
+    table = scratch_path(spark, "informacao_diaria")
+    incremental.ingest_daily(
+        spark, landed.daily_folder(spark, sf), table, scratch_path(spark, "posicao"), pattern="*.csv",
+    ).awaitTermination()
+    return doubles(spark.read.parquet(table).drop(parquet.MONTH))

@@ -110,3 +110,4 @@ UNION ALL SELECT 'ilegivel', '025'""",
   concat(CAST(c_custkey AS VARCHAR), ';', c_name, ' é') AS line FROM customer""",
     "log_stream": "SELECT concat_ws(' ', CAST(event_id AS VARCHAR), event_type, props) AS mensagem FROM events",
 }
+ORACLE["ingest_daily_both_layouts"] = ORACLE["load_daily_all_months"]

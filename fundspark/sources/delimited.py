@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Hashable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fundspark.operators.columns import lower_columns, rename_present
+from fundspark.sources.tables import file_system
 
 SEPARATOR = ";"
 ENCODING = "ISO-8859-1"
@@ -29,7 +31,7 @@ def _options(reader, separator: str, encoding: str):
 
 
 def layout_reader(reader, header: Sequence[str], separator: str = SEPARATOR, encoding: str = ENCODING):
-    """A batch or stream reader for files with this header, all columns as strings.
+    """A reader for files with this header, all columns as strings.
 
     Malformed lines keep their fields and their text; a file with another header fails.
     """
@@ -47,8 +49,25 @@ def layout_reader(reader, header: Sequence[str], separator: str = SEPARATOR, enc
 def header_of(
     spark: SparkSession, path: str, separator: str = SEPARATOR, encoding: str = ENCODING
 ) -> list[str]:
-    """Column names from the first line of one file."""
-    return _options(spark.read, separator, encoding).csv(path).columns
+    """Column names from the first line of a file (of a folder: of its first part that is
+    not empty), read by the driver: no Spark job."""
+    fs, at = file_system(spark, path)
+    file = at(path)
+    if fs.getFileStatus(file).isDirectory():
+        parts = [(p.getPath().toString(), p.getPath()) for p in fs.listStatus(file) if p.isFile() and p.getLen()]
+        shown = [p for p in sorted(parts, key=lambda p: p[0]) if p[0].rsplit("/", 1)[-1][0] not in "_."]
+        if not shown:
+            raise FileNotFoundError(f"no file in {path}")
+        file = shown[0][1]
+    io = spark.sparkContext._jvm.java.io
+    lines = io.BufferedReader(io.InputStreamReader(fs.open(file), encoding))
+    try:
+        first = lines.readLine()
+    finally:
+        lines.close()
+    if not first:
+        raise ValueError(f"{path} has no header")
+    return next(csv.reader([first.lstrip("\ufeff")], delimiter=separator))
 
 
 def _too_long(header: Sequence[str], separator: str) -> Column:
@@ -108,7 +127,7 @@ def read_delimited(
     """Files of possibly different layouts as one frame with lower-case columns,
     ``renames`` applied to the layouts that have the old names.
 
-    The first line of one file per ``alike`` group is read to learn its header, and
+    The driver reads the first line of one file per ``alike`` group to learn its header, and
     one scan per distinct header follows. A file that breaks its group's layout
     fails the job.
     """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,46 +9,50 @@ from pyspark.sql.streaming import StreamingQuery
 from fundspark import schemas
 from fundspark.plans.loaders import clean_daily
 from fundspark.sinks.parquet import upsert_table
-from fundspark.sources.delimited import layout_reader, located_lines
+from fundspark.sources.delimited import read_delimited
 
 FILES = "inf_diario_fi_*.csv"
 
 
-def daily_stream(
-    spark: SparkSession,
-    folder: str,
-    header: Sequence[str],
-    pattern: str = FILES,
-    files_per_batch: int = 100,
+def file_stream(
+    spark: SparkSession, folder: str, pattern: str = FILES, files_per_batch: int = 100
 ) -> DataFrame:
-    """Daily files of one layout as strings, oldest first."""
-    reader = (
-        layout_reader(spark.readStream, header)
+    """The paths of files as they land, oldest first, once for each of their lines."""
+    return (
+        spark.readStream.format("text")
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+        .select(F.col("_metadata.file_path").alias("path"))
     )
-    return located_lines(reader.csv(folder), header, bad_lines="fail")
 
 
 def ingest_daily(
     spark: SparkSession,
     folder: str,
-    header: Sequence[str],
     table: str,
     checkpoint: str,
     pattern: str = FILES,
     files_per_batch: int = 100,
 ) -> StreamingQuery:
-    """Upsert all files landed so far into ``table``; repeating a batch changes nothing."""
+    """Upsert all files landed so far into ``table``; repeating a batch changes nothing.
+
+    The stream keeps track of the files; each batch reads its files as the batch load does,
+    every file in its own layout.
+    """
 
     def upsert(batch: DataFrame, _batch_id: int) -> None:
-        lines = batch.withColumn("_line", F.monotonically_increasing_id())
-        upsert_table(
-            batch.sparkSession, table, clean_daily(lines), schemas.DAILY_KEYS, month_of="dt_comptc"
-        )
+        # No more paths than files_per_batch.
+        paths = sorted(r.path for r in batch.distinct().collect())
+        if not paths:
+            return
+        spark = batch.sparkSession
+        raw = read_delimited(spark, paths, bad_lines="fail", renames=schemas.LAYOUT_RENAMES)
+        upsert_table(spark, table, clean_daily(raw), schemas.DAILY_KEYS, month_of="dt_comptc")
 
     return (
-        daily_stream(spark, folder, header, pattern, files_per_batch)
+        file_stream(spark, folder, pattern, files_per_batch)
         .writeStream.foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -264,7 +264,7 @@ def test_stream_equals_batch_and_restarts_clean(spark, rows, tmp_path):
     folder, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
 
     def run():
-        incremental.ingest_daily(spark, folder, landed.DAILY_HEADER, table, checkpoint, files_per_batch=1).awaitTermination()
+        incremental.ingest_daily(spark, folder, table, checkpoint, files_per_batch=1).awaitTermination()
         return rows(spark.read.parquet(table), *schemas.DAILY.fieldNames())
 
     write(tmp_path / "in" / "inf_diario_fi_202503.csv", HEADER, daily_line("191", "2025-03-31", "1"),
@@ -280,7 +280,7 @@ def test_stream_equals_batch_and_restarts_clean(spark, rows, tmp_path):
 def test_stream_fails_on_a_long_line(spark, tmp_path):
     folder, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     write(tmp_path / "in" / "inf_diario_fi_202503.csv", HEADER, daily_line("191", "2025-03-31", "1") + ";x")
-    query = incremental.ingest_daily(spark, folder, landed.DAILY_HEADER, table, checkpoint)
+    query = incremental.ingest_daily(spark, folder, table, checkpoint)
     with pytest.raises(Exception, match="too many fields"):
         query.awaitTermination()
 
