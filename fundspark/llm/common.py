@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundspark.session import checkpoint_dir, scratch_path
+from fundspark.session import staged as stage
+
+__all__ = ["POSITION", "documents", "positioned", "stage"]
 
 POSITION = "_position"
 
@@ -14,18 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it from there.
-
-    Cuts the lineage: executors lost later only cost a new read.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def positioned(df: DataFrame, *order: Column) -> DataFrame:
     """Staged ``df`` with its global position (``_position``, from 0) in ``order``.
 
