@@ -269,6 +269,22 @@ def _(spark, sf):
         "vl_total", "total_resgates", "total_aportes", "fluxo_liquido", "percentual_fluxo_liquido"])
 
 
+def _stored_page(spark: SparkSession, sf: str, period: str, number: int, size: int) -> DataFrame:
+    paths = loaders.refresh_silver(fx.daily(spark, sf), fx.registry(spark, sf), scratch_path(spark, "prata"))
+    stored = spark.read.parquet(paths["ranking_movimentacao"])
+    return rankings.flow_ranking_page(stored, period, number, size)
+
+
+@register("stored_flow_ranking_page_day")
+def _(spark, sf):
+    return _stored_page(spark, sf, "dia", 0, 25)
+
+
+@register("stored_flow_ranking_page_31_days")
+def _(spark, sf):
+    return _stored_page(spark, sf, "31_dias", 2, 20)
+
+
 @register("silver_dates")
 def _(spark, sf):
     return _silver(spark, sf, "datas_informacao_diaria")
