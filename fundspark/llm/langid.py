@@ -287,9 +287,12 @@ class Identifier:
 
 def _sample(rows: DataFrame, key: Column, chars: int) -> DataFrame:
     """About ``chars`` characters of each language, chosen by a hash of the key."""
-    totals = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("_chars"))
+    totals = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()
+    shares = [x for r in totals for x in (F.lit(r.lang), F.lit(chars / max(r.n, 1)))]
+    if not shares:
+        return rows
     part = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / (1 << 30)
-    return rows.join(totals, "lang").filter(part * F.col("_chars") < chars).drop("_chars")
+    return rows.filter(part < F.element_at(F.create_map(*shares), F.col("lang")))
 
 
 def fit(labelled: DataFrame, calibration: DataFrame, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -> Identifier:
