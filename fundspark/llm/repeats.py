@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundspark.llm.common import stage
@@ -339,26 +339,21 @@ def _splitters(suffixes: DataFrame, buckets: int) -> np.ndarray:
     """
     sample = suffixes.select(F.explode("sample").alias("token"))
     counted = sample.groupBy("token").agg(F.count("*").alias("n"))
-    ordered = counted.repartitionByRange(F.col("token")).sortWithinPartitions("token")
-    placed = stage(ordered.withColumn("_part", F.spark_partition_id()), "sample")
+    ordered = counted.repartitionByRange(F.col("token")).withColumn("_part", F.spark_partition_id())
+    placed = stage(ordered, "sample")
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum("n").alias("n")).collect()}
-    total, earlier, offsets = sum(sizes.values()), 0, {}
+    earlier, offsets = 0, []
     for part in sorted(sizes):
-        offsets[part], earlier = earlier, earlier + sizes[part]
-    step = max(1.0, total / buckets)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        for batch in batches:
-            found = []
-            for token, n, part in zip(*(batch.column(c).to_pylist() for c in ("token", "n", "_part"))):
-                at = offsets[part] if at is None or part != last else at
-                last = part
-                found += [token] * (int((at + n) / step) > int(at / step))
-                at += n
-            yield pa.RecordBatch.from_pydict({"token": pa.array(found, pa.binary())})
-
-    rows = placed.coalesce(1).sortWithinPartitions("token").mapInArrow(cut, "token binary").collect() if total else []
+        offsets += [F.lit(part), F.lit(earlier)]
+        earlier += sizes[part]
+    if not earlier:
+        return np.array([], dtype=f"S{SEED}")
+    step = max(1.0, earlier / buckets)
+    # The place of each token's last suffix in the whole sample.
+    running = F.sum("n").over(Window.partitionBy("_part").orderBy("token"))
+    last = F.element_at(F.create_map(*offsets), F.col("_part")) + running
+    cut = placed.select("token", "n", last.alias("last"))
+    rows = cut.filter(F.floor(F.col("last") / step) > F.floor((F.col("last") - F.col("n")) / step)).select("token").collect()
     return np.array(sorted(bytes(r.token) for r in rows), dtype=f"S{SEED}")
 
 
