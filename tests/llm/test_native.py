@@ -77,6 +77,45 @@ def test_raking_meets_all_marginals(spark):
         assert all(math.isclose(sums[k], v, abs_tol=1e-6) for k, v in wanted.items())
 
 
+@pytest.mark.parametrize("together", [mixing.TOGETHER, 0])
+def test_raking_goes_on_until_the_marginals_meet(spark, together):
+    """A strong diagonal takes more than eight rounds."""
+    rows = [(s, t, 12.0 if i == j else 1.0) for i, s in enumerate("abc") for j, t in enumerate(("x", "y", None))]
+    cells = spark.createDataFrame(rows, "source string, topic string, present double")
+    wanted = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "topic": {"x": 0.4, "y": 0.35, None: 0.25}}
+    targets = {d: spark.createDataFrame(list(w.items()), f"{d} string, target double") for d, w in wanted.items()}
+    found = mixing.rake(cells, targets, together=together).collect()
+    assert len(found) == 9
+    for d, w in wanted.items():
+        for k, v in w.items():
+            assert abs(sum(r.share for r in found if r[d] == k) - v) < 1e-11
+    with pytest.raises(ArithmeticError, match="off by"):
+        mixing.rake(cells, targets, iterations=3, together=together)
+
+
+def test_contradicting_targets_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0)], "source string, topic string, present double")
+    targets = {
+        "source": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, target double"),
+        "topic": spark.createDataFrame([("x", 1.0), ("y", 3.0)], "topic string, target double"),
+    }
+    with pytest.warns(UserWarning, match="stays off by 0.25"):
+        assert sorted(r.share for r in mixing.rake(cells, targets).collect()) == [0.25, 0.75]
+
+
+def test_op1_meets_its_marginals(spark, table):
+    """The weights of the query, summed over the documents, are the tempered targets."""
+    rows = [(r.source, r.lang, r.topic, r.tokens, r.weight) for r in queries.op1_mix(spark, SMALL).collect()]
+    total = sum(r[3] for r in rows)
+    for i, power in enumerate(queries.MIX.values()):
+        present, share = Counter(), Counter()
+        for r in rows:
+            present[r[i]] += r[3]
+            share[r[i]] += r[3] * r[4] / total
+        scale = sum(n**power for n in present.values())
+        assert all(abs(share[k] - n**power / scale) < 1e-5 for k, n in present.items())
+
+
 def test_calibrated_probabilities_meet_the_budget(spark):
     cells = spark.createDataFrame([("a", 100.0, 0.7), ("b", 800.0, 0.2), ("c", 100.0, 0.1)], "source string, present double, share double")
     found = mixing.calibrated(cells, 400.0).collect()
