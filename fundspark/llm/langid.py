@@ -9,7 +9,7 @@ cross-entropy per character is chosen, and rejected when that is higher than nea
 calibration texts of that language and length have it.
 
 Models are fitted on a bounded sample of the labelled rows: the expected number of
-characters per language is ``SAMPLE_CHARS`` for counts and as many for calibration.
+characters per language is ``SAMPLE_CHARS``. Limits and score are calibrated on all rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ SAMPLE_CHARS = 2_000_000
 UNKNOWN = "und"
 #: Share of a language's own texts that calibration lets go, and the slack on top.
 REJECTED, SLACK = 0.001, 1.25
+#: Texts that a limit rests on at least; thinner length classes are pooled with their neighbours.
+LEAST_TEXTS = 1000
+#: Length classes, from 0; no string is longer than the last.
+CLASSES = 16
 #: Characters that count as independent when entropies become a score; the best is fitted.
 EFFECTIVE = (1, 2, 5, 10, 20, 50)
 #: Longer texts are scored in parts, cut at a space where there is one.
@@ -278,13 +282,30 @@ class Identifier:
         schema = ", ".join(x for x in (kinds, "lang_pred string, score double, cross_entropy double, n_scored bigint") if x)
         scored = docs.select(*kept).mapInArrow(run, schema)
         too_high = F.lit(False)
-        for (language, length), limit in sorted(self.limits.items()):
-            too_high = too_high | (
-                (F.col("lang_pred") == language) & (_bin(F.col("n_scored")) == length) & (F.col("cross_entropy") > limit)
-            )
+        if self.limits:
+            by_class = {name: [self.limits.get((name, c)) for c in range(CLASSES)] for name, _ in self.limits}
+            table = F.create_map(*[
+                x for name, found in sorted(by_class.items()) for x in (F.lit(name), F.array(*[F.lit(v).cast("double") for v in found]))
+            ])
+            limit = F.get(F.element_at(table, F.col("lang_pred")), _bin(F.col("n_scored")))
+            too_high = F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
         return scored.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | too_high)
 
 
+def pools(counts: dict[int, int], least: int = LEAST_TEXTS) -> dict[int, tuple[int, int]]:
+    """For each length class the first and last class whose texts give its limit.
+
+    Neighbours join on both sides until there are ``least`` texts, or all of the language.
+    """
+    out = {}
+    for c in range(CLASSES):
+        low = high = c
+        while sum(counts.get(i, 0) for i in range(low, high + 1)) < least and (low > 0 or high < CLASSES - 1):
+            low, high = max(low - 1, 0), min(high + 1, CLASSES - 1)
+        out[c] = low, high
+    return out
+
+
 def _sample(rows: DataFrame, key: Column, chars: int) -> DataFrame:
     """About ``chars`` characters of each language, chosen by a hash of the key."""
     totals = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()
@@ -299,11 +320,11 @@ def fit(labelled: DataFrame, calibration: DataFrame, sample_chars: int = SAMPLE_
     """Fit on ``labelled`` and calibrate on ``calibration``, both with ``lang`` and ``text``.
 
     Rows with a NULL language or text are left out. Without any labels every text is ``und``.
-    What reaches the driver is bounded by the sample and the number of languages.
+    What reaches the driver is bounded by the sample and the number of languages. All
+    rows of ``calibration`` are scored. Every class of every language gets a limit; a
+    language without a text there takes the highest of the others.
     """
-    usable = lambda df: _sample(
-        df.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), F.col("text"), sample_chars
-    )
+    usable = lambda df: df.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
@@ -329,7 +350,7 @@ def fit(labelled: DataFrame, calibration: DataFrame, sample_chars: int = SAMPLE_
             "log_left": pa.array([v[1] for v in fitted.values()], pa.float64()),
         })
 
-    words = usable(labelled).mapInArrow(count, "lang string, word string, n bigint")
+    words = _sample(usable(labelled), F.col("text"), sample_chars).mapInArrow(count, "lang string, word string, n bigint")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams = words.groupBy("lang").applyInArrow(tables, "lang string, gram string, log_p double, log_left double")
     fitted: dict = defaultdict(dict)
@@ -349,10 +370,28 @@ def fit(labelled: DataFrame, calibration: DataFrame, sample_chars: int = SAMPLE_
     losses = entropies.agg(*[F.avg(loss(e)).alias(f"e{e}") for e in EFFECTIVE]).first()
     effective = min(EFFECTIVE, key=lambda e: losses[f"e{e}"] if losses[f"e{e}"] is not None else 0.0)
     right = entropies.filter(own == F.array_min("entropies"))
-    limits = right.groupBy("lang", _bin(F.col("n")).alias("length")).agg(
-        F.percentile_approx(own, 1 - REJECTED, 10_000).alias("limit")
-    )
-    return Identifier(models, effective, {(r.lang, r.length): r.limit * SLACK for r in limits.collect()})
+    right = right.select("lang", _bin(F.col("n")).alias("length"), own.alias("own"))
+    counts: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in right.groupBy("lang", "length").count().collect():
+        counts[r.lang][r.length] = r["count"]
+    pooled = {name: pools(found) for name, found in counts.items()}
+    if not pooled:
+        return Identifier(models, effective, {})
+    # The classes that a text helps to give a limit: its own, and thin ones nearby.
+    helped = F.create_map(*[
+        x
+        for name, ranges in pooled.items()
+        for x in (F.lit(name), F.array(*[
+            F.array(*[F.lit(c) for c, (low, high) in ranges.items() if low <= i <= high]).cast("array<int>") for i in range(CLASSES)
+        ]))
+    ])
+    spread = right.withColumn("length", F.explode(F.get(F.element_at(helped, F.col("lang")), F.col("length"))))
+    found = spread.groupBy("lang", "length").agg(F.percentile_approx("own", 1 - REJECTED, 10_000).alias("limit"))
+    limits = {(r.lang, r.length): r.limit * SLACK for r in found.collect()}
+    highest = {c: max(v for (_, at), v in limits.items() if at == c) for c in range(CLASSES)}
+    for name in set(models.languages) - set(pooled):
+        limits |= {(name, c): v for c, v in highest.items()}
+    return Identifier(models, effective, limits)
 
 
 def _entropies(rows: DataFrame, models: Models) -> DataFrame:

@@ -39,6 +39,24 @@ def test_held_out_accuracy(predicted):
     assert sum(r.rejected for r in found.values()) <= 0.03 * len(found)
 
 
+def test_limits_cover_all_lengths_and_rest_on_all_texts(make):
+    docs = make([(i, words(i, 1 + i % 90, 60), ("en", "xx")[i % 5 == 0]) for i in range(3000)] + [(-1, "q z " * 9, "rare")])
+    known = langid.fit(docs, docs.filter("lang <> 'rare'"), sample_chars=20_000)
+    assert set(known.limits) == {(name, c) for name in ("en", "rare", "xx") for c in range(langid.CLASSES)}
+    strange = make([(1, "жщ " * 300_000), (2, "ж"), (3, "qzj " * 40_000)])
+    assert all(r.rejected for r in known.predict(strange).collect())
+    # One text outside the sample lifts the limit of its class.
+    more = docs.unionByName(make([(9000 + i, "w1x w2x w3x " * 3 + f"abcdefgh{i}", "en") for i in range(900)]))
+    assert langid.fit(docs, more, sample_chars=500).limits != langid.fit(docs, docs, sample_chars=500).limits
+
+
+def test_thin_classes_are_pooled():
+    found = langid.pools({0: 5, 2: 2000, 3: 400, 4: 700}, 1000)
+    assert found[2] == (2, 2) and found[0] == (0, 2) and found[3] == (2, 4)
+    assert found[15][0] <= 4 and set(found) == set(range(langid.CLASSES))
+    assert set(langid.pools({1: 3}, 1000).values()) == {(0, langid.CLASSES - 1)}
+
+
 def test_models_are_distributions():
     fitted = langid.fit_language({"abab": 3, "ba": 2, "c": 1})
     for context in ("", "a", " a", "ab"):
