@@ -9,7 +9,8 @@ cross-entropy per character is chosen, and rejected when that is higher than nea
 calibration texts of that language and length have it.
 
 Models are fitted on a bounded sample of the labelled rows: the expected number of
-characters per language is ``SAMPLE_CHARS``. Limits and score are calibrated on all rows.
+characters per language is ``SAMPLE_CHARS``, drawn as small pieces of all distinct texts.
+Limits and score are calibrated on all rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ORDER = 5
 #: The uniform distribution that all models end in.
 ALPHABET = 2048
 SAMPLE_CHARS = 2_000_000
+#: The sample is drawn by pieces of so many characters, a little moved to where a word ends.
+PIECE_CHARS = 1000
 UNKNOWN = "und"
 #: Share of a language's own texts that calibration lets go, and the slack on top.
 REJECTED, SLACK = 0.001, 1.25
@@ -306,14 +309,62 @@ def pools(counts: dict[int, int], least: int = LEAST_TEXTS) -> dict[int, tuple[i
     return out
 
 
-def _sample(rows: DataFrame, key: Column, chars: int) -> DataFrame:
-    """About ``chars`` characters of each language, chosen by a hash of the key."""
-    totals = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()
+def borders(text: str, at: int) -> tuple[int, int]:
+    """Where a piece begins and ends: at the first character that is no letter, if there is one within a piece."""
+
+    def moved(place: int) -> int:
+        if place <= 0 or place >= len(text):
+            return min(place, len(text))
+        for i in range(place, min(place + PIECE_CHARS, len(text))):
+            if not text[i].isalpha():
+                return i
+        return place
+
+    return moved(at * PIECE_CHARS), moved((at + 1) * PIECE_CHARS)
+
+
+def _sample(rows: DataFrame, chars: int) -> DataFrame:
+    """About ``chars`` characters of each language, as ``lang`` and ``text``, or all that it has.
+
+    Texts are cut into pieces that are drawn by a hash of the whole text and their place, so
+    that long texts give a part and copies of a text count once.
+    """
+    keyed = rows.select("lang", "text", F.xxhash64("text").alias("_key"), F.char_length("text").alias("_n"))
+    once = keyed.groupBy("lang", "_key").agg(F.max("_n").cast("long").alias("n"))
+    totals = once.groupBy("lang").agg(F.sum("n").alias("n")).collect()
     shares = [x for r in totals for x in (F.lit(r.lang), F.lit(chars / max(r.n, 1)))]
     if not shares:
         return rows
-    part = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / (1 << 30)
-    return rows.filter(part < F.element_at(F.create_map(*shares), F.col("lang")))
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
+    number = F.ceil(F.col("_n") / PIECE_CHARS).cast("int")
+    part = lambda i: F.pmod(F.xxhash64(F.col("_key"), i), F.lit(1 << 30)) / (1 << 30)
+    drawn = keyed.filter("_n > 0").withColumn(
+        "_drawn", F.filter(F.sequence(F.lit(0), number - 1), lambda i: part(i) < share)
+    )
+
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lang", "_key", "_at", "text"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches):
+            names, keys, places = (batch.column(c).to_pylist() for c in ("lang", "_key", "_drawn"))
+            rows, size = [], 0
+            for name, key, text, wanted in zip(names, keys, texts, places):
+                for i in wanted:
+                    low, high = borders(text, i)
+                    rows.append((name, key, i, text[low:high]))
+                    size += high - low
+                    if size >= PART_CHARS:
+                        yield table(rows)
+                        rows, size = [], 0
+            if rows:
+                yield table(rows)
+
+    taken = drawn.filter(F.size("_drawn") > 0).select("lang", "text", "_key", "_drawn")
+    taken = taken.mapInArrow(take, "lang string, _key bigint, _at int, text string")
+    return taken.dropDuplicates(["lang", "_key", "_at"]).select("lang", "text")
 
 
 def fit(labelled: DataFrame, calibration: DataFrame, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -> Identifier:
@@ -350,7 +401,7 @@ def fit(labelled: DataFrame, calibration: DataFrame, sample_chars: int = SAMPLE_
             "log_left": pa.array([v[1] for v in fitted.values()], pa.float64()),
         })
 
-    words = _sample(usable(labelled), F.col("text"), sample_chars).mapInArrow(count, "lang string, word string, n bigint")
+    words = _sample(usable(labelled), sample_chars).mapInArrow(count, "lang string, word string, n bigint")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams = words.groupBy("lang").applyInArrow(tables, "lang string, gram string, log_p double, log_left double")
     fitted: dict = defaultdict(dict)

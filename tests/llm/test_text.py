@@ -45,9 +45,33 @@ def test_limits_cover_all_lengths_and_rest_on_all_texts(make):
     assert set(known.limits) == {(name, c) for name in ("en", "rare", "xx") for c in range(langid.CLASSES)}
     strange = make([(1, "жщ " * 300_000), (2, "ж"), (3, "qzj " * 40_000)])
     assert all(r.rejected for r in known.predict(strange).collect())
-    # One text outside the sample lifts the limit of its class.
-    more = docs.unionByName(make([(9000 + i, "w1x w2x w3x " * 3 + f"abcdefgh{i}", "en") for i in range(900)]))
-    assert langid.fit(docs, more, sample_chars=500).limits != langid.fit(docs, docs, sample_chars=500).limits
+    # Texts beyond any sample of 500 characters lift the limit.
+    plain = docs.filter("lang = 'en'")
+    more = plain.unionByName(make([(9000 + i, "жщ " * (1 + i % 90), "en", None, None) for i in range(900)]))
+    first, second = (langid.fit(plain, rows, sample_chars=500).limits for rows in (plain, more))
+    assert all(second[k] > first[k] for k in first)
+
+
+def test_every_language_is_sampled_within_the_bound(make):
+    """One huge text, one text in many copies and ordinary texts: each gives about its share."""
+    docs = make(
+        [(1, words(1, 200_000), "huge", None, None)]
+        + [(10 + i, "abc def ghi " * 250, "copies", None, None) for i in range(300)]
+        + [(1000 + i, words(i, 300), "usual", None, None) for i in range(300)]
+    )
+    found = defaultdict(int)
+    for r in langid._sample(docs.select("lang", "text"), 100_000).collect():
+        found[r.lang] += len(r.text)
+    assert found["copies"] == 3000
+    assert all(70_000 < found[name] < 130_000 for name in ("huge", "usual"))
+    assert set(langid.fit(docs, docs, 100_000).models.languages) == {"copies", "huge", "usual"}
+
+
+@given(st.text(st.sampled_from("ab é日."), max_size=60).map(lambda t: t * 60))
+@settings(max_examples=50, deadline=None)
+def test_pieces_make_up_the_text(text):
+    parts = [langid.borders(text, i) for i in range(-(-len(text) // langid.PIECE_CHARS))]
+    assert "".join(text[low:high] for low, high in parts) == text
 
 
 def test_thin_classes_are_pooled():
