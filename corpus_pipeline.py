@@ -1,7 +1,7 @@
 """The corpus pipeline: from raw documents to packed token sequences.
 
 Each stage takes the documents that the stage before has kept, from Parquet, and returns the
-columns of documents; the last one returns the pieces of sequences.
+columns of documents; the last one returns the pieces of sequences with their token ids.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all that is left into sequences of at most 2048 tokens."""
     return packing.pack(packing.tokenised(docs, tokenizer_path())).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"
+        "doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified"
     )
 
 

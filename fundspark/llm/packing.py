@@ -12,7 +12,6 @@ partition holds them all. No task gets more than its share of pieces.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ PARTITION_PIECES = 20_000
 ROUNDS = 5
 _STOPS = frozenset(".,;:!?")
 _OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and i != 32]
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
 def byte_characters() -> dict[int, str]:
@@ -125,9 +124,9 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of all documents: ``doc_id, piece, start, length, ids_crc32``.
+    """The pieces of all documents: ``doc_id, piece, start, length, ids``.
 
-    A NULL or empty text has the end-of-text id alone. ``path`` is the tokenizer's file, which
+    ``ids`` holds the token ids as little-endian 32-bit numbers. A NULL or empty text has the end-of-text id alone. ``path`` is the tokenizer's file, which
     every executor has.
     """
 
@@ -139,11 +138,11 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
             for key, text in zip(part.column("doc_id").to_pylist(), texts):
                 ids = memoryview((token_bytes(text, known) if text else b"") + end)
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((key, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    rows.append((key, i, start, length, bytes(ids[4 * start : 4 * (start + length)])))
             columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
@@ -203,33 +202,40 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """``items`` with ``sequence_id``, ``offset`` and ``certified``.
 
-    ``items`` has a column ``length`` of 1 to ``capacity``; other columns pass through. Pieces lie
-    in a sequence one after the other from 0. ``certified`` tells that the partition which
+    ``items`` has a column ``length`` of 1 to ``capacity``; other columns pass through, but
+    only lengths are dealt to partitions; the others are joined to their places. Pieces lie in a sequence one after the other from 0. ``certified`` tells that the partition which
     made the sequence used no more bins than any packing of its pieces needs. Which of
     several equal pieces goes where is open, the number of sequences is not. An empty
     table gives no rows.
     """
     names = [c for c in items.columns if c not in ("sequence_id", "offset", "certified")]
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    out = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    out += ", sequence_id bigint, offset bigint, certified boolean, _done boolean"
-    left = stage(items.select(*names), "pieces")
+    out = "_piece bigint, length bigint, sequence_id bigint, offset bigint, certified boolean, _done boolean"
+    whole = stage(items.select(*names).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    moved = ["_piece", "length"]
+    left = whole.select("_piece", F.col("length").cast("bigint").alias("length"))
     parts = max(1, -(-left.count() // partition_pieces))
     results = []
     for round_ in range(ROUNDS):
         last = parts == 1 or round_ == ROUNDS - 1
-        run = _packer(names, capacity, last, round_)
-        deal = F.pmod(F.xxhash64(F.lit(round_), *names), F.lit(parts)).cast("long")
+        run = _packer(moved, capacity, last, round_)
+        deal = F.pmod(F.xxhash64(F.lit(round_), *moved), F.lit(parts)).cast("long")
         packed = stage(left.withColumn("_part", deal).groupBy("_part").applyInArrow(run, out), "packed")
         results.append(packed.filter("_done").drop("_done"))
         if last:
             break
-        left = packed.filter("NOT _done").select(*names)
+        left = packed.filter("NOT _done").select(*moved)
         parts = max(1, -(-left.count() // partition_pieces))
     everything = results[0]
     for more in results[1:]:
         everything = everything.unionByName(more)
-    return everything
+    return whole.join(everything.drop("length"), "_piece").select(*names, "sequence_id", "offset", "certified")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The packed sequences: ``sequence_id`` and the ``ids`` of its pieces one after the other."""
+    placed = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("_pieces"))
+    joined = F.aggregate("_pieces", F.lit(b""), lambda ids, p: F.concat(ids, p["ids"]))
+    return placed.select("sequence_id", joined.alias("ids"))
 
 
 def _packer(names: list[str], capacity: int, last: bool, round_: int):

@@ -45,7 +45,7 @@ def tokenizer_path() -> str:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2048 tokens."""
     return packing.pack(packing.tokenised(documents(spark, sf_dir), tokenizer_path())).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified"
     )
 
 

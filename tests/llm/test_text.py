@@ -278,6 +278,20 @@ def test_partitions_exchange_what_leaves_gaps(spark):
     assert alone == -(-sum(n for _, n in rows) // 50) and len({r.sequence_id for r in found}) <= 1.05 * alone
 
 
+def test_sequences_hold_the_tokens(make):
+    docs = make([(1, words(1, 3000)), (2, "one two"), (3, None), (3, None), (4, words(4, 90))])
+    packed = packing.pack(packing.tokenised(docs, queries.tokenizer_path()))
+    known = packing.byte_tokens(queries.tokenizer_path())
+    end = bytes(4)
+    held, found = defaultdict(dict), {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
+    for r in packed.collect():
+        assert found[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids)
+        held[r.doc_id][r.piece] = bytes(r.ids)
+    for r in docs.collect():
+        assert b"".join(held[r.doc_id][i] for i in sorted(held[r.doc_id])) == (known.encode(r.text) if r.text else b"") + end
+    assert sum(map(len, found.values())) == 4 * sum(r.length for r in packed.collect())
+
+
 def test_packing_of_odd_and_empty_tables(make):
     pieces = packing.pack(packing.tokenised(make(ODD), queries.tokenizer_path())).collect()
     assert sorted(str(k) for k, _ in ODD) == sorted(str(r.doc_id) for r in pieces if r.piece == 0)
