@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import langid, licenses, neardup, packing, repeats
+from fundspark.llm import alignment, langid, licenses, neardup, packing, repeats, spelling, topk
 from fundspark.llm.common import documents
 
+QUERY_EVERY, BEST = 50, 5
 FOLDS = 5
 CALIBRATION_FOLD = 1
 
@@ -33,13 +34,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, SECOND_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +70,30 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), notices)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie on every document."""
+    return alignment.align(documents(spark, sf_dir), tokenizer_path(), tokenizer_path(SECOND_TOKENIZER))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows by inner product for every fiftieth vector."""
+    rows = topk.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(rows, F.col("vec_id") % QUERY_EVERY == 0, BEST)
+
+
 QUERIES = {
     "op3_language": op3_language,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_suffix_array": op6_suffix_array,
     "op7_packing": op7_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_topk": op13_topk,
 }
 ORACLE: dict[str, str] = {}
