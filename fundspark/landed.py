@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import io
+import shutil
 import zipfile
 from collections.abc import Callable, Sequence
 
@@ -20,6 +21,7 @@ from fundspark.functions.text import format_tax_id
 from fundspark.schemas import BLOCKS
 from fundspark.session import frozen, scratch_path
 from fundspark.sources.delimited import ENCODING, SEPARATOR
+from fundspark.sources.stores import files_below, located
 
 DAILY_HEADER = [
     "TP_FUNDO_CLASSE", "CNPJ_FUNDO_CLASSE", "ID_SUBCLASSE", "DT_COMPTC", "VL_TOTAL", "VL_QUOTA",
@@ -312,3 +314,38 @@ def log_folder(spark: SparkSession, sf: str) -> str:
     return folder
 
 
+def appended_log_folder(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Log files with the older half of the events, and files with the other half to be appended to them."""
+    root = scratch_path(spark, "logs-crescentes")
+    lines = fx.table(spark, sf, "events").select(
+        "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props").alias("line")
+    )
+    for name, rest in (("logs", 0), ("novas", 1)):
+        write_lines(lines.filter(F.col("event_id") % 2 == rest).select("line"), f"{root}/{name}", "log")
+    return f"{root}/logs", f"{root}/novas"
+
+
+def append_logs(folder: str, more: str) -> None:
+    """Append each file below ``more`` to one below ``folder``, as a program that logs would."""
+    targets = [i.path for i in files_below(folder, ".log")]
+    for i, info in enumerate(files_below(more, ".log")):
+        with open(info.path, "rb") as source, open(targets[i % len(targets)], "ab") as target:
+            shutil.copyfileobj(source, target)
+
+
+@_once
+def daily_archives(spark: SparkSession, sf: str) -> str:
+    """The daily files in ZIP archives, one per month, as single members."""
+    folder, zips = daily_folder(spark, sf), scratch_path(spark, "info-diaria-zip")
+    store, root = located(zips)
+    store.create_dir(root, recursive=True)
+    for month in ("202312", "202401"):
+        name = f"inf_diario_fi_{month}.csv"
+        with zipfile.ZipFile(f"{root}/inf_diario_fi_{month}.zip", "w", zipfile.ZIP_DEFLATED) as bundle:
+            with bundle.open(f"dados/{name}", "w", force_zip64=True) as member:
+                for i, info in enumerate(files_below(f"{folder}/{name}", ".csv")):
+                    with open(info.path, "rb") as part:
+                        header = part.readline()
+                        member.write(b"" if i else header)
+                        shutil.copyfileobj(part, member)
+    return zips

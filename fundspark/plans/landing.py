@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundspark.session import remove
-from fundspark.sources.archives import read_archives
-from fundspark.sources.delimited import ENCODING
-from fundspark.sources.tables import file_system
+from fundspark.sources.archives import land_members, read_archives
 
 
 def unzip_landing(
@@ -16,41 +13,10 @@ def unzip_landing(
     """Lines of the archives' members.
 
     With ``out`` they are written there for the loaders: each member is a folder
-    ``out/archive/path/name.csv`` with one file, in the published encoding and line order.
-    A member is written by the task that unpacks it, without a shuffle.
+    ``out/archive/path/name.csv`` with one file, byte for byte. A member is written by the task
+    that unpacks it.
     """
     if out is None:
         return read_archives(spark, path, suffix)
-    lines = read_archives(spark, path, suffix, full_path=True)
-    root = out.rstrip("/")
-    work = f"{root}/_unpacked"
-    (
-        lines.sortWithinPartitions("archive", "member", "line_no")
-        .select("archive", "member", "line")
-        .write.mode("overwrite")
-        .partitionBy("archive", "member")
-        .option("extension", suffix.lstrip("."))
-        .option("encoding", ENCODING)
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
-        .csv(work)
-    )
-    fs, at = file_system(spark, root)
-    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    for archive in fs.listStatus(at(work)):
-        name = archive.getPath().getName()
-        if not name.startswith("archive="):
-            continue
-        for member in fs.listStatus(archive.getPath()):
-            inside = unescape(member.getPath().getName().removeprefix("member="))
-            target = at(f"{root}/{unescape(name.removeprefix('archive='))}/{inside}")
-            fs.mkdirs(target.getParent())
-            if fs.exists(target):
-                remove(spark, target.toString())
-            if not fs.rename(member.getPath(), target):
-                raise OSError(f"cannot land {inside}")
-    remove(spark, work)
-    return lines
+    land_members(spark, path, out, suffix)
+    return read_archives(spark, path, suffix, full_path=True)

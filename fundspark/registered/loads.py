@@ -16,9 +16,10 @@ from fundspark.session import scratch_path
 from fundspark.sinks import counters, parquet, views
 from fundspark.sources import archives, delimited, fixed_width
 from fundspark.sources.files import list_files
-from fundspark.streaming import incremental, logs
+from fundspark.streaming import incremental, logs, tail
 
 SINCE = "202312"
+TAIL_RANGE = 256 << 10
 REGISTRATION_SHOWN = [
     "cnpj_fundo", "denom_social", "cnpj_admin", "cpf_cnpj_gestor", "entid_invest", "pf_pj_gestor",
     "dt_reg", "trib_lprazo", "taxa_adm", "vl_patrim_liq",
@@ -298,6 +299,27 @@ def _(spark, sf):
     return archives.unpack_archives(landed.archive_rows(spark, sf))
 
 
+@register("unzip_and_load_daily")
+def _(spark, sf):
+    """The daily archives landed member by member and loaded."""
+    out = scratch_path(spark, "descompactados")
+    archives.land_members(spark, landed.daily_archives(spark, sf), out)
+    return doubles(loaders.load_daily(spark, out, since=SINCE))
+
+
+@register("log_tail_appended")
+def _(spark, sf):
+    """Half of the lines are there at the first run, the others are appended to the same files before
+    the second; the third finds nothing new. Files are read in ranges."""
+    folder, more = landed.appended_log_folder(spark, sf)
+    out, checkpoint = scratch_path(spark, "logs-por-dia"), scratch_path(spark, "logs-posicao")
+    for run in range(3):
+        if run == 1:
+            landed.append_logs(folder, more)
+        logs.write_logs(tail.log_tail(spark, folder, range_bytes=TAIL_RANGE), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("mensagem")
+
+
 @register("log_stream")
 def _(spark, sf):
     """The log lines after two runs of the stream; the second finds nothing new."""

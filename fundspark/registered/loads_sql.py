@@ -111,5 +111,7 @@ UNION ALL SELECT 'ilegivel', '025'""",
     "log_stream": "SELECT concat_ws(' ', CAST(event_id AS VARCHAR), event_type, props) AS mensagem FROM events",
 }
 ORACLE["ingest_daily_both_layouts"] = ORACLE["load_daily_all_months"]
+ORACLE["unzip_and_load_daily"] = ORACLE["load_daily_all_months"]
+ORACLE["log_tail_appended"] = ORACLE["log_stream"]
 for _page in ("flow_ranking_page_day", "flow_ranking_page_31_days"):
     ORACLE[f"stored_{_page}"] = REPORTS[_page]
