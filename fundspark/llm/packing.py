@@ -123,22 +123,29 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, length, capacity))]
 
 
-def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, narrow: bool = False) -> DataFrame:
     """The pieces of all documents: ``doc_id, piece, start, length, ids``.
 
-    ``ids`` holds the token ids as little-endian 32-bit numbers. A NULL or empty text has the end-of-text id alone. ``path`` is the tokenizer's file, which
+    ``ids`` holds the token ids as little-endian 32-bit numbers; with ``narrow`` as 16-bit ones where the
+    vocabulary fits, for tables that are stored or shuffled before :func:`widened` undoes it. A
+    NULL or empty text has the end-of-text id alone. ``path`` is the tokenizer's file, which
     every executor has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = byte_tokens(path)
         end = np.array([END_OF_TEXT], dtype="<u4").tobytes()
+        short = narrow and known.tokenizer.get_vocab_size() <= 1 << 16
         for part, texts in text_pieces(batches):
             rows = []
             for key, text in zip(part.column("doc_id").to_pylist(), texts):
-                ids = memoryview((token_bytes(text, known) if text else b"") + end)
-                for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((key, i, start, length, bytes(ids[4 * start : 4 * (start + length)])))
+                ids = (token_bytes(text, known) if text else b"") + end
+                size = 4
+                if short:
+                    ids, size = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes(), 2
+                ids = memoryview(ids)
+                for i, (start, length) in enumerate(cut(len(ids) // size, capacity)):
+                    rows.append((key, i, start, length, bytes(ids[size * start : size * (start + length)])))
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -148,6 +155,22 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+def widened(items: DataFrame) -> DataFrame:
+    """``items`` with 32-bit ``ids``, whatever their width was; ``length`` tells how many there are."""
+    names = items.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [
+                np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() if x is not None and len(x) == 2 * n else x
+                for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
+            ]
+            columns = [pa.array(ids, pa.binary()) if c == "ids" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return items.mapInArrow(run, items.schema)
+
+
 def lower_bound(counts: np.ndarray) -> int:
     """Bins that any packing needs, given how many pieces there are of each length (index).
 

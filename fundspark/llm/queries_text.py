@@ -45,7 +45,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2048 tokens."""
-    return packing.pack(packing.tokenised(documents(spark, sf_dir), tokenizer_path())).select(
+    tokens = packing.tokenised(documents(spark, sf_dir), tokenizer_path(), narrow=True)
+    return packing.widened(packing.pack(tokens)).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified"
     )
 
