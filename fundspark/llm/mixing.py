@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from fundspark.llm.common import stage
 
-#: Rounds that the SQL of op1 writes out, and the gap at which raking ends.
-ITERATIONS, TOLERANCE = 8, 1e-12
+#: The gap at which raking ends.
+TOLERANCE = 1e-12
 #: Raking fails when it needs more rounds, and has settled when no share moves by more.
 ROUNDS, SETTLED = 50_000, 2.0**-52
 #: So many cells are raked in one task; more are raked by windows, written every few rounds.

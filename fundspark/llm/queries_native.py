@@ -196,17 +196,25 @@ def _op1_sql() -> str:
         """r0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS present,
             sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM measured) AS share FROM measured GROUP BY ALL)""",
     ]
-    last = "r0"
     for d, power in MIX.items():
         steps.append(f"""t_{d} AS MATERIALIZED (SELECT {d}, pow(sum(present), {power}) / sum(pow(sum(present), {power})) OVER () AS t
             FROM r0 GROUP BY {d})""")
-    for i in range(mixing.ITERATIONS):
-        for d in MIX:
-            now = f"r{i}_{d}"
-            steps.append(f"""{now} AS MATERIALIZED (SELECT source, lang, topic, present,
-                share * (SELECT t FROM t_{d} WHERE t_{d}.{d} IS NOT DISTINCT FROM c.{d}) / sum(share) OVER (PARTITION BY {d}) AS share
-                FROM {last} c)""")
-            last = now
+    # Each round scales one dimension after the other; the recursion ends by itself, when no marginal
+    # was off by more than 1e-12 or no share moves any more.
+    scaled = "FROM raked WHERE gap > 1e-12 AND moved > 0"
+    for d in MIX:
+        scaled = f"""FROM (SELECT * EXCLUDE (s) REPLACE (CASE WHEN s > 0 THEN share * t_{d} / s ELSE 0 END AS share,
+            greatest(off, abs(t_{d} - s)) AS off) FROM (SELECT *, sum(share) OVER (PARTITION BY {d}) AS s {scaled}))"""
+    targets = ", ".join(f"t_{d}.t AS t_{d}" for d in MIX)
+    joins = " ".join(f"JOIN t_{d} ON t_{d}.{d} IS NOT DISTINCT FROM r0.{d}" for d in MIX)
+    aims = ", ".join(f"t_{d}" for d in MIX)
+    steps.append(f"""raked AS (
+        SELECT 0 AS round, r0.source, r0.lang, r0.topic, present, {targets}, share, share AS old, 0.0::DOUBLE AS off,
+            1.0::DOUBLE AS gap, 1.0::DOUBLE AS moved FROM r0 {joins}
+        UNION ALL
+        SELECT round + 1, source, lang, topic, present, {aims}, share, share AS old, 0.0::DOUBLE,
+            max(off) OVER (), max(abs(share - old)) OVER () {scaled})""")
+    last = "(SELECT * FROM raked WHERE round = (SELECT max(round) FROM raked))"
     steps.append(f"""weighed AS MATERIALIZED (SELECT *, share * sum(present) OVER () / present AS weight FROM {last} WHERE present > 0)""")
     steps.append(f"""c0 AS (SELECT 0.0::DOUBLE AS c)""")
     for i in range(mixing.CAPPING_ROUNDS):
@@ -214,7 +222,7 @@ def _op1_sql() -> str:
             {BUDGET_SHARE} * sum(present) - coalesce(sum(present) FILTER (weight * c >= 1), 0))
             / sum(present * weight) FILTER (weight * c < 1), any_value(c))) AS c FROM weighed, c{i})""")
     c = f"c{mixing.CAPPING_ROUNDS}"
-    return "WITH " + ",\n".join(steps) + f"""
+    return "WITH RECURSIVE " + ",\n".join(steps) + f"""
         SELECT doc_id, m.source, m.lang, m.topic, tokens,
             round(coalesce(weight, 0), 6) AS weight,
             round(least(1, coalesce(weight, 0) * (SELECT c FROM {c})), 6) AS probability,
