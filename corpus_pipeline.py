@@ -53,7 +53,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all that is left into sequences of at most 2048 tokens."""
-    return packing.pack(packing.tokenised(docs, tokenizer_path())).select(
+    tokens = packing.tokenised(docs, tokenizer_path(), narrow=True)
+    return packing.widened(packing.pack(tokens)).select(
         "doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified"
     )
 
