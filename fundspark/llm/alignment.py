@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,83 +23,116 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundspark.llm.common import stage
-from fundspark.llm.packing import byte_characters
+from fundspark.llm.packing import _plain, byte_characters
 from fundspark.llm.texts import pieces
 
 #: Text bytes of a chunk, and characters of a longer text that are split into runs at once.
 CHUNK_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
+# How this byte-level BPE splits a text, and its token that texts do not give.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPECIAL = {b"<|endoftext|>"}
 #: A space that stands alone between two other characters.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 COUNTS = MEASURES[:4]
 CHUNK = (
     "chunk bigint, keys array<binary>, " + ", ".join(f"{c} array<bigint>" for c in COUNTS)
-    + ", groups array<string>, wide boolean, runs array<binary>, sizes binary, links binary, "
+    + ", groups array<string>, runs array<binary>, sizes binary, links binary, "
     "pairs array<struct<pair: bigint, n: bigint>>"
 )
 MEASURED = "key binary, " + ", ".join(f"{c} bigint" for c in MEASURES) + ", groups_sha256 string"
 
 
-class Run:
-    """What both tokenizers make of a run, or ``links`` None where their bytes differ from it."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links")
-
-    def __init__(self, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], wanted: bytes):
-        self.n_a, self.n_b, self.n_groups, self.groups, self.links = len(a), len(b), 0, "", None
-        if b"".join([a_bytes[i] for i in a]) != wanted or b"".join([b_bytes[i] for i in b]) != wanted:
-            return
-        links, groups, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-        end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            before_a, before_b = end_a <= end_b, end_b <= end_a
-            i, j = i + before_a, j + before_b
-            if before_a and before_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                if i == len(a):
-                    break
-            if before_a:
-                end_a += len(a_bytes[a[i]])
-            if before_b:
-                end_b += len(b_bytes[b[j]])
-        self.n_groups, self.groups = len(groups), ";".join(groups)
-        self.links = np.array(links, dtype=np.int64).tobytes()
-
-
 class Aligner(dict):
-    """Runs by their text; those seen before are kept."""
+    """What both tokenizers make of a run, by its text; None where B's tokens do not give it back.
+
+    Two generations of ``LIMIT`` runs are kept, so that the frequent ones stay. A byte-level
+    BPE gives back every text. Its file's vocabulary, in which a token's id is the rank of its
+    merge, and its pattern are handed to a faster implementation of the same method.
+    """
 
-    LIMIT = 150_000
+    LIMIT = 250_000
 
     def __init__(self, a_path: str, b_path: str):
         super().__init__()
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=b_path)
-        spelled = {c: b for b, c in byte_characters().items()}
-        tokens = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(spelled.get(c, 63) for c in t) for t in tokens]
-        pieces_ = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces_):
+        self.old: dict[str, tuple] = {}
+        of = {c: b for b, c in byte_characters().items()}
+        vocabulary = Tokenizer.from_file(a_path).get_vocab(with_added_tokens=False)
+        tokens = {bytes(of[c] for c in t): i for t, i in vocabulary.items() if all(c in of for c in t)}
+        ordinary = {t: i for t, i in tokens.items() if t not in SPECIAL}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ordinary, special_tokens={}).encode_ordinary
+        self.a_sizes = [0] * (max(tokens.values()) + 1)
+        for token, i in tokens.items():
+            self.a_sizes[i] = len(token)
+        second = SentencePieceProcessor(model_file=b_path)
+        self.b = second.encode
+        spelled = [second.id_to_piece(i) for i in range(second.vocab_size())]
+        if any("▁" in p.lstrip("▁") for p in spelled):
             raise ValueError("a piece of the second tokenizer reaches over a space")
         self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(pieces_)
+            bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)
         ]
+        self.a_sizes, self.b_sizes = np.array(self.a_sizes), np.array([len(p) for p in self.b_bytes])
+        most = max(len(self.a_sizes), len(self.b_sizes))
+        #: An id as text after each of the marks that may come before it.
+        self.shown = [[f"{mark}{i}" for i in range(most)] for mark in (",", "|", ";", "")]
+
+    def __missing__(self, run: str) -> tuple | None:
+        return self.old[run]
+
+    def whole(self, pieces: Iterable[list[int]], wanted: bytes) -> bool:
+        """Whether B's tokens give back these bytes."""
+        return b"".join([self.b_bytes[i] for i in chain.from_iterable(pieces)]) == wanted
 
-    def __missing__(self, run: str) -> Run:
-        a = self.a.encode(" " + run, add_special_tokens=False).ids
-        b = self.b.encode(run, num_threads=1)
+    def learn(self, runs: list[str]) -> None:
+        """Encode and align runs that are not known, all in one go."""
         if len(self) > self.LIMIT:
+            self.old = dict(self)
             self.clear()
-        self[run] = found = Run(a, b, self.a_bytes, self.b_bytes, b" " + run.encode())
-        return found
+        kept = [run for run in runs if run in self.old]
+        self.update((run, self.old[run]) for run in kept)
+        new = [run for run in runs if run not in self.old] if kept else runs
+        second = self.b(new, num_threads=1)
+        spelled = [b" " + run.encode() for run in new]
+        sizes = [sum(len(self.b_bytes[i]) for i in ids) for ids in second]
+        if sizes != list(map(len, spelled)) or not self.whole(second, b"".join(spelled)):
+            good = [self.whole([ids], wanted) for ids, wanted in zip(second, spelled)]
+            self.update((run, None) for run, fine in zip(new, good) if not fine)
+            new, second, spelled = ([x for x, fine in zip(xs, good) if fine] for xs in (new, second, spelled))
+        if new:
+            self.update(zip(new, self.aligned(new, second, np.array([len(x) for x in spelled]))))
+
+    def aligned(self, runs: list[str], second: list[list[int]], sizes: np.ndarray) -> Iterator[tuple]:
+        """Of each run: A tokens, B tokens, groups, the groups as text and the links as bytes.
+
+        All runs lie one after the other. Between any two neighbouring ends of A or B tokens one
+        token of each overlaps, and each such pair overlaps nowhere else.
+        """
+        a = np.array(self.a(" " + " ".join(runs)), dtype=np.int64)
+        b = np.fromiter(chain.from_iterable(second), dtype=np.int64)
+        ends_a, ends_b, ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
+        every, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)]
+        # Tokens by group, A's before B's, with the mark before each.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        first_a, first_b = (np.diff(g, prepend=-1) > 0 for g in (group_a, group_b))
+        opens = np.isin(group_a, np.r_[0, np.searchsorted(common, ends)[:-1] + 1]) & first_a
+        marks = np.r_[np.where(opens, 3, np.where(first_a, 2, 0)), np.where(first_b, 1, 0)]
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        shown = self.shown
+        parts = [shown[m][i] for m, i in zip(marks[order].tolist(), np.r_[a, b][order].tolist())]
+        to = [np.searchsorted(x, ends, side="right") for x in (ends_a, ends_b, common, every)]
+        counts = [np.diff(x, prepend=0).tolist() for x in to[:3]]
+        last_part, last_link, held = (to[0] + to[1]).tolist(), to[3].tolist(), links.tobytes()
+        at = link = 0
+        for n_a, n_b, n_groups, part, more in zip(*counts, last_part, last_link):
+            yield n_a, n_b, n_groups, "".join(parts[at:part]), held[8 * link : 8 * more]
+            at, link = part, more
 
 
 _known: dict[tuple[str, str], Aligner] = {}
@@ -120,56 +154,72 @@ def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 in as many bytes as the largest needs, all lowest bytes first: those behind
+    them are mostly zeros, which compress."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    return bytes([width]) + planes.T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    return sum(plane.astype(np.int64) << 8 * i for i, plane in enumerate(planes))
+
+
+def runs_of(text: str) -> list[str]:
+    """A segment cut at its borders."""
+    return text.split(" ") if _plain(text) else BORDER.split(text)
+
+
 class _Chunk:
-    """The texts of a chunk, their runs numbered as they come."""
+    """The texts of a chunk."""
 
     def __init__(self, known: Aligner):
-        self.known, self.number, self.found = known, {}, []
+        self.known, self.numbers, self.found = known, {}, []
         self.rows, self.bytes = [], 0
 
-    def numbers(self, text: str) -> list[int] | None:
-        """The runs of a segment by number; None where a run does not come back from its tokens."""
-        number, out = self.number, []
-        for run in BORDER.split(text):
-            at = number.get(run)
-            if at is None:
-                found = self.known[run]
-                if found.links is None:
-                    return None
-                at = number[run] = len(self.found)
+    def number(self, runs: list[str]) -> list[int]:
+        """The runs' numbers as they come in the chunk; -1 where a run does not come back from its tokens."""
+        numbers, known = self.numbers, self.known
+        new = [run for run in dict.fromkeys(runs) if run not in numbers]
+        if unknown := [run for run in new if run not in known]:
+            known.learn(unknown)
+        for run in new:
+            found = known[run]
+            numbers[run] = -1 if found is None else len(self.found)
+            if found is not None:
                 self.found.append(found)
-            out.append(at)
-        return out
+        return [numbers[run] for run in runs]
 
     def add(self, key: bytes, text: str, weight: int) -> None:
-        digest, parts = hashlib.sha256(), []
+        digest, parts, found = hashlib.sha256(), [], self.found
         for i, segment in enumerate(segments(text)):
-            at = self.numbers(segment)
-            if at is None:
+            at = self.number(runs_of(segment))
+            if -1 in at:
                 return
-            digest.update(((";" if i else "") + ";".join([self.found[n].groups for n in at])).encode())
+            digest.update(((";" if i else "") + ";".join([found[n][3] for n in at])).encode())
             parts.append(np.array(at, dtype=np.uint32))
         self.rows.append((key, weight, np.concatenate(parts), digest.hexdigest()))
         self.bytes += len(text)
 
     def batch(self, chunk: int) -> pa.RecordBatch:
-        sizes = np.array([len(r.links) // 8 for r in self.found], dtype=np.uint32)
-        pairs, links = np.unique(np.frombuffer(b"".join([r.links for r in self.found]), dtype=np.int64), return_inverse=True)
+        sizes = np.array([len(r[4]) // 8 for r in self.found], dtype=np.uint32)
+        pairs, links = np.unique(np.frombuffer(b"".join([r[4] for r in self.found]), dtype=np.int64), return_inverse=True)
         runs = [at for _, _, at, _ in self.rows]
         each = np.repeat([w for _, w, _, _ in self.rows], [len(at) for at in runs])
         weighed = np.bincount(np.concatenate(runs), weights=each, minlength=len(sizes))
         counts = np.bincount(links, weights=np.repeat(weighed, sizes)).astype(np.int64)
-        facts = {c: np.array([getattr(r, c) for r in self.found], dtype=np.int64) for c in COUNTS[:3]} | {"n_links": sizes.astype(np.int64)}
-        wide = len(sizes) > 1 << 16
+        facts = {c: np.array([r[i] for r in self.found], dtype=np.int64) for i, c in enumerate(COUNTS[:3])}
+        facts["n_links"] = sizes.astype(np.int64)
         columns = {
             "chunk": [chunk],
             "keys": pa.array([[k for k, _, _, _ in self.rows]], pa.list_(pa.binary())),
             **{c: pa.array([[int(v[at].sum()) for at in runs]], pa.list_(pa.int64())) for c, v in facts.items()},
             "groups": [[g for _, _, _, g in self.rows]],
-            "wide": [wide],
-            "runs": pa.array([[at.astype(np.uint32 if wide else np.uint16).tobytes() for at in runs]], pa.list_(pa.binary())),
-            "sizes": [sizes.tobytes()],
-            "links": [links.astype(np.uint32).tobytes()],
+            "runs": pa.array([[packed(at) for at in runs]], pa.list_(pa.binary())),
+            "sizes": [packed(sizes)],
+            "links": [packed(links)],
             "pairs": pa.ListArray.from_arrays([0, len(pairs)], pa.StructArray.from_arrays([pairs, counts], ["pair", "n"])),
         }
         return pa.RecordBatch.from_pydict(columns)
@@ -226,11 +276,10 @@ def _measured(chunk: pa.Table, found: pa.Table) -> pa.Table:
     count = found.column("count").to_numpy()[order]
     best = found.column("best").to_numpy(zero_copy_only=False)[order]
     row = {c: chunk.column(c)[0].as_py() for c in chunk.column_names if c != "chunk"}
-    sizes = np.frombuffer(row["sizes"], dtype=np.uint32).astype(np.int64)
-    links = np.frombuffer(row["links"], dtype=np.uint32)
+    sizes, links = unpacked(row["sizes"]), unpacked(row["links"])
     starts = np.cumsum(sizes) - sizes
     per_run = [np.add.reduceat(x.astype(np.int64)[links], starts) for x in (best, count)]
-    runs = [np.frombuffer(at, dtype=np.uint32 if row["wide"] else np.uint16) for at in row["runs"]]
+    runs = [unpacked(at) for at in row["runs"]]
     sums = [[int(x[at].sum()) for at in runs] for x in per_run]
     columns = [row["keys"], *(row[c] for c in COUNTS), *sums, row["groups"]]
     kinds = [pa.binary(), *[pa.int64()] * len(MEASURES), pa.string()]

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -117,13 +118,16 @@ def test_odd_rows_extra_columns_and_empty_tables(tokenizers, make):
 @given(st.text(st.sampled_from("ab cé▁\n\t'0.<|>日   \x00\x85s"), max_size=40))
 def test_runs_are_the_whole(tokenizers, text):
     known = alignment.aligner(A, B)
-    runs = [known[r] for r in alignment.BORDER.split(text)] if text else []
+    cut = alignment.runs_of(text) if text else []
+    if unknown := [r for r in dict.fromkeys(cut) if r not in known]:
+        known.learn(unknown)
+    runs = [known[r] for r in cut]
     both = spans(tokenizers, text) if text else None
-    if both is None or any(r.links is None for r in runs):
-        assert both is None and (not text or any(r.links is None for r in runs))
+    if both is None or None in runs:
+        assert both is None and (not text or None in runs)
         return
-    assert [sum(r.n_a for r in runs), sum(r.n_b for r in runs)] == [len(side) for side in both]
-    ids = [[i for g in ";".join(r.groups for r in runs).split(";") for i in g.split("|")[side].split(",")] for side in (0, 1)]
+    assert [sum(r[0] for r in runs), sum(r[1] for r in runs)] == [len(side) for side in both]
+    ids = [[i for g in ";".join(r[3] for r in runs).split(";") for i in g.split("|")[side].split(",")] for side in (0, 1)]
     assert ids == [[str(i) for i, *_ in side] for side in both]
 
 
@@ -131,7 +135,27 @@ def test_long_texts_come_in_segments():
     text = "ab  cd\n ef gh " * 500
     parts = list(alignment.segments(text, 100))
     assert " ".join(parts) == text and max(map(len, parts)) < 130
-    assert [r for p in parts for r in alignment.BORDER.split(p)] == alignment.BORDER.split(text)
+    assert [r for p in parts for r in alignment.runs_of(p)] == alignment.BORDER.split(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab \n\t\x1c\x85\xa0\u2003"), max_size=12))
+def test_plain_segments_are_cut_at_the_same_borders(text):
+    assert alignment.runs_of(text) == alignment.BORDER.split(text)
+
+
+@pytest.mark.parametrize("most", [0, 5, 255, 256, 70_000, 2**32 - 1])
+def test_packed_numbers_come_back(most):
+    numbers = np.array([most, 0, most // 2, 1 if most else 0])
+    assert alignment.unpacked(alignment.packed(numbers)).tolist() == numbers.tolist()
+
+
+def test_known_runs_are_bounded_and_the_frequent_ones_stay(monkeypatch):
+    known = alignment.Aligner(A, B)
+    monkeypatch.setattr(alignment.Aligner, "LIMIT", 10)
+    for i in range(30):
+        known.learn([r for r in ("often", f"x{i}", "▁") if r not in known])
+        assert len(known) <= 13 and known["▁"] is None and known["often"][0] >= 1
 
 
 def test_query(spark):
