@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundspark.operators.ranking import POSITION_BITS, placed_rows
+
 MAX_PAGE_SIZE = 100
 SHOWN_HITS = 10
 
@@ -16,18 +18,32 @@ def page(
 ) -> DataFrame:
     """One page with ``total``, ``page``, ``page_size`` and ``total_pages`` columns.
 
-    Each task keeps only its best ``(number + 1) * size`` rows.
+    Rows are range-partitioned and sorted by ``order``, which must tell them apart, and staged
+    with their places. The rows of each partition are counted: that gives the total, and where
+    the page's rows lie, of whose files only the row groups with these places are read. A far
+    page costs what the first one does, and no task gets more than its range.
     """
     if number < 0 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError(f"page must be >= 0 and size within 1..{MAX_PAGE_SIZE}")
-    total = df.agg(F.count("*").alias("total")).scalar()
-    rows = df.orderBy(*order).offset(number * size).limit(size)
-    return rows.withColumn("total", total).withColumns(
-        {
-            "page": F.lit(number),
-            "page_size": F.lit(size),
-            "total_pages": F.ceil(F.col("total") / size).cast("long"),
-        }
+    placed = placed_rows(df, order)
+    # One row per range partition.
+    counts = sorted((r._piece, r["count"]) for r in placed.groupBy("_piece").count().collect())
+    first, last, before, wanted = number * size, (number + 1) * size, 0, F.lit(False)
+    for piece, rows in counts:
+        low, high = max(first - before, 0), min(last - before, rows)
+        if low < high:
+            start = piece << POSITION_BITS
+            wanted = wanted | F.col("_pos").between(start + low, start + high - 1)
+        before += rows
+    return (
+        placed.filter(wanted).orderBy("_pos").drop("_pos", "_piece").withColumns(
+            {
+                "total": F.lit(before).cast("long"),
+                "page": F.lit(number),
+                "page_size": F.lit(size),
+                "total_pages": F.lit(-(-before // size)).cast("long"),
+            }
+        )
     )
 
 

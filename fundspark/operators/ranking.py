@@ -3,7 +3,7 @@
 There is one plan for every size. Rows are range-partitioned on the full sort key and staged
 once as Parquet, so that a global rank is "rows in earlier partitions + row position", and a
 group is ranked or lagged piece by piece with the pieces stitched together. Building such a
-frame runs a fixed number of jobs.
+frame runs a fixed number of jobs. A rank that follows a lag takes over its row numbers.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from fundspark.operators.keys import join_same_keys
 from fundspark.session import staged
 
 # monotonically_increasing_id keeps the row position in its lower 33 bits.
-_POSITION_BITS = 33
+POSITION_BITS = 33
 
 
-def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def placed_rows(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Range-partition and sort by ``order``; stage with each row's ``_pos`` and ``_piece``.
 
     Staged, because the range bounds are sampled and a recomputed partition must
@@ -29,17 +30,38 @@ def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = staged(ordered.withColumn("_pos", F.monotonically_increasing_id()), "placed")
-    return placed.withColumn("_piece", F.shiftright("_pos", _POSITION_BITS))
+    return placed.withColumn("_piece", F.shiftright("_pos", POSITION_BITS))
 
 
-def _placed_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """All rows placed by key and order.
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a row number (``_copy``) that a repeated task gives again.
 
-    Copies of one row have equal sort values; a row number, staged before the
-    shuffle so that a retry repeats it, lets them spread over several pieces.
+    A partition's rows are sorted by all columns before they are counted, so that the number
+    follows from what is in the partition and not from the order in which it came.
     """
-    numbered = staged(df.withColumn("_copy", F.monotonically_increasing_id()), "numbered")
-    return _placed(numbered, [*keys, *order, "_copy"])
+    sortable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.sortWithinPartitions(*sortable).withColumn("_copy", F.monotonically_increasing_id())
+
+
+def _placed_groups(
+    df: DataFrame, groups: Sequence[str | Column], order: Sequence[Column], number: str | None = None
+) -> DataFrame:
+    """All rows placed by group and order.
+
+    Copies of one row have equal sort values; a row number lets them spread over several
+    pieces. It is the column ``number``, which tells rows apart, or made here.
+    """
+    numbered = df if number else _numbered(df)
+    return placed_rows(numbered, [*groups, *order, number or "_copy"])
+
+
+def in_place_order(df: DataFrame) -> DataFrame:
+    """Placed rows in the order of their places: the pieces in turn, each sorted.
+
+    Rows go to the partition that their piece names; nothing is sampled.
+    """
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(pieces, F.col("_piece").cast("int")).sortWithinPartitions("_pos")
 
 
 def sorted_by(df: DataFrame, *order: Column) -> DataFrame:
@@ -54,21 +76,31 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "ranking") -
     Only one count per range partition is broadcast, whatever the size of the data. The
     result is not sorted.
     """
-    placed = _placed(df, order)
+    placed = placed_rows(df, order)
     counts = placed.groupBy("_piece").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("_piece", F.coalesce(before, F.lit(0)).alias("_before"))
-    position = F.col("_pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    position = F.col("_pos").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     return placed.join(F.broadcast(offsets), "_piece").select(
         *df.columns, (F.col("_before") + position + 1).alias(name)
     )
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    number: str | None = None,
+    groups: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """``row_number`` per group."""
-    placed = _placed_groups(df, keys, order)
+    """``row_number`` per group.
+
+    ``number`` names a column that tells rows apart and does not change when they are read again,
+    as :func:`lag_in_group` can leave one; without it rows are numbered here. With ``groups``, the
+    sort order of the keys, the result is sorted by these and the rank.
+    """
+    placed = _placed_groups(df, groups or keys, order, number)
     # Rows of a piece are sorted by key, so those of a group follow each other in it.
     pieces = placed.groupBy(*keys, "_piece").agg(
         F.count("*").alias("_rows"), F.min("_pos").alias("_first")
@@ -79,15 +111,24 @@ def rank_in_group(
     offsets = pieces.select(
         *keys, "_piece", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset")
     )
-    return join_same_keys(placed, offsets, [*keys, "_piece"]).select(
+    ranked = join_same_keys(placed, offsets, [*keys, "_piece"])
+    return (in_place_order(ranked) if groups else ranked).select(
         *df.columns, (F.col("_pos") + F.col("_offset")).alias(name)
     )
 
 
 def lag_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], lags: Mapping[str, str]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    lags: Mapping[str, str],
+    number: str | None = None,
 ) -> DataFrame:
-    """Previous-row values per group; ``lags`` maps new column to source column."""
+    """Previous-row values per group; ``lags`` maps new column to source column.
+
+    ``number`` names a further column of the result: the row's place, which tells rows apart
+    and stays what it is, for :func:`rank_in_group`.
+    """
     placed = _placed_groups(df, keys, order)
     within = W.partitionBy(*keys, "_piece").orderBy("_pos")
     local = placed.withColumns(
@@ -109,4 +150,5 @@ def lag_in_group(
             F.when(F.col("_row") == 1, F.col(f"_carry.{new}")).otherwise(F.col(f"_lag_{new}")).alias(new)
             for new in lags
         ],
+        *([F.col("_pos").alias(number)] if number else []),
     )

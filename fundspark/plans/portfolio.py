@@ -78,8 +78,10 @@ def portfolio_composition(
         ASSET,
         [F.col("dt_comptc").asc_nulls_last(), *ties],
         {"vl_merc_pos_final_anterior": "vl_merc_pos_final", "dt_comptc_anterior": "dt_comptc"},
+        number="_lugar",
     )
     change = percent_change(F.col("vl_merc_pos_final"), F.col("vl_merc_pos_final_anterior"))
+    # Newest first. The places by asset order equal values as their columns do.
     rows = rank_in_group(
         rows.withColumn("variacao_percentual", change),
         PORTFOLIO_DATE,
@@ -87,14 +89,12 @@ def portfolio_composition(
             F.col("vl_merc_pos_final").desc_nulls_first(),
             F.col("origem_tabela"),
             F.col("codigo_ativo").asc_nulls_last(),
-            *ties,
+            *ties[:2],
         ],
         "ranking_posicao",
-    )
-    # Newest first; the further columns let a date spread over many sort partitions.
-    rows = rows.orderBy(
-        F.col("dt_comptc").desc_nulls_first(), *PORTFOLIO_DATE[:2], "ranking_posicao"
-    )
+        number="_lugar",
+        groups=[F.col("dt_comptc").desc_nulls_first(), *map(F.col, PORTFOLIO_DATE[:2])],
+    ).drop("_lugar")
     if not served:
         return rows
     return serve(

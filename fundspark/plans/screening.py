@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark.functions.text import format_tax_id, strip_tax_id
 from fundspark.operators.aggregates import at_latest_date
 from fundspark.operators.filters import MIN_TERM, name_contains, tax_id_or_name
 from fundspark.operators.paging import flagged
+from fundspark.operators.text_index import build_text_index, search_text_index
 
 
 def fund_facts(daily: DataFrame, registry: DataFrame) -> DataFrame:
@@ -64,6 +65,43 @@ def find_funds(registry: DataFrame, term: str) -> DataFrame:
     return ids.filter(by_id | by_name).select(F.inline(options)).filter("hit").drop("hit").distinct()
 
 
+def index_funds(registry: DataFrame, path: str) -> str:
+    """The index that the ``_indexed`` searches read instead of the registry."""
+    return build_text_index(registry, "cnpj_fundo", "denominacao_social", path)
+
+
+def find_funds_indexed(spark: SparkSession, index: str, term: str) -> DataFrame:
+    """:func:`find_funds` from an index: sorted tax ids by prefix, names by their trigrams."""
+    digits = strip_tax_id(F.lit(term))
+    keys = spark.read.parquet(f"{index}/keys").filter(digits != "").select(F.col("key").alias("cnpj_fundo"))
+    # Stored ids are digits, so that the prefix reaches the scan as it is.
+    prefix = spark.range(1).select(digits).first()[0]
+    if len(term) < MIN_TERM:
+        keys = keys.limit(0)
+    formatted = format_tax_id(F.col("cnpj_fundo"))
+    by_id = keys.filter(F.startswith("cnpj_fundo", F.lit(prefix))).select(
+        F.concat(F.lit("CNPJ: "), formatted).alias("label"), formatted.alias("value"), F.lit("CNPJ").alias("tipo")
+    )
+    if len(term) < MIN_TERM:
+        return by_id
+    by_name = search_text_index(spark, index, term).select(
+        F.concat(F.lit("Denominação: "), "text").alias("label"), F.col("text").alias("value"),
+        F.lit("Denominação Social").alias("tipo"),
+    )
+    return by_id.unionByName(by_name).distinct()
+
+
+def screen_funds_indexed(facts: DataFrame, index: str, name: str, **criteria) -> DataFrame:
+    """:func:`screen_funds` with the name looked up in an index of the same registry."""
+    if len(name) < MIN_TERM:
+        return screen_funds(facts, **criteria)
+    hits = search_text_index(facts.sparkSession, index, name)
+    found = facts.join(
+        hits, (F.col("cnpj_fundo_classe") == F.col("key")) & (F.col("denominacao_social") == F.col("text")), "left_semi"
+    )
+    return screen_funds(found, **criteria)
+
+
 def create_basket(baskets: DataFrame, basket_id: int, name: str) -> DataFrame:
     """Append an empty basket; a blank name changes nothing."""
     name = name.strip()

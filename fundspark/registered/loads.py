@@ -16,6 +16,7 @@ from fundspark.session import scratch_path
 from fundspark.sinks import counters, parquet, views
 from fundspark.sources import archives, delimited, fixed_width
 from fundspark.sources.files import list_files
+from fundspark.sources.tables import stored_latest_date, stored_month_ranges
 from fundspark.streaming import incremental, logs, tail
 
 SINCE = "202312"
@@ -93,6 +94,23 @@ def _(spark, sf):
     return rows.select(*schemas.DAILY_KEYS)
 
 
+def _daily_by_month(spark: SparkSession, sf: str) -> str:
+    table = scratch_path(spark, "informacao_diaria")
+    months = fx.daily(spark, sf).withColumn("dt_comptc", F.add_months("dt_comptc", F.col("nr_cotst") % 3))
+    parquet.refresh_partitions(parquet.with_month(months), table, [parquet.MONTH])
+    return table
+
+
+@register("stored_latest_date")
+def _(spark, sf):
+    return stored_latest_date(spark, _daily_by_month(spark, sf))
+
+
+@register("stored_month_ranges")
+def _(spark, sf):
+    return stored_month_ranges(spark, _daily_by_month(spark, sf))
+
+
 # Registration and registry -----------------------------------------------------------
 
 

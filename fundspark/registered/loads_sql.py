@@ -110,6 +110,12 @@ UNION ALL SELECT 'ilegivel', '025'""",
   concat(CAST(c_custkey AS VARCHAR), ';', c_name, ' é') AS line FROM customer""",
     "log_stream": "SELECT concat_ws(' ', CAST(event_id AS VARCHAR), event_type, props) AS mensagem FROM events",
 }
+_MONTHS = "(SELECT CAST(dt_comptc + to_months(CAST(nr_cotst % 3 AS INTEGER)) AS DATE) AS d FROM fx_daily)"
+ORACLE["stored_latest_date"] = sql(f"SELECT MAX(d) AS ultima_data FROM {_MONTHS}")
+ORACLE["stored_month_ranges"] = sql(
+    f"""SELECT CAST(strftime(d, '%Y%m') AS INTEGER) AS ym, MIN(d) AS primeira_data, MAX(d) AS ultima_data, COUNT(*) AS linhas
+FROM {_MONTHS} GROUP BY 1"""
+)
 ORACLE["ingest_daily_both_layouts"] = ORACLE["load_daily_all_months"]
 ORACLE["unzip_and_load_daily"] = ORACLE["load_daily_all_months"]
 ORACLE["log_tail_appended"] = ORACLE["log_stream"]

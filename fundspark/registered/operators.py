@@ -407,6 +407,16 @@ def _(spark, sf):
     return paging.page(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 3, 30)
 
 
+@register("deep_page_of_lines")
+def _(spark, sf):
+    """A page far behind the first ones."""
+    lines = fx.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"
+    )
+    order = [F.col("l_extendedprice").desc(), *[c for c in lines.columns if c != "l_extendedprice"]]
+    return paging.page(lines, order, 190, 30).drop("l_shipdate")
+
+
 # Links ------------------------------------------------------------------------------------------
 
 

@@ -154,6 +154,9 @@ UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier""",
   LAG(event_id) OVER w AS evento_anterior FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
     "page_of_orders": """SELECT o_orderkey, o_totalprice, (SELECT COUNT(*) FROM orders) AS total, 3 AS page, 30 AS page_size,
   CAST(ceil((SELECT COUNT(*) FROM orders) / 30) AS BIGINT) AS total_pages FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 90""",
+    "deep_page_of_lines": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, (SELECT COUNT(*) FROM lineitem) AS total,
+  190 AS page, 30 AS page_size, CAST(ceil((SELECT COUNT(*) FROM lineitem) / 30) AS BIGINT) AS total_pages FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate LIMIT 30 OFFSET 5700""",
     "extract_links": """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) AS BIGINT) AS ordem,
   concat('https://example.org/dados', link) AS url
 FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages))

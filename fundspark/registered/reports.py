@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark import fixtures as fx
+from fundspark.functions.text import strip_tax_id
 from fundspark.operators.columns import serve
 from fundspark.operators.paging import page_after
 from fundspark.plans import portfolio, rankings, returns, screening
 from fundspark.registered.base import doubles, register
+from fundspark.session import scratch_path
 
 FUND = ("00000000000003", "CLASSES - FIF")
 
@@ -282,8 +284,29 @@ def _(spark, sf):
     return screening.find_funds(fx.registry(spark, sf), "00 b")
 
 
-def _member_counts(baskets: DataFrame) -> DataFrame:
-    return baskets.select("id", "name", F.size("cnpjs").cast("long").alias("membros"))
+def _index(spark: SparkSession, sf: str) -> str:
+    return screening.index_funds(fx.registry(spark, sf), scratch_path(spark, "indice"))
+
+
+@register("find_funds_indexed")
+def _(spark, sf):
+    return screening.find_funds_indexed(spark, _index(spark, sf), "00 b")
+
+
+@register("find_funds_indexed_by_id")
+def _(spark, sf):
+    return screening.find_funds_indexed(spark, _index(spark, sf), "00.000.000/0001")
+
+
+@register("screen_funds_indexed")
+def _(spark, sf):
+    return screening.screen_funds_indexed(_facts(spark, sf), _index(spark, sf), "ER#0000", assets=(5, 500))
+
+
+def _members(baskets: DataFrame) -> DataFrame:
+    """Baskets with their members' digits in order."""
+    members = F.array_sort(F.transform("cnpjs", strip_tax_id))
+    return baskets.select("id", "name", F.array_join(members, ",").alias("membros"))
 
 
 @register("basket_holdings")
@@ -293,9 +316,9 @@ def _(spark, sf):
 
 @register("find_baskets")
 def _(spark, sf):
-    return _member_counts(screening.find_baskets(fx.baskets(spark, sf), "ET 1"))
+    return _members(screening.find_baskets(fx.baskets(spark, sf), "ET 1"))
 
 
 @register("create_basket")
 def _(spark, sf):
-    return _member_counts(screening.create_basket(fx.baskets(spark, sf), -1, "  Nova "))
+    return _members(screening.create_basket(fx.baskets(spark, sf), -1, "  Nova "))

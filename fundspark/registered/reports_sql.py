@@ -167,9 +167,14 @@ FROM fx_registry WHERE lower(denominacao_social) LIKE '%00 b%'"""
 FROM fx_baskets b LEFT JOIN facts f ON b.cnpj = f.cnpj_fundo_classe"""
     ),
     "find_baskets": sql(
-        """SELECT id, name, COUNT(*) AS membros FROM fx_baskets WHERE lower(name) LIKE '%et 1%' GROUP BY 1, 2"""
+        """SELECT id, name, string_agg(cnpj, ',' ORDER BY cnpj) AS membros FROM fx_baskets WHERE lower(name) LIKE '%et 1%' GROUP BY 1, 2"""
     ),
     "create_basket": sql(
-        """SELECT id, name, COUNT(*) AS membros FROM fx_baskets GROUP BY 1, 2 UNION ALL SELECT -1, 'Nova', 0"""
+        """SELECT id, name, string_agg(cnpj, ',' ORDER BY cnpj) AS membros FROM fx_baskets GROUP BY 1, 2 UNION ALL SELECT -1, 'Nova', ''"""
     ),
 }
+for _indexed, _scanned in (
+    ("find_funds_indexed", "find_funds_by_name"), ("find_funds_indexed_by_id", "find_funds_by_id"),
+    ("screen_funds_indexed", "screen_funds"),
+):
+    ORACLE[_indexed] = ORACLE[_scanned]

@@ -30,6 +30,39 @@ def tables_like(spark: SparkSession, prefix: str) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
 
 
+def from_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose MIN, MAX and COUNT come from the files' footers, where no row filter stands
+    before them; grouping by partition columns is allowed.
+
+    Read by a session of its own, in which the newer file reader and its aggregate pushdown are on;
+    other frames keep their reader.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(path)
+
+
+def stored_latest_date(spark: SparkSession, path: str, column: str = "dt_comptc") -> DataFrame:
+    """One row, ``ultima_data``: the greatest date of a stored table, without reading its rows.
+
+    Of a table partitioned by month (``ym``) only the newest month's footers are read.
+    """
+    table = from_footers(spark, path)
+    if "ym" in table.columns:
+        # The months are in the folders' names.
+        folders = {part.split("=")[1] for f in table.inputFiles() for part in f.split("/") if part.startswith("ym=")}
+        table = table.filter(F.col("ym").cast("string") == max(folders, default=""))
+    return table.agg(F.max(column).alias("ultima_data"))
+
+
+def stored_month_ranges(spark: SparkSession, path: str, column: str = "dt_comptc") -> DataFrame:
+    """First and last date and rows of each month of a table partitioned by ``ym``, from the footers."""
+    return from_footers(spark, path).groupBy("ym").agg(
+        F.min(column).alias("primeira_data"), F.max(column).alias("ultima_data"), F.count(column).alias("linhas")
+    )
+
+
 #: Ends the name under which a table waits while its new version takes its place.
 OLD = "._old"
 

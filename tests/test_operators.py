@@ -344,3 +344,83 @@ def test_no_holders_is_a_criterion(spark):
 
     facts = spark.createDataFrame([("A", 5), ("B", 0)], "denominacao_social string, nr_cotistas int")
     assert [r.denominacao_social for r in screen_funds(facts, holders=0).collect()] == ["B"]
+
+
+# Text index -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("term", ["abc", "ABCA", "aaaa", "b a", "çã", "ÇÃO", "xyz", "abcabcabc", "ab"])
+def test_text_index_equals_a_scan(spark, tmp_path, term):
+    import random
+
+    from fundspark.operators import text_index
+
+    draw = random.Random(5)
+    names = ["".join(draw.choice("abcABC ã") for _ in range(draw.randrange(12))) for _ in range(300)]
+    names += ["Ação", "AÇÃO geral", None, "", "aa", "aaaaaaa", "abcabcabcabc"]
+    rows = [(f"{i % 200:014d}", n) for i, n in enumerate(names)]
+    df = spark.createDataFrame([*rows, rows[0]], "id string, nome string")
+    path = text_index.build_text_index(df, "id", "nome", str(tmp_path / "index"))
+    if len(term) < 3:
+        with pytest.raises(ValueError):
+            text_index.search_text_index(spark, path, term)
+        return
+    found = [tuple(r) for r in text_index.search_text_index(spark, path, term).collect()]
+    assert sorted(found) == sorted({(i, n) for i, n in rows if n and term.lower() in n.lower()})
+
+
+def test_covers_leave_nothing_out():
+    import itertools
+
+    from fundspark.operators.text_index import cover
+
+    for size in range(1, 9):
+        for counts in itertools.islice(itertools.product([1, 5, 9], repeat=size), 300):
+            places = cover(list(counts))
+            assert places[0] == 0 and places[-1] == size - 1 and all(b - a <= 3 for a, b in itertools.pairwise(places))
+            every = (c for n in range(size + 1) for c in itertools.combinations(range(size), n))
+            good = [c for c in every if c and c[0] == 0 and c[-1] == size - 1 and all(b - a <= 3 for a, b in itertools.pairwise(c))]
+            assert sum(counts[p] for p in places) == min(sum(counts[p] for p in c) for c in good)
+
+
+def test_index_plans_read_no_registry_and_few_buckets(spark, capsys, tmp_path):
+    from fundspark.operators import text_index
+
+    df = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("fundo "), F.col("id").cast("string")).alias("nome"))
+    df.write.parquet(str(tmp_path / "registry"))
+    path = text_index.build_text_index(spark.read.parquet(str(tmp_path / "registry")), "id", "nome", str(tmp_path / "index"))
+    hits = text_index.search_text_index(spark, path, "o 1234")
+    hits.explain()
+    plan = capsys.readouterr().out
+    assert "registry" not in plan and "EqualTo(gram," in plan and "dynamicpruning" in plan
+    assert [r.key for r in hits.collect()] == ["1234"]
+
+
+# Deep pages and places ------------------------------------------------------------------------------
+
+
+def test_far_pages_read_their_places_only(spark, capsys, many_pieces):
+    df = spark.range(10_000).select((F.col("id") * 7919 % 10_000).alias("id"))
+    for number in (0, 37, 99, 100):
+        page = paging.page(df, ["id"], number, 100)
+        assert [r.id for r in page.collect()] == list(range(number * 100, min(10_000, number * 100 + 100)))
+    paging.page(df, ["id"], 50, 10).explain()
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(_pos," in plan and "Window" not in plan
+
+
+def test_ranks_follow_lags_without_a_copy(spark, rows, many_pieces, monkeypatch):
+    """The row numbers that a lag leaves tell copies apart for a rank, and the result comes sorted."""
+    written = []
+    monkeypatch.setattr(ranking, "staged", lambda df, name, real=ranking.staged: written.append(name) or real(df, name))
+    df = values(spark).unionByName(values(spark)).drop("id")
+    by = [F.col("v").desc_nulls_first()]
+    lagged = ranking.lag_in_group(df, ["g"], by, {"before": "v"}, number="place")
+    ranked = ranking.rank_in_group(lagged, ["g"], by, "r", number="place", groups=[F.col("g").desc_nulls_last()]).drop("place")
+    assert written == ["placed", "placed"]
+    found = [(r.g, r.v, r.before, r.r) for r in ranked.collect()]
+    assert [x[3] for x in found if x[0] == "hot"] == list(range(1, 4201))
+    assert [x[0] for x in found] == ["hot"] * 4200 + ["cold"] * 1200 + [None] * 600
+    window = W.partitionBy("g").orderBy(*by)
+    expected = df.withColumns({"before": F.lag("v").over(window), "r": F.row_number().over(window)})
+    assert sorted(map(str, found)) == sorted(str((r.g, r.v, r.before, r.r)) for r in expected.collect())

@@ -77,3 +77,19 @@ def test_portfolio_dates_prune_months(spark, capsys, sf_dir):
     assert dict(stored.dtypes)["ym"] == "string" and dict(stored.dtypes)["ym_arquivo"] == "string"
     text = plan(capsys, filters.date_range(stored, "1996-01-01", "1996-03-31"))
     assert "PartitionFilters: [isnotnull(ym" in text and "199601" in text
+
+
+def test_dates_come_from_footers(spark, capsys, stored):
+    from fundspark.sources.tables import stored_latest_date, stored_month_ranges
+
+    latest = stored_latest_date(spark, stored)
+    text = plan(capsys, latest)
+    assert "PushedAggregation: [MAX(dt_comptc)]" in text and "ym" in text.split("PartitionFilters")[1]
+    table = spark.read.parquet(stored)
+    assert latest.first()[0] == table.agg(F.max("dt_comptc")).first()[0]
+    ranges = stored_month_ranges(spark, stored)
+    text = plan(capsys, ranges)
+    assert "PushedAggregation: [MIN(dt_comptc), MAX(dt_comptc), COUNT(dt_comptc)]" in text and "PushedGroupBy: [ym]" in text
+    expected = table.groupBy("ym").agg(F.min("dt_comptc"), F.max("dt_comptc"), F.count("*"))
+    assert sorted(ranges.collect()) == sorted(expected.collect())
+    assert "FileScan" in plan(capsys, table.agg(F.max("dt_comptc")))  # other frames keep their reader
