@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fundspark import fixtures as fx
 from fundspark.functions.text import format_tax_id
-from fundspark.schemas import BLOCKS
+from fundspark.schemas import BLOCKS, REGISTRATION, REGISTRATION_CHARS
 from fundspark.session import frozen, scratch_path
 from fundspark.sources.delimited import ENCODING, SEPARATOR
 from fundspark.sources.stores import files_below, located
@@ -115,6 +115,23 @@ def daily_folder(spark: SparkSession, sf: str) -> str:
     return folder
 
 
+@_once
+def damaged_daily_folder(spark: SparkSession, sf: str) -> str:
+    """The daily rows in the current layout, some with amounts and dates that cannot be read."""
+    folder = scratch_path(spark, "info-diaria-danificada")
+    lines = _daily_lines(fx.daily(spark, sf), 0).drop("_seq")
+    holders = F.col("NR_COTST").cast("int")
+    damaged = lines.withColumns(
+        {
+            "VL_TOTAL": F.when(holders == 2, F.concat(F.col("VL_TOTAL"), F.lit("x"))).otherwise(F.col("VL_TOTAL")),
+            "DT_COMPTC": F.when(holders == 3, "2024-13-01").otherwise(F.col("DT_COMPTC")),
+            "RESG_DIA": F.when(F.col("RESG_DIA").isNotNull(), F.concat(F.lit("9" * 20), F.col("RESG_DIA"))),
+        }
+    )
+    write_delimited(damaged, f"{folder}/inf_diario_fi_202401.csv")
+    return folder
+
+
 @_once
 def daily_stream_folder(spark: SparkSession, sf: str) -> str:
     """The daily rows in the current layout, parts named for the stream's file pattern."""
@@ -137,8 +154,31 @@ def registration_files(spark: SparkSession, sf: str) -> tuple[str, str]:
     def name(suffix: str) -> Column:
         return F.concat("c_name", F.lit(ACCENT + suffix))
 
+    def other(column: str) -> Column:
+        """What the further columns hold: ids, dates (some impossible), codes, a rate and texts."""
+        if column.startswith("cnpj_"):
+            value = _tax_id("c_nationkey")
+        elif column.startswith("dt_"):
+            value = F.when(balance > 3000, "2019-12-31").when(balance > 500, "2019-02-30").otherwise(" ")
+        elif column in REGISTRATION_CHARS:
+            value = F.when(segment == "BUILDING", " N ")
+        elif column == "taxa_perfm":
+            value = F.lit("2.25")
+        elif column == "cd_cvm":
+            value = F.col("c_custkey").cast("string")
+        else:
+            value = F.concat(F.lit(f"{column} "), segment)
+        return value.alias(column.upper())
+
+    named = {
+        "cnpj_fundo", "denom_social", "cnpj_admin", "cpf_cnpj_gestor", "entid_invest", "pf_pj_gestor", "dt_reg",
+        "trib_lprazo", "taxa_adm", "vl_patrim_liq",
+    }
+    others = [other(f.name) for f in REGISTRATION if f.name not in named]
+
     def current(sequence: int, suffix: str) -> DataFrame:
         return customers.filter(balance >= 0).select(
+            *others,
             F.lit(sequence).alias("_seq"),
             _tax_id("c_custkey").alias("CNPJ_FUNDO"),
             name(suffix).alias("DENOM_SOCIAL"),

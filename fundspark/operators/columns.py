@@ -75,20 +75,23 @@ def conform(
     if unknown and extra == "raise":
         raise ValueError(f"columns not in the target table: {unknown}")
     present = dict(df.dtypes)
-    columns = []
+    columns, cast = [], {}
     for field in schema:
         kind, value = field.dataType.simpleString(), f"`{field.name}`"
         if field.name not in present:
             value = f"CAST(NULL AS {kind})"
         elif present[field.name] != kind:
-            cast = f"try_cast({value} AS {kind})"
+            typed = f"try_cast({value} AS {kind})"
             if on_loss == "fail":
+                # Cast once, in a projection of its own; only what came out NULL is looked at again.
+                cast[f"_typed_{field.name}"] = F.expr(typed)
                 what = f"raise_error(concat('{field.name} cannot hold ', {value}))"
-                lost = f"trim(CAST({value} AS STRING)) <> '' AND {cast} IS NULL"
-                cast = f"CASE WHEN {lost} THEN {what} ELSE {cast} END"
-            value = cast
+                typed = f"`_typed_{field.name}`"
+                lost = f"{typed} IS NULL AND trim(CAST({value} AS STRING)) <> ''"
+                typed = f"CASE WHEN {lost} THEN {what} ELSE {typed} END"
+            value = typed
         columns.append(f"{value} AS `{field.name}`")
-    return df.selectExpr(*columns)
+    return df.withColumns(cast).selectExpr(*columns)
 
 
 def cast_losses(df: DataFrame, schema: T.StructType) -> DataFrame:

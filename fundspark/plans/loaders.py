@@ -14,6 +14,7 @@ from fundspark import schemas
 from fundspark.operators import columns, keys
 from fundspark.session import staged
 from fundspark.sinks import parquet
+from fundspark.sinks.counters import Counters
 from fundspark.sources.delimited import LINE_ORDER, read_delimited
 from fundspark.sources.files import BLOCK_MONTH, daily_files, portfolio_files
 
@@ -41,6 +42,22 @@ def _line_fields(df: DataFrame) -> list[T.StructField]:
     return [df.schema[name] for name in LINE_ORDER]
 
 
+def _daily_lines(spark: SparkSession, folder: str, since: str, latest_only: bool) -> DataFrame:
+    month_by_path = {f.path: f.month for f in daily_files(spark, folder, since, latest_only)}
+    return read_delimited(
+        spark, month_by_path, bad_lines="fail", alike=month_by_path.get,
+        renames=schemas.LAYOUT_RENAMES,
+    )
+
+
+def daily_losses(spark: SparkSession, folder: str, since: str = "", latest_only: bool = False) -> DataFrame:
+    """One row: per column of the daily table, how many values of the files would not fit it."""
+    raw = columns.rename_present(
+        columns.lower_columns(_daily_lines(spark, folder, since, latest_only)), schemas.LAYOUT_RENAMES
+    )
+    return columns.cast_losses(raw, schemas.DAILY)
+
+
 def load_daily(
     spark: SparkSession,
     folder: str,
@@ -48,20 +65,22 @@ def load_daily(
     since: str = "",
     latest_only: bool = False,
     on_loss: str = "fail",
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Load all daily files, or those since a month, or only the newest.
 
     A value that does not fit its column fails the load; ``on_loss="null"`` makes it NULL.
 
     With ``table`` the rows are upserted and the whole table is returned, with its
-    month column, by which the date filters prune.
+    month column, by which the date filters prune. ``counters`` gets the lines read (``lidas``)
+    and the rows left of them (``gravadas``) from the job that writes them.
     """
-    month_by_path = {f.path: f.month for f in daily_files(spark, folder, since, latest_only)}
-    raw = read_delimited(
-        spark, month_by_path, bad_lines="fail", alike=month_by_path.get,
-        renames=schemas.LAYOUT_RENAMES,
-    )
+    raw = _daily_lines(spark, folder, since, latest_only)
+    if counters:
+        raw = counters.of(raw, "lidas")
     daily = clean_daily(raw, on_loss)
+    if counters:
+        daily = counters.of(daily, "gravadas")
     if table is None:
         return daily
     parquet.upsert_table(spark, table, daily, schemas.DAILY_KEYS, month_of="dt_comptc")

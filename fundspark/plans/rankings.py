@@ -95,13 +95,21 @@ def _named_flows(flows: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def flow_ranking(daily: DataFrame, registry: DataFrame, days: int = 31) -> DataFrame:
-    """Fund days of the last ``days`` days by net flow, days without net flow left out."""
+def recent_flows(daily: DataFrame, registry: DataFrame, days: int = 31) -> DataFrame:
+    """Named fund days of the last ``days`` days with their net flow, days without net flow left out.
+
+    Tables bucketed by tax id are grouped and joined where they lie.
+    """
     recent = filters.any_flow(filters.last_days(daily, days))
     flows = flow_sums(recent).filter(F.col("fluxo_liquido") != 0)
-    named = _named_flows(flows, registry).withColumn(
+    return _named_flows(flows, registry).withColumn(
         "percentual_fluxo_liquido", percent_of(F.col("fluxo_liquido"), F.col("vl_total"))
     )
+
+
+def flow_ranking(daily: DataFrame, registry: DataFrame, days: int = 31) -> DataFrame:
+    """Fund days of the last ``days`` days by net flow, days without net flow left out."""
+    named = recent_flows(daily, registry, days)
     order = [
         F.col("fluxo_liquido").desc(), F.col("cnpj_fundo_classe"), F.col("tp_fundo_classe"),
         F.col("dt_comptc"), F.col("denominacao_social").asc_nulls_last(),

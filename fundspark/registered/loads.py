@@ -3,36 +3,28 @@ sinks and streams and back."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark import fixtures as fx
 from fundspark import landed, schemas
-from fundspark.operators import columns, filters, keys
+from fundspark.operators import columns, filters, keys, sketches
 from fundspark.plans import loaders, portfolio, quotes, rankings, returns
 from fundspark.registered.base import doubles, register
 from fundspark.registered.operators import upsert_frames
 from fundspark.session import scratch_path
-from fundspark.sinks import counters, parquet, views
+from fundspark.sinks import bucketed, counters, parquet, views
 from fundspark.sources import archives, delimited, fixed_width
 from fundspark.sources.files import list_files
 from fundspark.sources.tables import stored_latest_date, stored_month_ranges
 from fundspark.streaming import incremental, logs, tail
 
 SINCE = "202312"
+VEHICLE = ["cnpj_fundo_classe", "tp_fundo_classe"]
+SKETCH_RANGES = {"dia": ("2024-01-05", "2024-01-05"), "semana": ("2024-01-08", "2024-01-14"), "tudo": (None, None), "nada": ("2030-01-01", None)}
 TAIL_RANGE = 256 << 10
-REGISTRATION_SHOWN = [
-    "cnpj_fundo", "denom_social", "cnpj_admin", "cpf_cnpj_gestor", "entid_invest", "pf_pj_gestor",
-    "dt_reg", "trib_lprazo", "taxa_adm", "vl_patrim_liq",
-]
-QUOTE_SHOWN = [
-    "data_pregao", "codigo_negociacao", "nome_empresa", "moeda_referencia", "prazo_dias_mercado",
-    "preco_abertura", "preco_maximo", "preco_ultimo", "preco_melhor_oferta_compra",
-    "numero_negocios", "quantidade_titulos", "volume_total", "data_vencimento", "fator_cotacao",
-    "codigo_isin", "distribuicao", "variacao_percentual",
-]
-
-
 # Daily information ----------------------------------------------------------------
 
 
@@ -85,6 +77,37 @@ def _(spark, sf):
     return spark.createDataFrame(row, "rows_before long, rows_after long")
 
 
+@register("load_losses")
+def _(spark, sf):
+    """Per column, the values of damaged files that would not fit the daily table."""
+    return loaders.daily_losses(spark, landed.damaged_daily_folder(spark, sf))
+
+
+@register("load_daily_counters")
+def _(spark, sf):
+    """Lines read and rows left, counted by the job that writes the table."""
+    seen = counters.Counters()
+    table = scratch_path(spark, "informacao_diaria")
+    loaders.load_daily(spark, landed.daily_folder(spark, sf), table, since=SINCE, counters=seen)
+    return spark.createDataFrame([tuple(seen.get().values())], "lidas long, gravadas long")
+
+
+@register("distinct_funds_sketch")
+def _(spark, sf):
+    """Distinct vehicles of date ranges from stored daily sketches, and whether they keep to the stated error."""
+    kept = scratch_path(spark, "esbocos")
+    daily = fx.daily(spark, sf)
+    sketches.daily_sketches(daily, VEHICLE).write.parquet(kept)
+    stored, out = spark.read.parquet(kept), None
+    for name, (start, end) in SKETCH_RANGES.items():
+        exact = filters.date_range(daily, start, end).select(*VEHICLE).distinct().agg(F.count("*").alias("exatos"))
+        found = sketches.distinct_from_sketches(stored, start, end).withColumn("exatos", exact.scalar())
+        near = F.abs(F.col("distintos") - F.col("exatos")) <= sketches.RELATIVE_ERROR * F.col("exatos")
+        row = found.select(F.lit(name).alias("periodo"), "linhas", "exatos", near.alias("dentro_do_erro"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("stored_trailing_7_days")
 def _(spark, sf):
     """A trailing period of a table partitioned by month: older months are not read."""
@@ -118,8 +141,9 @@ def _(spark, sf):
 def _(spark, sf):
     current, history = landed.registration_files(spark, sf)
     table = scratch_path(spark, "informacao_cadastral")
-    loaded = loaders.load_registration(spark, current, history, table).select(*REGISTRATION_SHOWN)
-    return doubles(loaded.withColumn("taxa_adm", F.col("taxa_adm").cast("double")))
+    loaded = loaders.load_registration(spark, current, history, table)
+    rates = {c: F.col(c).cast("double") for c in ("taxa_adm", "taxa_perfm")}
+    return doubles(loaded.withColumns(rates))
 
 
 def _registry(spark: SparkSession, sf: str) -> loaders.Registry:
@@ -156,6 +180,35 @@ def _(spark, sf):
     )
 
 
+BUCKETS = 16
+
+
+@register("upsert_registry_bucketed")
+def _(spark, sf):
+    """The fund registry in hash buckets after a small upsert of renamed and of new funds."""
+    table = scratch_path(spark, "registro_baldes")
+    registry = fx.registry(spark, sf)
+    bucketed.upsert_buckets(spark, table, registry, ["id_registro_fundo"], buckets=BUCKETS)
+    some = registry.filter(F.col("id_registro_fundo") % 40 == 0)
+    renamed = some.withColumn("denominacao_social", F.concat("denominacao_social", F.lit(" Z")))
+    added = some.withColumn("id_registro_fundo", F.col("id_registro_fundo") + 900000000)
+    bucketed.upsert_buckets(spark, table, renamed.unionByName(added), ["id_registro_fundo"])
+    return spark.read.parquet(table).drop(f"balde_{BUCKETS}")
+
+
+@register("bucketed_flow_join")
+def _(spark, sf):
+    """The flow ranking of tables that are bucketed by tax id."""
+    suffix = uuid.uuid4().hex
+    tables = [
+        bucketed.save_bucketed(df, f"{name}_{suffix}", key, BUCKETS, scratch_path(spark, name))
+        for name, df, key in (
+            ("diaria_baldes", fx.daily(spark, sf), "cnpj_fundo_classe"), ("registro_baldes", fx.registry(spark, sf), "cnpj_fundo"),
+        )
+    ]
+    return columns.serve(rankings.flow_ranking(*tables), zero=rankings.FLOW_AMOUNTS)
+
+
 # Portfolio -------------------------------------------------------------------------------
 
 
@@ -214,7 +267,9 @@ def _(spark, sf):
 
 @register("load_quotes")
 def _(spark, sf):
-    return quotes.load_quotes(spark, landed.quote_folder(spark, sf)).select(*QUOTE_SHOWN)
+    """All fields; the day of the load and the files' names differ from run to run."""
+    loaded = quotes.load_quotes(spark, landed.quote_folder(spark, sf))
+    return loaded.drop("data_processamento", "arquivo_origem")
 
 
 @register("load_quotes_zero_as_null")
@@ -358,6 +413,17 @@ def _(spark, sf):
     return doubles(spark.read.parquet(table).drop(parquet.MONTH))
 
 
+@register("ingest_daily_counters")
+def _(spark, sf):
+    """The counters that the stream's batches have left, summed up."""
+    kept = scratch_path(spark, "contadores")
+    incremental.ingest_daily(
+        spark, landed.daily_folder(spark, sf), scratch_path(spark, "informacao_diaria"), scratch_path(spark, "posicao"),
+        pattern="*.csv", counters=kept,
+    ).awaitTermination()
+    return spark.read.parquet(kept).agg(F.sum("lidas").alias("lidas"), F.sum("gravadas").alias("gravadas"))
+
+
 @register("ingest_daily_both_layouts")
 def _(spark, sf):
     """Files of the older and the current layout in one stream."""

@@ -22,6 +22,25 @@ MOVE = "(CASE WHEN y - floor(y) > 0.5 OR (y - floor(y) = 0.5 AND floor(y) % 2 <>
 SEGMENT = "CASE c_mktsegment WHEN 'BUILDING' THEN 'S' WHEN 'MACHINERY' THEN 'S' END"
 ID = "lpad(CAST(c_custkey AS VARCHAR), 14, '0')"
 
+# The further columns of the registration file.
+_TEXTS = (
+    "admin auditor classe classe_anbima condom controlador custodiante diretor gestor inf_taxa_adm inf_taxa_perfm"
+    " publico_alvo rentab_fundo sit tp_fundo"
+).split()
+_IDS = ["cnpj_auditor", "cnpj_controlador", "cnpj_custodiante"]
+_CODES = ["fundo_cotas", "fundo_exclusivo", "invest_cempr_exter"]
+_DAYS = (
+    "dt_cancel dt_const dt_fim_exerc dt_ini_ativ dt_ini_classe dt_ini_exerc dt_ini_sit dt_patrim_liq".split()
+)
+OTHERS = ", ".join(
+    [f"concat('{c} ', c_mktsegment) AS {c}" for c in _TEXTS]
+    + [f"lpad(CAST(c_nationkey AS VARCHAR), 14, '0') AS {c}" for c in _IDS]
+    + [f"CASE WHEN c_mktsegment = 'BUILDING' THEN 'N' END AS {c}" for c in _CODES]
+    + [f"CASE WHEN c_acctbal > 3000 THEN DATE '2019-12-31' WHEN c_acctbal > 500 THEN DATE '1900-01-01' END AS {c}" for c in _DAYS]
+    + ["CAST(2.25 AS DOUBLE) AS taxa_perfm", "CAST(c_custkey AS DOUBLE) AS cd_cvm"]
+)
+NOTHING = ", ".join(["NULL"] * (len(_TEXTS) + len(_IDS) + len(_CODES) + len(_DAYS) + 2))
+
 ORACLE: dict[str, str] = {
     "load_daily": sql(JANUARY),
     "load_daily_all_months": sql(
@@ -38,9 +57,9 @@ ORACLE: dict[str, str] = {
   lpad(CAST(c_nationkey AS VARCHAR), 14, '0') AS cnpj_admin, concat('123456789', lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) AS cpf_cnpj_gestor,
   {SEGMENT} AS entid_invest, 'PJ' AS pf_pj_gestor,
   CASE WHEN c_acctbal > 5000 THEN DATE '2020-01-02' WHEN c_acctbal > 1000 THEN DATE '1900-01-01' END AS dt_reg,
-  'LONGO PRAZO' AS trib_lprazo, CAST(1.5 AS DOUBLE) AS taxa_adm, CAST(CAST(c_acctbal AS DECIMAL(24,2)) AS DOUBLE) AS vl_patrim_liq
+  'LONGO PRAZO' AS trib_lprazo, CAST(1.5 AS DOUBLE) AS taxa_adm, CAST(CAST(c_acctbal AS DECIMAL(24,2)) AS DOUBLE) AS vl_patrim_liq, {OTHERS}
 FROM customer WHERE c_acctbal >= 0
-UNION ALL SELECT {ID}, concat(c_name, ' é novo'), NULL, NULL, NULL, NULL, NULL, 'LON', NULL, NULL FROM customer WHERE c_acctbal < 0""",
+UNION ALL SELECT {ID}, concat(c_name, ' é novo'), NULL, NULL, NULL, NULL, NULL, 'LON', NULL, NULL, {NOTHING} FROM customer WHERE c_acctbal < 0""",
     "load_registry_funds": sql(
         """SELECT id_registro_fundo, cnpj_fundo, denominacao_social, situacao, cpf_cnpj_gestor, gestor,
   DATE '2021-03-04' AS data_registro FROM fx_registry"""
@@ -74,6 +93,9 @@ FROM fx_unified WHERE cnpj_fundo_classe = '00000000000003' AND tp_fundo_classe =
     ),
     "load_quotes": sql(
         f"""SELECT CAST(o_orderdate AS DATE) AS data_pregao, concat('TK', CAST(o_orderkey AS VARCHAR)) AS codigo_negociacao,
+  '02' AS codigo_bdi, '010' AS tipo_mercado, 'ON' AS especificacao_papel, '0' AS indicador_correcao,
+  CAST(cents AS DOUBLE) / 100 AS preco_minimo, CAST(cents AS DOUBLE) / 100 AS preco_medio, CAST(0 AS DOUBLE) AS preco_melhor_oferta_venda,
+  CAST(0 AS DOUBLE) AS preco_exercicio, CAST(0 AS DOUBLE) AS preco_exercicio_pontos,
   'AÇÕES SA' AS nome_empresa, 'R$' AS moeda_referencia, CAST(0 AS BIGINT) AS prazo_dias_mercado,
   CAST(opening AS DOUBLE) / 100 AS preco_abertura, CAST(cents AS DOUBLE) / 100 AS preco_maximo,
   CAST(cents + o_custkey AS DOUBLE) / 100 AS preco_ultimo, CAST(NULL AS DOUBLE) AS preco_melhor_oferta_compra,
@@ -110,6 +132,25 @@ UNION ALL SELECT 'ilegivel', '025'""",
   concat(CAST(c_custkey AS VARCHAR), ';', c_name, ' é') AS line FROM customer""",
     "log_stream": "SELECT concat_ws(' ', CAST(event_id AS VARCHAR), event_type, props) AS mensagem FROM events",
 }
+_READ = "(SELECT 2 * COUNT(*) FROM fx_daily) + (SELECT COUNT(*) FROM fx_daily WHERE id_subclasse = 'NA')"
+_LEFT = "(SELECT COUNT(*) FROM fx_daily) + (SELECT COUNT(*) FROM fx_daily WHERE id_subclasse = 'NA')"
+ORACLE["load_daily_counters"] = sql(f"SELECT {_READ} AS lidas, {_LEFT} AS gravadas")
+ORACLE["ingest_daily_counters"] = ORACLE["load_daily_counters"]
+ORACLE["load_losses"] = sql(
+    """SELECT 0::BIGINT AS cnpj_fundo_classe, 0::BIGINT AS tp_fundo_classe, 0::BIGINT AS id_subclasse, COUNT(*) FILTER (nr_cotst = 3) AS dt_comptc,
+  0::BIGINT AS captc_dia, 0::BIGINT AS nr_cotst, COUNT(resg_dia) AS resg_dia, 0::BIGINT AS vl_patrim_liq, 0::BIGINT AS vl_quota,
+  COUNT(*) FILTER (nr_cotst = 2) AS vl_total FROM fx_daily"""
+)
+_RANGES = {"dia": "dt_comptc = DATE '2024-01-05'", "semana": "dt_comptc BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'", "tudo": "true", "nada": "false"}
+ORACLE["distinct_funds_sketch"] = sql(" UNION ALL ".join(
+    f"SELECT '{name}' AS periodo, COUNT(*) AS linhas, COUNT(DISTINCT (cnpj_fundo_classe, tp_fundo_classe)) AS exatos, true AS dentro_do_erro FROM fx_daily WHERE {where}"
+    for name, where in _RANGES.items()
+))
+ORACLE["upsert_registry_bucketed"] = sql(
+    """SELECT * REPLACE (CASE WHEN id_registro_fundo % 40 = 0 THEN concat(denominacao_social, ' Z') ELSE denominacao_social END AS denominacao_social) FROM fx_registry
+UNION ALL SELECT * REPLACE (id_registro_fundo + 900000000 AS id_registro_fundo) FROM fx_registry WHERE id_registro_fundo % 40 = 0"""
+)
+ORACLE["bucketed_flow_join"] = REPORTS["flow_ranking"]
 _MONTHS = "(SELECT CAST(dt_comptc + to_months(CAST(nr_cotst % 3 AS INTEGER)) AS DATE) AS d FROM fx_daily)"
 ORACLE["stored_latest_date"] = sql(f"SELECT MAX(d) AS ultima_data FROM {_MONTHS}")
 ORACLE["stored_month_ranges"] = sql(

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fundspark import schemas
 from fundspark.plans.loaders import clean_daily
+from fundspark.sinks.counters import Counters
 from fundspark.sinks.parquet import upsert_table
 from fundspark.sources.delimited import read_delimited
 
@@ -35,21 +36,29 @@ def ingest_daily(
     checkpoint: str,
     pattern: str = FILES,
     files_per_batch: int = 100,
+    counters: str | None = None,
 ) -> StreamingQuery:
     """Upsert all files landed so far into ``table``; repeating a batch changes nothing.
 
     The stream keeps track of the files; each batch reads its files as the batch load does,
-    every file in its own layout.
+    every file in its own layout. ``counters`` names a folder for one row per batch (``lote``):
+    its files, the lines read and the rows left of them, counted while they are written; a
+    repeated batch writes its row again.
     """
 
-    def upsert(batch: DataFrame, _batch_id: int) -> None:
+    def upsert(batch: DataFrame, batch_id: int) -> None:
         # No more paths than files_per_batch.
         paths = sorted(r.path for r in batch.distinct().collect())
         if not paths:
             return
         spark = batch.sparkSession
-        raw = read_delimited(spark, paths, bad_lines="fail", renames=schemas.LAYOUT_RENAMES)
-        upsert_table(spark, table, clean_daily(raw), schemas.DAILY_KEYS, month_of="dt_comptc")
+        seen = Counters()
+        raw = seen.of(read_delimited(spark, paths, bad_lines="fail", renames=schemas.LAYOUT_RENAMES), "lidas")
+        daily = seen.of(clean_daily(raw), "gravadas")
+        upsert_table(spark, table, daily, schemas.DAILY_KEYS, month_of="dt_comptc")
+        if counters:
+            row = spark.createDataFrame([(len(paths), *seen.get().values())], "arquivos long, lidas long, gravadas long")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{counters}/lote={batch_id}")
 
     return (
         file_stream(spark, folder, pattern, files_per_batch)
