@@ -52,7 +52,7 @@ class Aligner(dict):
     merge, and its pattern are handed to a faster implementation of the same method.
     """
 
-    LIMIT = 250_000
+    LIMIT = 400_000
 
     def __init__(self, a_path: str, b_path: str):
         super().__init__()
@@ -97,10 +97,13 @@ class Aligner(dict):
         kept = [run for run in runs if run in self.old]
         self.update((run, self.old[run]) for run in kept)
         new = [run for run in runs if run not in self.old] if kept else runs
+        if not new:
+            return
         second = self.b(new, num_threads=1)
         spelled = [b" " + run.encode() for run in new]
-        sizes = [sum(len(self.b_bytes[i]) for i in ids) for ids in second]
-        if sizes != list(map(len, spelled)) or not self.whole(second, b"".join(spelled)):
+        ends = [np.cumsum(list(map(len, x))) for x in (second, spelled)]
+        bytes_ = np.r_[0, np.cumsum(self.b_sizes[np.fromiter(chain.from_iterable(second), dtype=np.int64)])]
+        if not np.array_equal(bytes_[ends[0]], ends[1]) or not self.whole(second, b"".join(spelled)):
             good = [self.whole([ids], wanted) for ids, wanted in zip(second, spelled)]
             self.update((run, None) for run, fine in zip(new, good) if not fine)
             new, second, spelled = ([x for x, fine in zip(xs, good) if fine] for xs in (new, second, spelled))
@@ -173,16 +176,32 @@ def runs_of(text: str) -> list[str]:
 
 
 class _Chunk:
-    """The texts of a chunk."""
+    """The texts of a chunk, and their runs by number as they come."""
 
     def __init__(self, known: Aligner):
-        self.known, self.numbers, self.found = known, {}, []
-        self.rows, self.bytes = [], 0
+        self.known, self.numbers, self.found, self.groups = known, {}, [], []
+        self.texts, self.pending, self.waiting, self.bytes = [], [], 0, 0
+
+    def settled(self) -> list[tuple[bytes, int, np.ndarray, str]]:
+        """Key, weight, runs and digest of the texts that have tokens."""
+        self.settle()
+        return [
+            (key, weight, np.concatenate(parts), digest.hexdigest()) for key, weight, parts, digest in self.texts if parts
+        ]
+
+    def add(self, key: bytes, text: str, weight: int) -> None:
+        self.texts.append((key, weight, [], hashlib.sha256()))
+        for i, segment in enumerate(segments(text)):
+            self.pending.append((len(self.texts) - 1, i, runs_of(segment)))
+            self.waiting += len(segment)
+            if self.waiting >= SEGMENT_CHARS:
+                self.settle()
+        self.bytes += len(text)
 
-    def number(self, runs: list[str]) -> list[int]:
-        """The runs' numbers as they come in the chunk; -1 where a run does not come back from its tokens."""
-        numbers, known = self.numbers, self.known
-        new = [run for run in dict.fromkeys(runs) if run not in numbers]
+    def settle(self) -> None:
+        """Number the runs of the segments that wait; the unknown ones are learnt together."""
+        numbers, known, broken = self.numbers, self.known, set()
+        new = [run for run in dict.fromkeys(chain.from_iterable(runs for *_, runs in self.pending)) if run not in numbers]
         if unknown := [run for run in new if run not in known]:
             known.learn(unknown)
         for run in new:
@@ -190,39 +209,42 @@ class _Chunk:
             numbers[run] = -1 if found is None else len(self.found)
             if found is not None:
                 self.found.append(found)
-        return [numbers[run] for run in runs]
-
-    def add(self, key: bytes, text: str, weight: int) -> None:
-        digest, parts, found = hashlib.sha256(), [], self.found
-        for i, segment in enumerate(segments(text)):
-            at = self.number(runs_of(segment))
-            if -1 in at:
-                return
-            digest.update(((";" if i else "") + ";".join([found[n][3] for n in at])).encode())
+                self.groups.append(found[3])
+        for text, i, runs in self.pending:
+            at = list(map(numbers.__getitem__, runs))
+            _, _, parts, digest = self.texts[text]
+            if text in broken or -1 in at or (i and not parts):
+                # A run that does not come back leaves its text without tokens.
+                broken.add(text)
+                parts.clear()
+                continue
+            digest.update(((";" if i else "") + ";".join(map(self.groups.__getitem__, at))).encode())
             parts.append(np.array(at, dtype=np.uint32))
-        self.rows.append((key, weight, np.concatenate(parts), digest.hexdigest()))
-        self.bytes += len(text)
+        self.pending, self.waiting = [], 0
 
-    def batch(self, chunk: int) -> pa.RecordBatch:
+    def batch(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        rows = self.settled()
+        if not rows:
+            return
         sizes = np.array([len(r[4]) // 8 for r in self.found], dtype=np.uint32)
         pairs, links = np.unique(np.frombuffer(b"".join([r[4] for r in self.found]), dtype=np.int64), return_inverse=True)
-        runs = [at for _, _, at, _ in self.rows]
-        each = np.repeat([w for _, w, _, _ in self.rows], [len(at) for at in runs])
+        runs = [at for _, _, at, _ in rows]
+        each = np.repeat([w for _, w, _, _ in rows], [len(at) for at in runs])
         weighed = np.bincount(np.concatenate(runs), weights=each, minlength=len(sizes))
         counts = np.bincount(links, weights=np.repeat(weighed, sizes)).astype(np.int64)
         facts = {c: np.array([r[i] for r in self.found], dtype=np.int64) for i, c in enumerate(COUNTS[:3])}
         facts["n_links"] = sizes.astype(np.int64)
         columns = {
             "chunk": [chunk],
-            "keys": pa.array([[k for k, _, _, _ in self.rows]], pa.list_(pa.binary())),
+            "keys": pa.array([[k for k, _, _, _ in rows]], pa.list_(pa.binary())),
             **{c: pa.array([[int(v[at].sum()) for at in runs]], pa.list_(pa.int64())) for c, v in facts.items()},
-            "groups": [[g for _, _, _, g in self.rows]],
+            "groups": [[g for _, _, _, g in rows]],
             "runs": pa.array([[packed(at) for at in runs]], pa.list_(pa.binary())),
             "sizes": [packed(sizes)],
             "links": [packed(links)],
             "pairs": pa.ListArray.from_arrays([0, len(pairs)], pa.StructArray.from_arrays([pairs, counts], ["pair", "n"])),
         }
-        return pa.RecordBatch.from_pydict(columns)
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def text_key(text: Column) -> Column:
@@ -242,10 +264,9 @@ def aligned_chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int =
             for key, text, weight in zip(part.column("key").to_pylist(), texts, part.column("weight").to_pylist()):
                 chunk.add(key, text, weight)
                 if chunk.bytes >= chunk_bytes:
-                    yield chunk.batch(at)
+                    yield from chunk.batch(at)
                     chunk, at = _Chunk(known), at + 1
-        if chunk.rows:
-            yield chunk.batch(at)
+        yield from chunk.batch(at)
 
     distinct = docs.filter(F.length("text") > 0).groupBy("text").agg(F.count("*").alias("weight"))
     return distinct.select(text_key(F.col("text")).alias("key"), "text", "weight").mapInArrow(run, CHUNK)
