@@ -253,6 +253,11 @@ def refresh_silver(
         "ranking_movimentacao": rankings.flow_ranking(daily, registry, days),
         "datas_informacao_diaria": rankings.available_dates(daily),
     }
+    return store_silver(frames, folder)
+
+
+def store_silver(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Replace derived tables under ``folder``, rankings in rank order; returns their paths."""
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in frames}
     for name, frame in frames.items():
         conformed = columns.conform(parquet.stamped(frame), schemas.TABLES[name])

@@ -48,8 +48,17 @@ def manager_aum_ranking(
     """
     if dedupe_registry:
         registry = latest_registration(registry)
+    return rank_managers(vehicle_assets(daily), registry)
+
+
+def vehicle_assets(daily: DataFrame) -> DataFrame:
+    """Each class fund's latest date with positive assets, and its assets then."""
     funds = filters.positive(filters.class_funds(daily), "vl_patrim_liq")
-    assets = aggregates.total_at_latest_date(funds, "vl_patrim_liq")
+    return aggregates.total_at_latest_date(funds, "vl_patrim_liq")
+
+
+def rank_managers(assets: DataFrame, registry: DataFrame) -> DataFrame:
+    """Managers by the net assets of their vehicles."""
     managers = (
         filters.named_manager(registry)
         .groupBy(F.col("cnpj_fundo").alias("cnpj_fundo_classe"), "cpf_cnpj_gestor", "gestor")
@@ -83,7 +92,7 @@ def flow_sums(daily: DataFrame) -> DataFrame:
     )
 
 
-def _named_flows(flows: DataFrame, registry: DataFrame) -> DataFrame:
+def _with_names(flows: DataFrame, registry: DataFrame) -> DataFrame:
     """Left join with the registry names; a name registered n times counts n times."""
     names = registry.groupBy(
         F.col("cnpj_fundo").alias("cnpj_fundo_classe"), "denominacao_social"
@@ -100,16 +109,28 @@ def recent_flows(daily: DataFrame, registry: DataFrame, days: int = 31) -> DataF
 
     Tables bucketed by tax id are grouped and joined where they lie.
     """
-    recent = filters.any_flow(filters.last_days(daily, days))
-    flows = flow_sums(recent).filter(F.col("fluxo_liquido") != 0)
-    return _named_flows(flows, registry).withColumn(
+    return named_flows(fund_flows(filters.last_days(daily, days)), registry)
+
+
+def fund_flows(daily: DataFrame) -> DataFrame:
+    """Fund days with a net flow."""
+    return flow_sums(filters.any_flow(daily)).filter(F.col("fluxo_liquido") != 0)
+
+
+def named_flows(flows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Fund days with the registry's names and the flow's share of all assets."""
+    return _with_names(flows, registry).withColumn(
         "percentual_fluxo_liquido", percent_of(F.col("fluxo_liquido"), F.col("vl_total"))
     )
 
 
 def flow_ranking(daily: DataFrame, registry: DataFrame, days: int = 31) -> DataFrame:
     """Fund days of the last ``days`` days by net flow, days without net flow left out."""
-    named = recent_flows(daily, registry, days)
+    return rank_flows(recent_flows(daily, registry, days))
+
+
+def rank_flows(named: DataFrame) -> DataFrame:
+    """Named fund days by net flow."""
     order = [
         F.col("fluxo_liquido").desc(), F.col("cnpj_fundo_classe"), F.col("tp_fundo_classe"),
         F.col("dt_comptc"), F.col("denominacao_social").asc_nulls_last(),
@@ -126,7 +147,7 @@ def flow_ranking_period(daily: DataFrame, registry: DataFrame, period: str = "31
         F.sum("captc_dia").alias("total_aportes"),
         F.sum(F.col("captc_dia") - F.col("resg_dia")).alias("fluxo_liquido"),
     )
-    named = _named_flows(per_vehicle.filter(F.col("fluxo_liquido") != 0), registry).drop("registros")
+    named = _with_names(per_vehicle.filter(F.col("fluxo_liquido") != 0), registry).drop("registros")
     order = [F.col("fluxo_liquido").desc(), *[F.col(k) for k in VEHICLE],
              F.col("denominacao_social").asc_nulls_last()]
     return global_rank(named, order).orderBy("ranking")

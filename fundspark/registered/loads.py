@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from fundspark import fixtures as fx
 from fundspark import landed, schemas
 from fundspark.operators import columns, filters, keys, sketches
-from fundspark.plans import loaders, portfolio, quotes, rankings, returns
+from fundspark.plans import loaders, portfolio, quotes, rankings, returns, silver
 from fundspark.registered.base import doubles, register
-from fundspark.registered.operators import upsert_frames
+from fundspark.registered.operators import OVERLAP, upsert_frames
 from fundspark.session import scratch_path
 from fundspark.sinks import bucketed, counters, parquet, views
 from fundspark.sources import archives, delimited, fixed_width
@@ -343,6 +343,21 @@ def _(spark, sf):
         "vl_total", "total_resgates", "total_aportes", "fluxo_liquido", "percentual_fluxo_liquido"])
 
 
+@register("silver_refresh_incremental")
+def _(spark, sf):
+    """The flow ranking after a first load with wrong amounts on some days and a second that corrects them
+    and brings the later days."""
+    table, folder = scratch_path(spark, "informacao_diaria"), scratch_path(spark, "prata")
+    old, new = upsert_frames(spark, sf)
+    wrong = F.when(F.col("dt_comptc") >= OVERLAP, F.col("captc_dia") + 1).otherwise(F.col("captc_dia")).cast("decimal(17,2)")
+    for loaded in (old.withColumn("captc_dia", wrong), new):
+        parquet.upsert_table(spark, table, loaded, schemas.DAILY_KEYS, month_of="dt_comptc")
+        stored = spark.read.parquet(table)
+        paths = silver.refresh_silver_changed(spark, stored, fx.registry(spark, sf), folder, loaded.select(*schemas.DAILY_KEYS))
+    ranking = doubles(spark.read.parquet(paths["ranking_movimentacao"]).drop("dt_criacao"))
+    return columns.serve(ranking, zero=rankings.FLOW_AMOUNTS)
+
+
 def _stored_page(spark: SparkSession, sf: str, period: str, number: int, size: int) -> DataFrame:
     paths = loaders.refresh_silver(fx.daily(spark, sf), fx.registry(spark, sf), scratch_path(spark, "prata"))
     stored = spark.read.parquet(paths["ranking_movimentacao"])

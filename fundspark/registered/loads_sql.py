@@ -151,6 +151,7 @@ ORACLE["upsert_registry_bucketed"] = sql(
 UNION ALL SELECT * REPLACE (id_registro_fundo + 900000000 AS id_registro_fundo) FROM fx_registry WHERE id_registro_fundo % 40 = 0"""
 )
 ORACLE["bucketed_flow_join"] = REPORTS["flow_ranking"]
+ORACLE["silver_refresh_incremental"] = ORACLE["silver_flow_ranking"]
 _MONTHS = "(SELECT CAST(dt_comptc + to_months(CAST(nr_cotst % 3 AS INTEGER)) AS DATE) AS d FROM fx_daily)"
 ORACLE["stored_latest_date"] = sql(f"SELECT MAX(d) AS ultima_data FROM {_MONTHS}")
 ORACLE["stored_month_ranges"] = sql(

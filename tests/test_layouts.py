@@ -96,3 +96,25 @@ def test_loads_count_without_a_job_of_their_own(spark, sf_dir):
     table = loaders.load_daily(spark, folder, scratch_path(spark, "t"), counters=seen)
     assert seen.get() == {"lidas": 2 * fx.daily(spark, sf_dir).count() + fx.daily(spark, sf_dir).filter("id_subclasse = 'NA'").count(),
                           "gravadas": table.count()}
+
+
+def test_incremental_silver_equals_a_full_refresh(spark, sf_dir, tmp_path):
+    from fundspark import schemas
+    from fundspark.plans.silver import refresh_silver_changed
+    from fundspark.sinks import parquet
+
+    table, registry = str(tmp_path / "t"), fx.registry(spark, sf_dir)
+    daily = fx.daily(spark, sf_dir).filter("cnpj_fundo_classe < '00000000000030'")
+    later = daily.withColumn("dt_comptc", F.date_add("dt_comptc", 40))
+    emptied = later.withColumns({c: F.lit(None).cast("decimal(17,2)") for c in ("captc_dia", "resg_dia", "vl_patrim_liq")})
+    some = daily.filter("dt_comptc < '2024-01-10'").withColumn("vl_patrim_liq", F.lit(5).cast("decimal(17,2)"))
+    loads = [daily.filter("dt_comptc < '2024-01-20'"), daily, some, later, emptied, daily.limit(0)]
+    paths = {}
+    for loaded in loads:
+        parquet.upsert_table(spark, table, loaded, schemas.DAILY_KEYS, month_of="dt_comptc")
+        stored = spark.read.parquet(table)
+        paths = refresh_silver_changed(spark, stored, registry, str(tmp_path / "a"), loaded.select(*schemas.DAILY_KEYS))
+        full = loaders.refresh_silver(stored, registry, str(tmp_path / "b"))
+        for name, path in full.items():
+            ours, theirs = (sorted(map(str, spark.read.parquet(p).drop("dt_criacao").collect())) for p in (paths[name], path))
+            assert ours == theirs, name
