@@ -72,7 +72,8 @@ def portfolio_composition(
     columns, so that previous value and rank do not vary.
     """
     rows = one_of(one_of(unified, "cnpj_fundo_classe", ids), "tp_fundo_classe", types)
-    ties = [F.col(c).asc_nulls_last() for c in ("tp_aplic", "tp_ativo", *rows.columns)]
+    named = [c for c in rows.columns if c not in (*ASSET, "dt_comptc", "tp_aplic", "tp_ativo")]
+    ties = [F.col(c).asc_nulls_last() for c in ("tp_aplic", "tp_ativo", *named)]
     rows = lag_in_group(
         rows,
         ASSET,
