@@ -13,19 +13,17 @@ RADIUS = 3
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards along the curve of language, source and length (law ``rows``)."""
+    """All documents, with their texts, in eight shards along the curve of language, source and length
+    (law ``rows``); digests of what lies in each place."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     docs = documents(spark, sf_dir).select(
-        "doc_id",
-        "lang",
-        "source",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
+        "doc_id", "lang", "source", "text", (F.octet_length(text) + 1).cast("long").alias("bytes"), F.crc32(text).alias("_tie")
     )
-    sharded = sharding.hilbert_shards(docs, ["lang", "source", "size"], ["doc_id", "text_crc32"], SHARDS)
+    sharded = sharding.hilbert_shards(docs, ["lang", "source", "bytes"], ["doc_id", "_tie"], SHARDS)
     return sharded.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "curve_index", "lang", "source",
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "curve_index", "lang", "source",
     )
 
 

@@ -8,39 +8,65 @@ that file statistics prune on any of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundspark.llm.common import POSITION, positioned
+from fundspark.llm.common import POSITION, positioned, stage
 
 ACCURACY = 1_000_000
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A column as a number in the same order; strings by their first six bytes."""
-    if dict(df.dtypes)[name] != "string":
-        return F.col(name).cast("double")
-    lead = F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 6)), 12, "0")
-    return F.conv(lead, 16, 10).cast("double")
+def text_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
+    """The cut points of a string column: of whole values in code-point order, those at which the rows
+    so far reach a further multiple of 2**-bits of all, once for each; fewer than 2**bits.
+
+    Only distinct values with their counts are sorted, in ranges.
+    """
+    counts = stage(df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")), "values")
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    placed = stage(
+        counts.repartitionByRange("value").sortWithinPartitions("value").withColumns(
+            {"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}
+        ),
+        "placed",
+    )
+    # One row per range: the only window without a key.
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = placed.groupBy("part").agg(F.sum("n").alias("rows")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("within", F.sum("n").over(within)).join(F.broadcast(ranges), "part")
+    # In whole numbers: the multiples reached with this value and without it.
+    cells, to = 1 << bits, F.col("before") + F.col("within")
+    reached = F.least(F.floor(to * cells / F.lit(total)), F.lit(cells - 1))
+    new = (reached - F.floor((to - F.col("n")) * cells / F.lit(total))).alias("times")
+    return sorted(value for value, n in summed.select("value", new).filter("times > 0").collect() for _ in range(n))
+
+
+def _below(points: Column, value: Column) -> Column:
+    return F.size(F.filter(points, lambda x: x < value))
 
 
 def quantised(df: DataFrame, dimensions: list[str], bits: int) -> dict[str, Column]:
     """For each dimension the number of its cut points that lie below the value.
 
-    Cut points are the distinct quantiles at multiples of 2**-bits, at most 2**bits - 1
-    numbers a dimension. NULL and NaN are cell 0.
+    Cut points are the quantiles at multiples of 2**-bits, at most 2**bits - 1 values a
+    dimension; one that many rows share counts as often as it occurs, so that a dimension of few
+    values reaches over all cells, too. Strings are compared as a whole. NULL and NaN are cell 0.
     """
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = {name: as_number(df, name) for name in dimensions}
-    usable = {n: F.when(~F.isnan(c), c) for n, c in numbers.items()}
-    found = df.agg(
-        *[F.percentile_approx(c, shares, ACCURACY).alias(n) for n, c in usable.items()]
-    ).first()
+    shares, kinds = [i / (1 << bits) for i in range(1, 1 << bits)], dict(df.dtypes)
+    texts = {n: F.col(n) for n in dimensions if kinds[n] == "string"}
+    numbers = {n: F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in dimensions if n not in texts}
+    cuts: dict[str, list] = {n: text_cuts(df, n, bits) for n in texts}
+    if numbers:
+        found = df.agg(*[F.percentile_approx(c, shares, ACCURACY).alias(n) for n, c in numbers.items()]).first()
+        cuts |= {n: [float(x) for x in sorted(found[n] or [])] for n in numbers}
     cells = {}
-    for name, number in usable.items():
-        cuts = F.array(*[F.lit(float(x)) for x in sorted(set(found[name] or []))]).cast("array<double>")
-        below = F.size(F.filter(cuts, lambda x: x < number))
-        cells[name] = F.coalesce(F.when(number.isNotNull(), below), F.lit(0)).cast("long")
+    for name in dimensions:
+        value = texts[name] if name in texts else numbers[name]
+        points = F.array(*map(F.lit, cuts[name])).cast(f"array<{'string' if name in texts else 'double'}>")
+        cells[name] = F.coalesce(F.when(value.isNotNull(), _below(points, value)), F.lit(0)).cast("long")
     return cells
 
 
@@ -116,3 +142,12 @@ def hilbert_shards(
     shard = F.when(at < border, F.floor(at / (short + 1))).otherwise(rest).cast("int")
     first = F.col("shard") * short + F.least(F.col("shard"), F.lit(longer))
     return placed.withColumn("shard", shard).withColumn("slot", at - first).drop(POSITION)
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Store each shard as a folder of Parquet files in slot order.
+
+    A file is a run along the curve, so that its statistics are narrow in every dimension and
+    filters on any of them skip files. Rows are written by the tasks that read them.
+    """
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

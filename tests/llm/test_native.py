@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,6 +164,64 @@ def test_shards_are_even_runs(spark):
     assert in_order == sorted(in_order)
 
 
+def test_strings_are_quantised_as_a_whole(spark):
+    """Sources that share a long beginning fall into different cells, by their rows."""
+    draw = random.Random(3)
+    names = [f"https://example.org/archive/{i:03d}" for i in range(40)]
+    values = [draw.choice(names[: 1 + i % 40]) for i in range(900)] + [None] * 20 + [""] * 5
+    df = spark.createDataFrame([(v, float(i % 7)) for i, v in enumerate(values)], "source string, x double").repartition(5)
+    for bits in (1, 3, 6):
+        cells = sharding.quantised(df, ["source", "x"], bits)
+        found = {r.source: r.cell for r in df.select("source", cells["source"].alias("cell")).distinct().collect()}
+        known = sorted(v for v in values if v is not None)
+        # Exact quantiles of the sorted values at multiples of 2**-bits.
+        cuts = [known[-(-len(known) * i // (1 << bits)) - 1] for i in range(1, 1 << bits)]
+        assert found == {v: 0 if v is None else sum(c < v for c in cuts) for v in set(values)}
+        assert bits < 6 or len(set(found.values())) > 15
+    assert sharding.text_cuts(df.filter("source IS NULL"), "source", 3) == []
+
+
+def test_indexes_equal_brute_force(spark):
+    """The query's cells and curve indexes, from exact quantiles and a recursive curve."""
+    docs = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    found = {r.doc_id: r for r in QUERIES["op2_hilbert_shards"](spark, SMALL).collect()}
+    bits, columns = 6, {"lang": {}, "source": {}, "bytes": {}}
+    for r in docs:
+        columns["lang"][r.doc_id], columns["source"][r.doc_id] = r.lang, r.source
+        columns["bytes"][r.doc_id] = len((r.text or "").encode()) + 1
+    cell = defaultdict(list)
+    for values in columns.values():
+        known = sorted(v for v in values.values() if v is not None)
+        cuts = [known[-(-len(known) * i // (1 << bits)) - 1] for i in range(1, 1 << bits)]
+        for key, v in values.items():
+            cell[key].append(0 if v is None else sum(c < v for c in cuts))
+    by_index = {}
+    for key, cells in cell.items():
+        assert by_index.setdefault(found[key].curve_index, cells) == cells  # one cell for each index
+    assert len({tuple(c) for c in cell.values()}) == len(by_index)
+
+
+def test_filters_skip_files_of_written_shards(make, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(i, words(i, 20), ("en", "de", "fr", "es")[i % 4], f"https://example.org/{i * 7919 % 50:03d}", i) for i in range(3000)]
+    docs = make(rows, parts=8).withColumn("size", F.length("text"))
+    sharded = sharding.hilbert_shards(docs, ["lang", "source", "size"], ["doc_id"], 16)
+    sharding.write_shards(sharded, str(tmp_path / "shards"))
+    back = docs.sparkSession.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 3000 and back.select("doc_id").distinct().count() == 3000
+    files, read = list((tmp_path / "shards").rglob("*.parquet")), defaultdict(int)
+    wanted = {"lang": sorted({r[2] for r in rows}), "source": sorted({r[3] for r in rows})}
+    for file in files:
+        meta = pq.read_metadata(file)
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for column, values in wanted.items():
+            stats = meta.row_group(0).column(names.index(column)).statistics
+            read[column] += sum(stats.min <= v <= stats.max for v in values)
+    # Of all (file, value) pairs; in any other order nearly all files would have to be read.
+    assert len(files) >= 16 and all(read[c] < 0.7 * len(files) * len(v) for c, v in wanted.items())
+
+
 # --- quality rules
 
 
