@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _id(column: Column | str) -> Column:
-    return F.lpad(F.col(column).cast("string") if isinstance(column, str) else column, 14, "0")
+    return F.lpad((F.col(column) if isinstance(column, str) else column).cast("string"), 14, "0")
 
 
 def _fund_type(number: Column) -> Column:
@@ -50,6 +50,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+UNKNOWN_OFFSET = 500000000
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
@@ -57,8 +60,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     running = "Em Funcionamento Normal"
     manager = F.lpad(nation.cast("string"), 11, "0")
-    first = named.filter(F.col("c_acctbal") >= 0).select(
-        key.alias("id_registro_fundo"), _id("c_custkey").alias("cnpj_fundo"),
+    # Customers in debt are registered under tax ids that no daily row has.
+    tax_id = F.when(F.col("c_acctbal") < 0, key + UNKNOWN_OFFSET).otherwise(key)
+    first = named.select(
+        key.alias("id_registro_fundo"), _id(tax_id).alias("cnpj_fundo"),
         F.col("c_name").alias("denominacao_social"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Cancelado").otherwise(running).alias("situacao"),
         F.when(nation % 8 != 0, manager).alias("cpf_cnpj_gestor"),

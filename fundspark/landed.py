@@ -233,7 +233,8 @@ def registry_files(spark: SparkSession, sf: str) -> tuple[str, str, str]:
     customers = fx.table(spark, sf, "customer")
     classes = customers.select(
         (F.col("c_custkey") + CLASS_OFFSET).alias("ID_Registro_Classe"),
-        F.col("c_custkey").alias("ID_Registro_Fundo"),
+        # Classes of customers in debt name a fund that is not registered.
+        F.when(F.col("c_acctbal") < 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("ID_Registro_Fundo"),
         _tax_id("c_custkey").alias("CNPJ_Classe"),
         F.col("c_name").alias("Denominacao_Social"),
         F.lit("CDI").alias("Indicador_Desempenho"),

@@ -20,10 +20,11 @@ SELECT lpad(CAST(user_id AS VARCHAR), 14, '0') AS cnpj_fundo_classe, CAST(ts AS
   CAST(SUM(CAST(value AS DECIMAL(17,2))) AS DECIMAL(17,2)) AS vl_total
 FROM events GROUP BY 1, 2, 3, 4""",
     "fx_registry": """
-SELECT c_custkey AS id_registro_fundo, lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS cnpj_fundo, c_name AS denominacao_social,
+SELECT c_custkey AS id_registro_fundo,
+  lpad(CAST(CASE WHEN c_acctbal < 0 THEN c_custkey + 500000000 ELSE c_custkey END AS VARCHAR), 14, '0') AS cnpj_fundo, c_name AS denominacao_social,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'Cancelado' ELSE 'Em Funcionamento Normal' END AS situacao,
   CASE WHEN c_nationkey % 8 = 0 THEN NULL ELSE lpad(CAST(c_nationkey AS VARCHAR), 11, '0') END AS cpf_cnpj_gestor, n_name AS gestor
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL
 SELECT c_custkey + 100000000, lpad(CAST(c_custkey AS VARCHAR), 14, '0'), concat(c_name, ' B'), 'Em Funcionamento Normal',
   lpad(CAST(c_nationkey AS VARCHAR), 11, '0'), n_name
