@@ -26,6 +26,8 @@ CAPACITY = 2048
 END_OF_TEXT = 0
 #: Pieces dealt to a partition.
 PARTITION_PIECES = 20_000
+#: Pieces that are widened at once.
+WIDENED_ROWS = 500
 ROUNDS = 5
 _STOPS = frozenset(".,;:!?")
 _OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and i != 32]
@@ -45,7 +47,7 @@ class ByteTokens(dict):
     Keyed by the run without its space, and kept for runs seen before.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 800_000
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -160,13 +162,15 @@ def widened(items: DataFrame) -> DataFrame:
     names = items.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [
-                np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() if x is not None and len(x) == 2 * n else x
-                for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
-            ]
-            columns = [pa.array(ids, pa.binary()) if c == "ids" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, WIDENED_ROWS):
+                batch = whole.slice(at, WIDENED_ROWS)
+                ids = [
+                    np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() if x is not None and len(x) == 2 * n else x
+                    for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
+                ]
+                columns = [pa.array(ids, pa.binary()) if c == "ids" else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return items.mapInArrow(run, items.schema)
 
