@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fundspark import fixtures as fx
 from fundspark.functions.text import format_tax_id
 from fundspark.schemas import BLOCKS, REGISTRATION, REGISTRATION_CHARS
-from fundspark.session import frozen, scratch_path
+from fundspark.session import scratch_path
 from fundspark.sources.delimited import ENCODING, SEPARATOR
 from fundspark.sources.stores import files_below, located
 
@@ -260,9 +260,13 @@ def registry_files(spark: SparkSession, sf: str) -> tuple[str, str, str]:
 
 @_once
 def portfolio_folder(spark: SparkSession, sf: str) -> str:
-    """One file per block; the fund block uses the older column names."""
-    folder = scratch_path(spark, "composicao-carteira")
-    positions = frozen(fx.portfolio(spark, sf))
+    """One file per block; the fund block uses the older column names.
+
+    The positions are staged once, by block, so that each file reads its own rows only."""
+    folder, kept = scratch_path(spark, "composicao-carteira"), scratch_path(spark, "posicoes")
+    positions = fx.portfolio(spark, sf)
+    positions.write.partitionBy("tipo").parquet(kept)
+    positions = spark.read.schema(positions.schema).parquet(kept)
     for block, (_, code, isin, _) in BLOCKS.items():
         rows = positions.filter(F.col("tipo") == block)
         columns = [

@@ -209,7 +209,8 @@ def load_portfolio(
 
     ``table`` is partitioned by origin and by the month of ``dt_comptc``, by which the date
     filters prune; the partitions that occur in the files are replaced, others stay.
-    Missing input fails before that.
+    Missing input fails before that. Rows are dealt to the partitions with the columns that the
+    files have; those of the other blocks, which are NULL, join them when they are written.
     """
     files = portfolio_files(spark, folder)
     month_by_path = {f.path: f.month for f in files}
@@ -224,14 +225,17 @@ def load_portfolio(
                 FILE_MONTH: F.regexp_extract("_file", BLOCK_MONTH, 1),
             }
         )
-        frames.append(rows.drop("_file"))
-    positions = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    positions = columns.conform(positions, positions_schema())
+        held = {*raw.columns, "dt_comptc", "origem_tabela", FILE_MONTH} - {"_file"}
+        frames.append(rows.select(*[c for c in rows.columns if c in held]))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if table is None:
-        return positions
-    positions = parquet.with_month(positions)
-    parquet.refresh_partitions(positions, table, ["origem_tabela", parquet.MONTH])
-    return stored(spark, table, positions)
+        return columns.conform(rows, positions_schema())
+    like = parquet.with_month(columns.conform(rows, positions_schema()))
+    dealt = parquet.dealt(parquet.with_month(rows), ["origem_tabela", parquet.MONTH])
+    parquet.refresh_partitions(
+        columns.conform(dealt, like.schema), table, ["origem_tabela", parquet.MONTH], balance=False
+    )
+    return stored(spark, table, like)
 
 
 # Derived tables -------------------------------------------------------------

@@ -14,12 +14,26 @@ from fundspark.operators.keys import merge_upsert, require_keys
 from fundspark.session import remove, scratch_path
 from fundspark.sources.tables import OLD, file_system, path_has_data
 
+#: The folder of a partition whose value is NULL.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 
 def balanced(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Size the output files: small partitions are merged, a hot one is split."""
     return df.hint("rebalance", *partition_by)
 
 
+def dealt(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """``df`` as a table partitioned by these text columns wants it: balanced, and in each task sorted
+    by them. Columns added behind it are then written without being shuffled or sorted.
+
+    NULL takes the name of its folder, with which a column that is never NULL keeps its order
+    while it is written; the table has the same folders.
+    """
+    named = {c: F.coalesce(F.col(c), F.lit(NO_VALUE)) for c in partition_by}
+    return balanced(df.withColumns(named), partition_by).sortWithinPartitions(*partition_by)
+
+
 def refresh(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), balance: bool = True
 ) -> None:

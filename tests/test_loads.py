@@ -8,6 +8,7 @@ import pytest
 
 from fundspark import landed, schemas
 from fundspark.plans import landing, loaders, quotes
+from fundspark.sinks import parquet
 from fundspark.sources import delimited, fixed_width
 from fundspark.sources.files import daily_files, month_start, portfolio_files
 from fundspark.streaming import incremental, logs
@@ -340,3 +341,29 @@ def test_unzipped_files_can_be_loaded(spark, rows, tmp_path):
     ]
     note = next((tmp_path / "landed" / "d202503.zip" / "b" / "note.csv").glob("*.csv"))
     assert note.read_bytes().decode("latin-1").strip() == "ação"
+
+
+def test_positions_are_shuffled_and_sorted_without_the_other_blocks_columns(spark, sf_dir, tmp_path, monkeypatch):
+    """Only what the files hold is dealt to the partitions and sorted, once; the table has all columns."""
+    seen = []
+
+    def keep(df, path, partition_by, balance=True, real=parquet.refresh_partitions):
+        seen.append((df, balance))
+        real(df, path, partition_by, balance)
+
+    monkeypatch.setattr(parquet, "refresh_partitions", keep)
+    table = str(tmp_path / "posicoes")
+    loaded = loaders.load_portfolio(spark, landed.portfolio_folder(spark, sf_dir), table)
+    (written, balance), = seen
+    plan = written._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Sort":
+        plan = plan.children().head()
+    assert plan.output().size() < 30 < len(written.columns) and not balance
+    assert set(loaded.columns) == {*loaders.positions_schema().fieldNames(), parquet.MONTH}
+
+
+def test_a_dealt_null_lands_in_its_folder(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, ym string")
+    parquet.refresh_partitions(parquet.dealt(df, ["ym"]), str(tmp_path / "t"), ["ym"], balance=False)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a"), (2, None)]
+    assert (tmp_path / "t" / "ym=__HIVE_DEFAULT_PARTITION__").is_dir()
