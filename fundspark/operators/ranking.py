@@ -4,6 +4,9 @@ There is one plan for every size. Rows are range-partitioned on the full sort ke
 once as Parquet, so that a global rank is "rows in earlier partitions + row position", and a
 group is ranked or lagged piece by piece with the pieces stitched together. Building such a
 frame runs a fixed number of jobs. A rank that follows a lag takes over its row numbers.
+
+Where groups are known to be small (``has_large_group``), one window each does the same with one
+shuffle each (``lag_of_small_groups``, ``rank_of_small_groups``).
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from fundspark.session import staged
 
 # monotonically_increasing_id keeps the row position in its lower 33 bits.
 POSITION_BITS = 33
+#: Rows of a group that one task may sort; larger groups are lagged and ranked piece by piece.
+GROUP_ROWS = 1 << 20
+#: Groups are counted by so many bins of their hash.
+GROUP_BINS = 1 << 16
 
 
 def placed_rows(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
@@ -159,3 +166,40 @@ def lag_in_group(
         ],
         *([F.col("_pos").alias(number)] if number else []),
     )
+
+
+def has_large_group(df: DataFrame, *groupings: Sequence[str]) -> bool:
+    """Whether a group by any of the groupings may have more than ``GROUP_ROWS`` rows.
+
+    One pass over the key columns; only counts of hash bins are shuffled. A bin holds several
+    groups, so that small ones may count as large, but never a large one as small.
+    """
+    bins = [
+        F.struct(F.lit(i).alias("of"), F.pmod(F.xxhash64(*keys), F.lit(GROUP_BINS)).alias("bin"))
+        for i, keys in enumerate(groupings)
+    ]
+    counts = df.select(F.explode(F.array(*bins)).alias("_bin")).groupBy("_bin").count()
+    return not counts.filter(F.col("count") > GROUP_ROWS).isEmpty()
+
+
+def lag_of_small_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], lags: Mapping[str, str], number: str
+) -> DataFrame:
+    """:func:`lag_in_group` for groups that a task can sort; ``number`` is the row's place in its group."""
+    # Sorted by their hash first: a number is compared faster than texts with long common beginnings.
+    within = W.partitionBy("_hash", *keys).orderBy(*order)
+    return df.repartition(*keys).withColumn("_hash", F.xxhash64(*keys)).select(
+        *df.columns,
+        *[F.lag(src).over(within).alias(new) for new, src in lags.items()],
+        F.row_number().over(within).cast("bigint").alias(number),
+    )
+
+
+def rank_of_small_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
+) -> DataFrame:
+    """``row_number`` of groups that a task can sort; the result is sorted by keys and rank.
+
+    The range partitions that sort it hold whole groups, so that nothing else is shuffled."""
+    within = W.partitionBy(*keys).orderBy(*order)
+    return df.repartitionByRange(*keys).withColumn(name, F.row_number().over(within).cast("bigint"))

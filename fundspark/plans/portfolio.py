@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from fundspark.functions.numbers import percent_change
 from fundspark.operators.columns import serve
 from fundspark.operators.filters import date_range_or_latest, one_of
-from fundspark.operators.ranking import lag_in_group, rank_in_group
+from fundspark.operators.ranking import (
+    has_large_group, lag_in_group, lag_of_small_groups, rank_in_group, rank_of_small_groups,
+)
 from fundspark.plans.returns import quota_series
 from fundspark.schemas import BLOCKS
+from fundspark.session import staged
 
 UNIFIED = [
     "cnpj_fundo_classe", "dt_comptc", "tp_fundo_classe", "tp_aplic", "tp_ativo",
@@ -64,38 +67,47 @@ def portfolio_composition(
     ids: Sequence[str] | DataFrame | None = None,
     types: Sequence[str] | DataFrame | None = None,
     served: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """Positions with previous value and date, percent change and rank in the portfolio.
 
     The serving shape turns a change of exactly 0 % into NULL; ``served=False``
     keeps it and the decimals. Rows that tie in date or value are ordered by all their
-    columns, so that previous value and rank do not vary.
+    columns, so that previous value and rank do not vary. Rows are staged, as they are read
+    twice, unless they come from a ``stored`` table.
     """
     rows = one_of(one_of(unified, "cnpj_fundo_classe", ids), "tp_fundo_classe", types)
+    rows = rows if stored else staged(rows, "positions")
     named = [c for c in rows.columns if c not in (*ASSET, "dt_comptc", "tp_aplic", "tp_ativo")]
     ties = [F.col(c).asc_nulls_last() for c in ("tp_aplic", "tp_ativo", *named)]
-    rows = lag_in_group(
-        rows,
-        ASSET,
-        [F.col("dt_comptc").asc_nulls_last(), *ties],
-        {"vl_merc_pos_final_anterior": "vl_merc_pos_final", "dt_comptc_anterior": "dt_comptc"},
-        number="_lugar",
-    )
+    by_date = [F.col("dt_comptc").asc_nulls_last(), *ties]
+    before = {"vl_merc_pos_final_anterior": "vl_merc_pos_final", "dt_comptc_anterior": "dt_comptc"}
+    by_value = [
+        F.col("vl_merc_pos_final").desc_nulls_first(),
+        F.col("origem_tabela"),
+        F.col("codigo_ativo").asc_nulls_last(),
+        *ties[:2],
+    ]
     change = percent_change(F.col("vl_merc_pos_final"), F.col("vl_merc_pos_final_anterior"))
     # Newest first. The places by asset order equal values as their columns do.
-    rows = rank_in_group(
-        rows.withColumn("variacao_percentual", change),
-        PORTFOLIO_DATE,
-        [
-            F.col("vl_merc_pos_final").desc_nulls_first(),
-            F.col("origem_tabela"),
-            F.col("codigo_ativo").asc_nulls_last(),
-            *ties[:2],
-        ],
-        "ranking_posicao",
-        number="_lugar",
-        groups=[F.col("dt_comptc").desc_nulls_first(), *map(F.col, PORTFOLIO_DATE[:2])],
-    ).drop("_lugar")
+    if has_large_group(rows, ASSET, PORTFOLIO_DATE):
+        lagged = lag_in_group(rows, ASSET, by_date, before, number="_lugar")
+        ranked = rank_in_group(
+            lagged.withColumn("variacao_percentual", change),
+            PORTFOLIO_DATE,
+            by_value,
+            "ranking_posicao",
+            number="_lugar",
+            groups=[F.col("dt_comptc").desc_nulls_first(), *map(F.col, PORTFOLIO_DATE[:2])],
+        )
+    else:
+        lagged = lag_of_small_groups(rows, ASSET, by_date, before, number="_lugar")
+        # A number that falls with the date, so that its groups come newest first.
+        lagged = lagged.withColumns({"variacao_percentual": change, "_dia": -F.unix_date("dt_comptc")})
+        ranked = rank_of_small_groups(
+            lagged, ["_dia", *PORTFOLIO_DATE[:2]], [*by_value, F.col("_lugar")], "ranking_posicao"
+        )
+    rows = ranked.drop("_lugar", "_dia")
     if not served:
         return rows
     return serve(

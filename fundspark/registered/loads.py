@@ -259,7 +259,7 @@ def _(spark, sf):
 @register("stored_portfolio_composition")
 def _(spark, sf):
     stored = spark.read.parquet(_portfolio_table(spark, sf))
-    return portfolio.portfolio_composition(portfolio.unified_from_table(stored))
+    return portfolio.portfolio_composition(portfolio.unified_from_table(stored), stored=True)
 
 
 # Quotes --------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fundspark import fixtures as fx
 from fundspark import schemas
+from fundspark.operators import ranking
 from fundspark.plans import loaders, portfolio, rankings, returns, screening
 
 D1, D2, D3 = (dt.date(2024, 1, n) for n in (1, 2, 3))
@@ -214,3 +215,31 @@ def test_silver_tables_are_replaced(spark, sf_dir, tmp_path):
     assert stored.columns == schemas.FLOW_RANKING.fieldNames()
     page = rankings.flow_ranking_page(stored, "31_dias", 0, 10).collect()
     assert [r.ranking for r in page] == list(range(1, 11))
+
+
+def test_composition_of_small_groups_and_of_large_ones(spark, monkeypatch):
+    """Copies, ties and NULLs give the same rows in the same order by one window each and piece by piece."""
+    day = F.when(F.col("id") % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int")))
+    unified = spark.range(600).select(
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 2).cast("string")).alias("cnpj_fundo_classe"), day.alias("dt_comptc"),
+        F.lit("FI").alias("tp_fundo_classe"), F.lit("Ações").alias("tp_aplic"),
+        F.when(F.col("id") % 5 != 0, "O").alias("tp_ativo"), F.lit("Fundo").alias("denominacao_social"),
+        (F.col("id") % 4).cast("string").alias("codigo_ativo"), F.lit(None).cast("string").alias("cd_isin"),
+        F.when(F.col("id") % 13 != 0, F.col("id") % 6).cast("decimal(19,2)").alias("vl_merc_pos_final"),
+        F.lit(1).cast("decimal(21,6)").alias("qt_pos_final"), F.lit("SWAPS").alias("origem_tabela"),
+    )
+    pieces = []
+    monkeypatch.setattr(
+        portfolio, "lag_in_group", lambda *args, real=portfolio.lag_in_group, **more: pieces.append(1) or real(*args, **more)
+    )
+    small = portfolio.portfolio_composition(unified)
+    shuffles = str(small._jdf.queryExecution().optimizedPlan()).count("Repartition")
+    found = [tuple(r) for r in small.collect()]
+    assert shuffles == 2 and not pieces
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 20)
+    assert ranking.has_large_group(unified, portfolio.ASSET, portfolio.PORTFOLIO_DATE)
+    large = portfolio.portfolio_composition(unified)
+    assert [tuple(r) for r in large.collect()] == found and large.dtypes == small.dtypes
+    assert pieces
+    days = [r[1] for r in found]
+    assert days == sorted(days, key=lambda d: (d is not None, -d.toordinal() if d else 0))
