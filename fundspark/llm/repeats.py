@@ -39,8 +39,9 @@ WIDTH, SEED = 50, 20
 #: Bytes before an anchor that a string can begin with.
 BEFORE = WIDTH - SEED
 CHUNK_BYTES = 1 << 20
-#: Text bytes for each bucket of suffixes.
+#: Text bytes for each bucket of suffixes, and for each bucket of anchor hashes (some 11 MB of them).
 BUCKET_BYTES = 8 << 20
+KEY_BUCKET_BYTES = 32 << 20
 #: One of so many suffixes of a chunk goes into the sample for the splitters.
 SAMPLED = 64
 _RECORD = WIDTH + BEFORE + 2
@@ -110,8 +111,11 @@ class Chunk:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchor hashes (48 bits, ascending), each anchor's place among them, and
-        which of them occur in two documents of this chunk."""
-        keys, place = np.unique(self.hashes >> np.uint64(16), return_inverse=True)
+        which of them occur in two documents of this chunk.
+
+        Anchors have the lowest hash of some string, so that these crowd at the low end; mixed
+        once more they spread evenly, and so do their buckets."""
+        keys, place = np.unique(mixed(self.hashes) >> np.uint64(16), return_inverse=True)
         low = np.full(len(keys), _NO_ID)
         high = np.full(len(keys), -1)
         np.minimum.at(low, place, self.doc)
@@ -289,10 +293,15 @@ def _repeated_keys(chunks: DataFrame, buckets: int) -> DataFrame:
         }
 
     def compare(group: pa.Table) -> pa.Table:
-        held = [_from_six(k.as_py()) for k in group.column("keys")]
-        _, place, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        often = count[place] > 1
-        cuts = np.cumsum([len(h) for h in held])[:-1]
+        sent = [k.as_py() for k in group.column("keys")]
+        cuts = np.cumsum([len(k) // 6 for k in sent])[:-1]
+        held = _from_six(b"".join(sent))
+        order = np.argsort(held)
+        held = held[order]
+        same = held[1:] == held[:-1]
+        often = np.zeros(len(order), dtype=bool)
+        often[order[1:][same]] = True
+        often[order[:-1][same]] = True
         bits = [np.packbits(x).tobytes() for x in np.split(often, cuts)]
         return pa.table({
             "chunk": group.column("chunk"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary()),
@@ -436,16 +445,17 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     out = out.replace(f"`doc_id` {kinds['doc_id']}", "`doc_id` bigint")
     chunks = stage(_chunks(plain), "chunks")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    seen = stage(_repeated_keys(chunks.select("chunk", "blob"), buckets), "seen")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, key_buckets = (max(least, -(-total // size)) for size in (BUCKET_BYTES, KEY_BUCKET_BYTES))
+    seen = stage(_repeated_keys(chunks.select("chunk", "blob"), key_buckets), "seen")
     known = chunks.select("chunk", "blob").join(seen, "chunk", "left")
-    suffixes = stage(_all_suffixes(known, buckets), "suffixes")
+    suffixes = stage(_all_suffixes(known, key_buckets), "suffixes")
     masks = _masks(suffixes.drop("sample"), _splitters(suffixes, buckets))
     masks = stage(masks, "masks")
 
     def finish(row: dict) -> Iterator[dict]:
         chunk = Chunk(row["blob"].as_py())
-        suffixes = chunk.suffixes(_chosen(chunk, row["seen"].as_py(), buckets))
+        suffixes = chunk.suffixes(_chosen(chunk, row["seen"].as_py(), key_buckets))
         answers = b"".join(a["mask"] for a in row["masks"].as_py() or [])
         gone = covered(chunk, suffixes, np.frombuffer(answers, dtype=np.uint32))
         edges = np.diff(np.r_[False, gone, False].astype(np.int8))

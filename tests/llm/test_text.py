@@ -209,6 +209,31 @@ def test_removal_equals_brute_force(make):
     assert repeats.remove_repeats(make([])).count() == 0
 
 
+def test_buckets_of_anchor_hashes_are_even(make):
+    docs = make([(i, words(i, 3000)) for i in range(8)], parts=1).select("doc_id", "text")
+    (row,) = repeats._chunks(docs).collect()
+    keys, place, _ = repeats.Chunk(bytes(row.blob)).keys()
+    held = np.diff(repeats._in_buckets(keys, 16))
+    assert len(keys) > 5000 and held.sum() == len(keys) == place.max() + 1
+    assert held.max() < 1.5 * held.mean()
+
+
+def test_keys_of_other_chunks_are_found_in_every_bucket(make, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 2000)
+    rows = [(i, words(i % 6, 300)) for i in range(9)] + [(20, None), (21, "short")]
+    chunks = repeats._chunks(make(rows, parts=2).select("doc_id", "text")).collect()
+    keys = {r.chunk: repeats.Chunk(bytes(r.blob)).keys()[0] for r in chunks}
+    frame = make([(r.chunk, r.blob) for r in chunks], "chunk bigint, blob binary")
+    total = Counter(k for found in keys.values() for k in found.tolist())
+    for r in repeats._repeated_keys(frame, 7).collect():
+        cuts = repeats._in_buckets(keys[r.chunk], 7)
+        for bucket, bits in r.seen:
+            here = keys[r.chunk][cuts[bucket] : cuts[bucket + 1]]
+            often = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(here))
+            assert often.tolist() == [total[k] > 1 for k in here.tolist()]
+    assert len(chunks) > 5 and 0 < sum(n > 1 for n in total.values()) < len(total)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(min_size=9, max_size=9).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=40))
 def test_multikey_order_sorts_bytes(rows):
