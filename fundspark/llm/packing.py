@@ -89,7 +89,7 @@ _known: dict[str, ByteTokens] = {}
 
 
 def byte_tokens(path: str) -> ByteTokens:
-    """The tokenizer in a file, with what this worker has encoded so far."""
+    """The tokenizer in a file, with what this task has encoded so far."""
     if path not in _known:
         from tokenizers import Tokenizer
 
@@ -153,6 +153,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, narrow: bool
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids"]
             )
+        known.clear()  # the worker goes on to other tasks, also of other steps
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

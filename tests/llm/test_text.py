@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -275,6 +276,18 @@ def test_packing_of_all_documents(spark):
     assert len(places) <= -(-total // packing.CAPACITY) + 1
 
 
+def test_workers_keep_no_runs_when_a_task_ends(spark, make):
+    path = queries.tokenizer_path()
+    docs = make([(i, words(i, 50)) for i in range(20)], parts=4)
+    assert packing.tokenised(docs, path).count() == 20
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(packing.byte_tokens(path))], pa.int64())})
+
+    assert {r.n for r in spark.range(8, numPartitions=4).mapInArrow(held, "n bigint").collect()} == {0}
+
+
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "x\n\ny z\n", "don't 'tis it's.", "a b c", "1.5 a1 b-2; c: d!", "\n", "tab\tx y\r\n z", "日本 語。 x.", "<|endoftext|> a", "a.\nB c"])
 def test_tokens_by_runs_are_the_tokenizer_s(text):
     known = packing.byte_tokens(queries.tokenizer_path())
