@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fundspark import fixtures as fx
 from fundspark.functions.text import format_tax_id
 from fundspark.schemas import BLOCKS, REGISTRATION, REGISTRATION_CHARS
-from fundspark.session import scratch_path
+from fundspark.session import remove, scratch_path, shuffles_dropped
 from fundspark.sources.delimited import ENCODING, SEPARATOR
 from fundspark.sources.stores import files_below, located
 
@@ -48,7 +48,15 @@ def _once(write: Callable) -> Callable:
     return run
 
 
-def write_delimited(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a landed folder once it is loaded, unless folders are written once and loaded again."""
+    if not REUSE:
+        for key in [key for key, path in _written.items() if path == folder]:
+            del _written[key]
+        remove(spark, folder)
+
+
+def write_delimited(df: DataFrame, path: str, order: Sequence[str] = (), compression: str = "none") -> str:
     """Separated text with a header; ``order`` columns fix the line order and are dropped.
 
     Lines that tie in ``order`` are spread by their other columns."""
@@ -59,6 +67,7 @@ def write_delimited(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
         df.write.option("sep", SEPARATOR)
         .option("header", True)
         .option("encoding", ENCODING)
+        .option("compression", compression)
         .csv(path)
     )
     return path
@@ -260,12 +269,13 @@ def registry_files(spark: SparkSession, sf: str) -> tuple[str, str, str]:
 
 @_once
 def portfolio_folder(spark: SparkSession, sf: str) -> str:
-    """One file per block; the fund block uses the older column names.
+    """One file per block, in gzipped parts; the fund block uses the older column names.
 
-    The positions are staged once, by block, so that each file reads its own rows only."""
+    The positions are staged by block while the files are written, so that each reads its own rows only."""
     folder, kept = scratch_path(spark, "composicao-carteira"), scratch_path(spark, "posicoes")
     positions = fx.portfolio(spark, sf)
-    positions.write.partitionBy("tipo").parquet(kept)
+    with shuffles_dropped(spark):
+        positions.write.partitionBy("tipo").parquet(kept)
     positions = spark.read.schema(positions.schema).parquet(kept)
     for block, (_, code, isin, _) in BLOCKS.items():
         rows = positions.filter(F.col("tipo") == block)
@@ -282,7 +292,8 @@ def portfolio_folder(spark: SparkSession, sf: str) -> str:
         ]
         if isin:
             columns.append(F.concat(F.lit("BR"), "codigo_ativo").alias(isin.upper()))
-        write_delimited(rows.select(*columns), f"{folder}/cda_fi_BLC_{block}_202412.csv")
+        write_delimited(rows.select(*columns), f"{folder}/cda_fi_BLC_{block}_202412.csv", compression="gzip")
+    remove(spark, kept)
     return folder
 
 

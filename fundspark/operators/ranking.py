@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from fundspark.operators.keys import join_same_keys
-from fundspark.session import staged
+from fundspark.session import shuffles_dropped, staged
 
 # monotonically_increasing_id keeps the row position in its lower 33 bits.
 POSITION_BITS = 33
@@ -179,16 +179,29 @@ def has_large_group(df: DataFrame, *groupings: Sequence[str]) -> bool:
         for i, keys in enumerate(groupings)
     ]
     counts = df.select(F.explode(F.array(*bins)).alias("_bin")).groupBy("_bin").count()
-    return not counts.filter(F.col("count") > GROUP_ROWS).isEmpty()
+    with shuffles_dropped(df.sparkSession):
+        return not counts.filter(F.col("count") > GROUP_ROWS).isEmpty()
 
 
 def lag_of_small_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], lags: Mapping[str, str], number: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    lags: Mapping[str, str],
+    number: str,
+    together: Sequence[str] | None = None,
 ) -> DataFrame:
-    """:func:`lag_in_group` for groups that a task can sort; ``number`` is the row's place in its group."""
+    """:func:`lag_in_group` for groups that a task can sort; ``number`` is the row's place in its group.
+
+    Rows with the same ``together``, some of the keys, come out next to each other. A task must be able
+    to sort them, too; what they share takes little room in a shuffle that follows.
+    """
+    low = F.lit((1 << 32) - 1)
+    together = together or keys
     # Sorted by their hash first: a number is compared faster than texts with long common beginnings.
+    hashed = F.xxhash64(*together).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.xxhash64(*keys).bitwiseAND(low))
     within = W.partitionBy("_hash", *keys).orderBy(*order)
-    return df.repartition(*keys).withColumn("_hash", F.xxhash64(*keys)).select(
+    return df.repartition(*together).withColumn("_hash", hashed).select(
         *df.columns,
         *[F.lag(src).over(within).alias(new) for new, src in lags.items()],
         F.row_number().over(within).cast("bigint").alias(number),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fundspark import schemas
 from fundspark.operators import columns, keys
-from fundspark.session import staged
+from fundspark.session import shuffles_dropped, staged
 from fundspark.sinks import parquet
 from fundspark.sinks.counters import Counters
 from fundspark.sources.delimited import LINE_ORDER, read_delimited
@@ -232,9 +232,10 @@ def load_portfolio(
         return columns.conform(rows, positions_schema())
     like = parquet.with_month(columns.conform(rows, positions_schema()))
     dealt = parquet.dealt(parquet.with_month(rows), ["origem_tabela", parquet.MONTH])
-    parquet.refresh_partitions(
-        columns.conform(dealt, like.schema), table, ["origem_tabela", parquet.MONTH], balance=False
-    )
+    with shuffles_dropped(spark):
+        parquet.refresh_partitions(
+            columns.conform(dealt, like.schema), table, ["origem_tabela", parquet.MONTH], balance=False
+        )
     return stored(spark, table, like)
 
 

@@ -25,6 +25,7 @@ UNIFIED = [
     "denominacao_social", "codigo_ativo", "cd_isin", "vl_merc_pos_final", "qt_pos_final",
     "origem_tabela",
 ]
+VEHICLE = ["cnpj_fundo_classe", "tp_fundo_classe"]
 ASSET = ["cnpj_fundo_classe", "tp_fundo_classe", "codigo_ativo", "origem_tabela"]
 PORTFOLIO_DATE = ["cnpj_fundo_classe", "tp_fundo_classe", "dt_comptc"]
 
@@ -90,7 +91,9 @@ def portfolio_composition(
     ]
     change = percent_change(F.col("vl_merc_pos_final"), F.col("vl_merc_pos_final_anterior"))
     # Newest first. The places by asset order equal values as their columns do.
-    if has_large_group(rows, ASSET, PORTFOLIO_DATE):
+    # A vehicle holds whole assets and portfolios, so that only where one is large these are looked at.
+    together = VEHICLE if not has_large_group(rows, VEHICLE) else None
+    if together is None and has_large_group(rows, ASSET, PORTFOLIO_DATE):
         lagged = lag_in_group(rows, ASSET, by_date, before, number="_lugar")
         ranked = rank_in_group(
             lagged.withColumn("variacao_percentual", change),
@@ -101,13 +104,15 @@ def portfolio_composition(
             groups=[F.col("dt_comptc").desc_nulls_first(), *map(F.col, PORTFOLIO_DATE[:2])],
         )
     else:
-        lagged = lag_of_small_groups(rows, ASSET, by_date, before, number="_lugar")
+        lagged = lag_of_small_groups(rows, ASSET, by_date, before, number="_lugar", together=together)
         # A number that falls with the date, so that its groups come newest first.
-        lagged = lagged.withColumns({"variacao_percentual": change, "_dia": -F.unix_date("dt_comptc")})
+        lagged = lagged.withColumn("_dia", -F.unix_date("dt_comptc"))
         ranked = rank_of_small_groups(
             lagged, ["_dia", *PORTFOLIO_DATE[:2]], [*by_value, F.col("_lugar")], "ranking_posicao"
         )
-    rows = ranked.drop("_lugar", "_dia")
+        # What follows from other columns is not shuffled.
+        ranked = ranked.withColumn("variacao_percentual", change)
+    rows = ranked.select(*rows.columns, *before, "variacao_percentual", "ranking_posicao")
     if not served:
         return rows
     return serve(

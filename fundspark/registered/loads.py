@@ -213,8 +213,9 @@ def _(spark, sf):
 
 
 def _portfolio_table(spark: SparkSession, sf: str) -> str:
-    table = scratch_path(spark, "composicao_carteira")
-    loaders.load_portfolio(spark, landed.portfolio_folder(spark, sf), table)
+    table, folder = scratch_path(spark, "composicao_carteira"), landed.portfolio_folder(spark, sf)
+    loaders.load_portfolio(spark, folder, table)
+    landed.discard(spark, folder)
     return table
 
 

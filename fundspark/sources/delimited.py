@@ -50,7 +50,7 @@ def header_of(
     spark: SparkSession, path: str, separator: str = SEPARATOR, encoding: str = ENCODING
 ) -> list[str]:
     """Column names from the first line of a file (of a folder: of its first part that is
-    not empty), read by the driver: no Spark job."""
+    not empty), which may be compressed as its name tells, read by the driver: no Spark job."""
     fs, at = file_system(spark, path)
     file = at(path)
     if fs.getFileStatus(file).isDirectory():
@@ -59,8 +59,11 @@ def header_of(
         if not shown:
             raise FileNotFoundError(f"no file in {path}")
         file = shown[0][1]
-    io = spark.sparkContext._jvm.java.io
-    lines = io.BufferedReader(io.InputStreamReader(fs.open(file), encoding))
+    jvm = spark.sparkContext._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(fs.getConf()).getCodec(file)
+    io, opened = jvm.java.io, fs.open(file)
+    content = codec.createInputStream(opened) if codec else opened
+    lines = io.BufferedReader(io.InputStreamReader(content, encoding))
     try:
         first = lines.readLine()
     finally:

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 # Published file names.
 DAILY_NAME = re.compile(r"^inf_diario_fi_(\d{6})\.csv$")
-BLOCK_NAME = re.compile(r"^cda_fi_BLC_(\d)_(\d{6})\d*\.csv$")
+BLOCK_NAME = re.compile(r"^cda_fi_BLC_(\d)_(\d{6})\d*\.csv(?:\.gz)?$")
 # The month inside a block file's path, for use in a column expression.
 BLOCK_MONTH = r"cda_fi_BLC_\d_(\d{6})"
 
@@ -58,10 +58,9 @@ def daily_files(
 
 
 def portfolio_files(spark: SparkSession, folder: str) -> list[LandedFile]:
-    """Portfolio block files, newest month first, then by block."""
-    found = [
-        LandedFile(p, m[2], int(m[1])) for p, m in _named(list_files(spark, folder, "*.csv"), BLOCK_NAME)
-    ]
+    """Portfolio block files, gzipped or not, newest month first, then by block."""
+    paths = list_files(spark, folder, "*.{csv,csv.gz}")
+    found = [LandedFile(p, m[2], int(m[1])) for p, m in _named(paths, BLOCK_NAME)]
     if not found:
         raise FileNotFoundError(f"no portfolio file in {folder}")
     return sorted(found, key=lambda f: (-int(f.month), f.block))

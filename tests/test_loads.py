@@ -1,13 +1,18 @@
 """Loaders, sources and streams on hand-made files."""
 
 import datetime as dt
+import gzip
+import os
 import zipfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from fundspark import landed, schemas
 from fundspark.plans import landing, loaders, quotes
+from fundspark.registered import loads as registered_loads
+from fundspark.session import scratch_root
 from fundspark.sinks import parquet
 from fundspark.sources import delimited, fixed_width
 from fundspark.sources.files import daily_files, month_start, portfolio_files
@@ -367,3 +372,45 @@ def test_a_dealt_null_lands_in_its_folder(spark, tmp_path):
     parquet.refresh_partitions(parquet.dealt(df, ["ym"]), str(tmp_path / "t"), ["ym"], balance=False)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a"), (2, None)]
     assert (tmp_path / "t" / "ym=__HIVE_DEFAULT_PARTITION__").is_dir()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_a_stored_portfolio_leaves_only_its_table(spark, tmp_path):
+    """Neither shuffle files nor staged positions nor landed files lie beside the table that the stored queries read."""
+    lines = spark.range(200).select(
+        *[F.col("id").alias(c) for c in ("l_orderkey", "l_suppkey", "l_partkey")],
+        F.lit("2024-01-05 00:00:00").cast("timestamp").alias("l_shipdate"), F.lit("A").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"),
+        F.lit(3.0).alias("l_extendedprice"),
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = scratch_root(spark).removeprefix("file:")
+    shuffled, staged = shuffle_files(spark), set(os.listdir(root)) if os.path.isdir(root) else set()
+    table = registered_loads._portfolio_table(spark, str(tmp_path))
+    assert shuffle_files(spark) <= shuffled
+    assert set(os.listdir(root)) - staged == {os.path.basename(table)}
+    assert spark.read.parquet(table).count() == 200
+
+
+def test_landed_folders_written_once_are_kept(spark, tmp_path, monkeypatch):
+    (tmp_path / "kept").mkdir()
+    monkeypatch.setattr(landed, "REUSE", True)
+    landed.discard(spark, str(tmp_path / "kept"))
+    assert (tmp_path / "kept").is_dir()
+
+
+def test_gzipped_block_files(spark, rows, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = "TP_FUNDO_CLASSE;CNPJ_FUNDO_CLASSE;DT_COMPTC;CD_SWAP;DENOM_SOCIAL\nFI;191;2024-01-31;9;Ação\n"
+    with gzip.open(tmp_path / "in" / "cda_fi_BLC_3_202401.csv.gz", "wb") as file:
+        file.write(text.encode("latin-1"))
+    write(tmp_path / "in" / "cda_fi_BLC_3_202402.csv", text.replace("01-31", "02-29").strip())
+    loaded = loaders.load_portfolio(spark, str(tmp_path / "in"))
+    assert rows(loaded, "ym_arquivo", "cnpj_fundo_classe", "dt_comptc", "cd_swap", "denom_social") == [
+        ("202401", "00000000000191", dt.date(2024, 1, 31), "9", "Ação"),
+        ("202402", "00000000000191", dt.date(2024, 2, 29), "9", "Ação"),
+    ]

@@ -243,3 +243,32 @@ def test_composition_of_small_groups_and_of_large_ones(spark, monkeypatch):
     assert pieces
     days = [r[1] for r in found]
     assert days == sorted(days, key=lambda d: (d is not None, -d.toordinal() if d else 0))
+
+
+def test_composition_of_large_vehicles_and_what_it_shuffles(spark, monkeypatch):
+    """Rows are dealt by vehicle unless one is large, then by asset; the change in percent is not shuffled."""
+    month = F.add_months(F.lit("2024-01-31").cast("date"), (F.col("id") % 5).cast("int"))
+    unified = spark.range(900).select(
+        F.when(F.col("id") % 9 != 0, (F.col("id") % 3).cast("string")).alias("cnpj_fundo_classe"),
+        F.when(F.col("id") % 31 != 0, month).alias("dt_comptc"),
+        F.when(F.col("id") % 2 == 0, FI).otherwise(FIF).alias("tp_fundo_classe"), F.lit("Ações").alias("tp_aplic"),
+        F.lit("O").alias("tp_ativo"), F.lit("Fundo").alias("denominacao_social"),
+        F.when(F.col("id") % 17 != 0, (F.col("id") % 4).cast("string")).alias("codigo_ativo"),
+        F.lit(None).cast("string").alias("cd_isin"),
+        F.when(F.col("id") % 13 != 0, F.col("id") % 7 + 1).cast("decimal(19,2)").alias("vl_merc_pos_final"),
+        F.lit(1).cast("decimal(21,6)").alias("qt_pos_final"), F.lit("SWAPS").alias("origem_tabela"),
+    )
+    by_vehicle = portfolio.portfolio_composition(unified)
+    plan = by_vehicle._jdf.queryExecution().optimizedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(shuffles) == 2 and "codigo_ativo" not in shuffles[1]
+    assert "variacao_percentual" not in plan[plan.index(shuffles[0]):]
+    groups = [unified.groupBy(*keys).count() for keys in (portfolio.ASSET, portfolio.PORTFOLIO_DATE)]
+    largest = max(r["count"] for counts in groups for r in counts.collect())
+    monkeypatch.setattr(ranking, "GROUP_ROWS", largest)
+    assert ranking.has_large_group(unified, portfolio.VEHICLE)
+    assert not ranking.has_large_group(unified, portfolio.ASSET, portfolio.PORTFOLIO_DATE)
+    by_asset = portfolio.portfolio_composition(unified)
+    plan = by_asset._jdf.queryExecution().optimizedPlan().toString()
+    assert "codigo_ativo" in [line for line in plan.splitlines() if "RepartitionByExpression" in line][1]
+    assert [tuple(r) for r in by_asset.collect()] == [tuple(r) for r in by_vehicle.collect()]
